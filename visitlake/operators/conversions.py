@@ -118,7 +118,7 @@ def last_touch_attribution(
         o.select("userId", "timestamp", F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("source_id"), "orderId")
     )
     ev = ev.withColumn("_uk", F.struct(F.col("userId").alias("u"))).withColumn(
-        "_bkt", F.floor(F.unix_timestamp("timestamp") / F.lit(bucket_seconds))
+        "_bkt", F.struct(F.floor(F.unix_timestamp("timestamp") / F.lit(bucket_seconds)).alias("b"))
     )
     touch = F.when(F.col("_kind") == 0, F.struct(F.col("timestamp").alias("t"), F.col("source_id").alias("s")))
     w = Window.partitionBy("_uk", "_bkt").orderBy("timestamp", "_kind", "source_id")

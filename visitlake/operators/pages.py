@@ -56,8 +56,10 @@ def paged_sorted_list(
     """
     if page_size <= 0:
         raise ValueError("page_size must be positive")
+    # Key and bucket are wrapped in non-nullable structs: no null-filter is
+    # inferred on one side of the self-join, so both sides share one exchange.
     rows = (
-        df.select(group_key(keys).alias(_K), bucket.alias("_bkt"), item.alias("_item"))
+        df.select(group_key(keys).alias(_K), F.struct(bucket.alias("b")).alias("_bkt"), item.alias("_item"))
         .where(F.col("_item").isNotNull())
     )
     # The summary is taken from the ranked rows (already clustered by group and

@@ -54,7 +54,7 @@ def sessionize(
     x = (
         df.withColumn("_uk", F.struct(F.col(user).alias("u")))  # null-safe user key
         .withColumn("_sec", F.unix_timestamp(ts))
-        .withColumn("_bkt", F.floor(F.col("_sec") / F.lit(bucket_seconds)))
+        .withColumn("_bkt", F.struct(F.floor(F.col("_sec") / F.lit(bucket_seconds)).alias("b")))
     )
     w = Window.partitionBy("_uk", "_bkt").orderBy(*order)
     x = (
