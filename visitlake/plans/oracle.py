@@ -286,3 +286,61 @@ FROM sess GROUP BY userId, session_id""",
        CAST(max(total) AS BIGINT) AS entries
 FROM ranked GROUP BY userId, session_id, {_page()}""",
 }
+
+FIRST_CAMPAIGN = """items AS (
+  SELECT trim(p) AS url, uuid
+  FROM (SELECT uuid, unnest(string_split(lower(params), ',')) AS p FROM t_campaigns)),
+first_campaign AS (
+  SELECT url, uuid FROM (
+    SELECT *, row_number() OVER (PARTITION BY url ORDER BY uuid) AS rn FROM items WHERE length(url) > 0)
+  WHERE rn = 1)"""
+
+PRIMITIVE_SQL: dict[str, str] = {
+    "filter_not_null_user": _with()
+    + """SELECT userId, "timestamp", source_id FROM t_logs WHERE userId IS NOT NULL""",
+    "join_inner_dim": _with()
+    + """SELECT l.userId, l."timestamp", l.source_id, s.source_name
+FROM t_logs l JOIN t_sources s ON l.source_id = s.source_id""",
+    "join_left_dim_unmatched": _with()
+    + """SELECT l.userId, l."timestamp", l.source_id, s.source_name
+FROM t_logs l LEFT JOIN t_sources s ON l.source_id = s.source_id""",
+    "agg_count_distinct": _with()
+    + """SELECT source_id, CAST(count(*) AS BIGINT) AS entries, CAST(count(DISTINCT userId) AS BIGINT) AS users
+FROM t_logs GROUP BY source_id""",
+    "agg_collect_sorted": _with()
+    + f"""SELECT source_id, {_page()} AS page, list_sort(list(landing_url)) AS urls, CAST(max(total) AS BIGINT) AS url_count
+FROM (SELECT source_id, landing_url,
+             row_number() OVER (PARTITION BY source_id ORDER BY landing_url) AS rn,
+             count(*) OVER (PARTITION BY source_id) AS total
+      FROM (SELECT DISTINCT source_id, landing_url FROM t_logs WHERE landing_url IS NOT NULL))
+GROUP BY source_id, {_page()}""",
+    "window_lag_gap": _with(_sess('(SELECT userId, "timestamp" FROM t_logs WHERE userId IS NOT NULL)'))
+    + """SELECT userId, "timestamp", prev_timestamp, time_diff FROM sess""",
+    "window_running_session": _with(_sess('(SELECT userId, "timestamp" FROM t_logs WHERE userId IS NOT NULL)'))
+    + """SELECT userId, "timestamp", session_break, session_id FROM sess""",
+    "top1_per_user": _with()
+    + """SELECT userId, "timestamp", orderId FROM (
+  SELECT *, row_number() OVER (PARTITION BY userId ORDER BY "timestamp" DESC, orderId DESC) AS rn FROM t_purchases)
+WHERE rn = 1""",
+    "tz_local_date": _with()
+    + f"""SELECT userId, "timestamp", CAST({_local('"timestamp"')} AS DATE) AS local_date FROM t_logs""",
+    "date_format_second": _with()
+    + f"""SELECT userId, "timestamp", strftime({_local('"timestamp"')}, '%Y-%m-%d %H:%M:%S') AS date_time FROM t_logs""",
+    "struct_last_element": _with(
+        NAMED_CAMPAIGN,
+        f"""ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY {PATH_KEYS} ORDER BY "timestamp") AS rn FROM named)""",
+    )
+    + f"""SELECT {PATH_KEYS}, {_page()} AS page, max("timestamp") AS last_entry_ts
+FROM ranked GROUP BY {PATH_KEYS}, {_page()}""",
+    "url_list_explode_join": _with(FIRST_CAMPAIGN)
+    + """SELECT l.userId, l."timestamp", l.landing_url, f.uuid
+FROM t_logs l LEFT JOIN first_campaign f ON lower(l.landing_url) = f.url""",
+    "sort_by_date": _with()
+    + """SELECT CAST("timestamp" AS DATE) AS date, CAST(count(*) AS BIGINT) AS entries
+FROM t_logs GROUP BY 1 ORDER BY 1""",
+    "union_dedupe": _with(NAMED_CAMPAIGN, FLAT)
+    + """SELECT * FROM flat WHERE "timestamp" >= TIMESTAMP '2024-01-05' AND "timestamp" <= TIMESTAMP '2024-01-08'
+UNION
+SELECT * FROM flat WHERE "timestamp" >= TIMESTAMP '2024-01-07' AND "timestamp" <= TIMESTAMP '2024-01-10'""",
+}
