@@ -106,11 +106,13 @@ def test_orders_and_pages_paged(spark):
     assert sum(len(r.order_ids) for r in got) == len(orders)
 
     logs = spark.createDataFrame(_logs(300, seed=9), SCHEMAS["logs"])
-    pv = pages_per_user(users, logs, page_size=5, salts=3).collect()
+    pv = pages_per_user(users, logs, page_size=5).collect()
     for u in {r.userId for r in pv}:
         pages = [x for r in sorted((r for r in pv if r.userId == u), key=lambda r: r.page) for x in r.pages_visited]
         want = sorted(row[4] for row in _logs(300, seed=9) if row[2] == u)
         assert pages == want
+        assert all(len(r.pages_visited) <= 5 for r in pv)
+        assert {r.page_count for r in pv if r.userId == u} == {len(set(want))}
 
 
 def test_last_touch_matches_brute_force(spark):

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from visitlake.operators.dims import DEFAULT_MAX_BROADCAST_ROWS, sized_broadcast
-from visitlake.operators.pages import DEFAULT_PAGE_SIZE, paged_sorted_list, value_bucket
+from visitlake.operators.pages import DEFAULT_PAGE_SIZE, paged_sorted_list
 
 # Order ids are bucketed in ranges of this width for paging (ids are unique,
-# so a bucket holds at most this many orders of one user).
-ORDER_ID_BUCKET = 4096
+# so a bucket -- one task's share of a user -- holds at most this many orders).
+ORDER_ID_BUCKET = 1 << 20
 
 
 def _known_users(users: DataFrame, max_rows: int | None) -> DataFrame:
@@ -45,23 +45,41 @@ def pages_per_user(
     logs: DataFrame,
     page_size: int = DEFAULT_PAGE_SIZE,
     max_broadcast_rows: int | None = DEFAULT_MAX_BROADCAST_ROWS,
-    salts: int = 16,
 ) -> DataFrame:
     """O2: users ⨝ logs; per user distinct ``page_count`` and every visit in ``pages_visited``.
 
-    ``pages_visited`` keeps repeats, so ``size >= page_count``. Repeated URLs
-    of a hot user are spread over ``salts`` buckets before ranking.
+    ``pages_visited`` keeps repeats (``visit_count >= page_count``). A sorted
+    list with repeats is a sequence of runs, so it is paged from per
+    (user, url) counts -- a partial aggregate, however hot the user or the
+    URL -- and rebuilt with ``array_repeat``; no per-visit window or shuffle
+    of visits is needed. The running offset window sees one row per distinct
+    URL of a user.
     """
-    joined = logs.select("userId", "landing_url", "timestamp").join(_known_users(users, max_broadcast_rows), "userId")
-    lists = paged_sorted_list(
-        joined,
-        ["userId"],
-        F.col("landing_url"),
-        value_bucket("landing_url", ["timestamp", "landing_url"], salts),
-        "pages_visited",
-        page_size=page_size,
-        total_name="visit_count",
+    joined = logs.select("userId", "landing_url").join(_known_users(users, max_broadcast_rows), "userId")
+    runs = joined.where(F.col("landing_url").isNotNull()).groupBy("userId", "landing_url").agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    by_user = Window.partitionBy("userId")
+    before = F.sum("_n").over(by_user.orderBy("landing_url").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select(
+        "userId",
+        "landing_url",
+        "_n",
+        F.coalesce(before, F.lit(0)).alias("_before"),
+        F.sum("_n").over(by_user).alias("_total"),
+        F.count(F.lit(1)).over(by_user).alias("_distinct"),
+    )
+    ps = F.lit(page_size)
+    first_page = F.floor(F.col("_before") / ps)
+    last_page = F.floor((F.col("_before") + F.col("_n") - 1) / ps)
+    spans = runs.withColumn("page", F.explode(F.sequence(first_page, last_page)))
+    lo = F.greatest(F.col("_before"), F.col("page") * ps)
+    hi = F.least(F.col("_before") + F.col("_n"), (F.col("page") + 1) * ps)
+    spans = spans.withColumn("_copies", (hi - lo).cast("int"))
+    pages = spans.groupBy("userId", F.col("page").cast("int").alias("page")).agg(
+        F.array_sort(F.collect_list(F.struct("landing_url", "_copies"))).alias("_runs"),
+        F.max("_total").cast("bigint").alias("visit_count"),
+        F.max("_distinct").cast("bigint").alias("page_count"),
     )
-    # two-phase distinct count: partial (user, url) dedupe before the user shuffle
-    distinct = joined.groupBy("userId").agg(F.count_distinct("landing_url").alias("page_count"))
-    return lists.join(distinct, "userId")
+    visited = F.flatten(F.transform("_runs", lambda r: F.array_repeat(r["landing_url"], r["_copies"])))
+    return pages.select("userId", "page", visited.alias("pages_visited"), "visit_count", "page_count")
