@@ -105,18 +105,20 @@ def load_tables(
     paths: Mapping[str, str] | None = None,
     options: Mapping[str, Mapping[str, str]] | None = None,
     common_options: Mapping[str, str] | None = None,
+    formats: Mapping[str, str] | None = None,
 ) -> Tables:
     """Load the five collections from any Spark source.
 
     ``paths[name]`` is passed to ``load``; ``options[name]`` (for example a
     connector's database/collection/uri) and ``common_options`` go to the
-    reader. Reads are lazy; only the columns an operator uses are scanned.
+    reader; ``formats[name]`` overrides ``fmt`` for one table. Reads are lazy;
+    only the columns an operator uses are scanned.
     """
     paths = paths or {}
     options = options or {}
     frames = {}
     for name, schema in SCHEMAS.items():
-        reader = spark.read.format(fmt).options(**(common_options or {})).options(**options.get(name, {}))
+        reader = spark.read.format((formats or {}).get(name, fmt)).options(**(common_options or {})).options(**options.get(name, {}))
         path = paths.get(name)
         raw = reader.load(path) if path is not None else reader.load()
         frames[name] = normalise(raw, schema)
