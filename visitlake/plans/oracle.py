@@ -296,6 +296,7 @@ first_campaign AS (
   WHERE rn = 1)"""
 
 PRIMITIVE_SQL: dict[str, str] = {
+    "preview": _with("o1 AS (" + ORDERS_PER_USER_BODY + ")") + "SELECT * FROM o1 ORDER BY userId, page LIMIT 50",
     "filter_not_null_user": _with()
     + """SELECT userId, "timestamp", source_id FROM t_logs WHERE userId IS NOT NULL""",
     "join_inner_dim": _with()

@@ -9,7 +9,8 @@ from visitlake.operators import campaign_url_map, latest_per_key, log_paths_by_c
 from visitlake.operators.dims import join_dimension
 from visitlake.operators.pages import paged_sorted_list, value_bucket
 from visitlake.operators.paths import filter_time_conditions
-from visitlake.plans.registry import CONDITIONS, ZONE, _t, q_flatten_sessions
+from visitlake.plans.registry import CONDITIONS, ZONE, _t, q_flatten_sessions, q_orders_per_user
+from visitlake.sources import preview
 
 
 def p_filter_not_null_user(spark, sf_dir):
@@ -92,6 +93,10 @@ def p_union_dedupe(spark, sf_dir):
     return parts[0].unionByName(parts[1]).dropDuplicates()
 
 
+def p_preview(spark, sf_dir):
+    return preview(q_orders_per_user(spark, sf_dir), 50, ["userId", "page"])
+
+
 PRIMITIVES = {
     "filter_not_null_user": p_filter_not_null_user,
     "join_inner_dim": p_join_inner_dim,
@@ -107,4 +112,5 @@ PRIMITIVES = {
     "url_list_explode_join": p_url_list_explode_join,
     "sort_by_date": p_sort_by_date,
     "union_dedupe": p_union_dedupe,
+    "preview": p_preview,
 }

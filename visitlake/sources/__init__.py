@@ -1,6 +1,6 @@
 """Scans (table loaders, test-data derivations) and sinks."""
 
-from visitlake.sources.sinks import json_records, write_json, write_parquet
+from visitlake.sources.sinks import json_records, preview, write_json, write_parquet
 from visitlake.sources.tables import Tables, load_tables, normalise
 
-__all__ = ["Tables", "load_tables", "normalise", "json_records", "write_json", "write_parquet"]
+__all__ = ["Tables", "load_tables", "normalise", "json_records", "preview", "write_json", "write_parquet"]

@@ -47,3 +47,12 @@ def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists", partiti
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+
+
+def preview(df: DataFrame, n: int = 50, order_by=None) -> DataFrame:
+    """Console-style preview: the first ``n`` rows (a limit is the feature here).
+
+    With ``order_by`` the rows are a deterministic top-n (TakeOrderedAndProject,
+    no full sort); without it Spark returns any ``n`` rows, as ``show`` does.
+    """
+    return (df.orderBy(*order_by) if order_by else df).limit(n)
