@@ -41,10 +41,17 @@ def test_scans_prune_columns(spark):
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in plan
 
 
-def test_sessionize_has_no_user_only_window_over_rows(spark):
-    # the row-level window is partitioned by (user, bucket), never by user alone
+def test_heavy_users_are_bucketed(spark):
+    # the heavy-user route keys every row-level window by (user, time bucket)
+    from visitlake.operators import sessionize
+    from visitlake.sources import testdata
+
+    df = sessionize(testdata.logs(spark, SF), hot_rows=None)
+    plan = _plan(df)
+    windows = [l for l in plan.splitlines() if "Window [lag(" in l and "_uk" in l]
+    assert windows and all("_bkt" in l.split("windowspecdefinition(")[1].split(",")[1] for l in windows)
+
+
+def test_light_plan_when_no_heavy_keys(spark):
     plan = _plan(queries()["sessionize"](spark, SF))
-    assert "windowspecdefinition(_uk" in plan
-    for line in plan.splitlines():
-        if "Window [lag(" in line:
-            assert "_bkt" in line.split("windowspecdefinition(")[1].split(",")[1]
+    assert "LeftSemi" not in plan and "_bkt" not in plan

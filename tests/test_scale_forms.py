@@ -47,12 +47,23 @@ def _brute_sessions(rows, gap=1800):
     return out
 
 
-@pytest.mark.parametrize("bucket_seconds", [600, 3600, 86400 * 30])
-def test_sessionize_matches_brute_force(spark, bucket_seconds):
+# hot_rows: None = every user bucketed; 100 = only the hot user 0 bucketed; 10**9 = one window per user
+@pytest.mark.parametrize("bucket_seconds,hot_rows", [(600, None), (3600, None), (86400 * 30, None), (600, 100), (600, 10**9)])
+def test_sessionize_matches_brute_force(spark, bucket_seconds, hot_rows):
     rows = _logs()
     df = spark.createDataFrame(rows, SCHEMAS["logs"])
-    got = {(r.userId, r.timestamp): r.session_id for r in sessionize(df, bucket_seconds=bucket_seconds).collect()}
+    out = sessionize(df, bucket_seconds=bucket_seconds, hot_rows=hot_rows)
+    got = {(r.userId, r.timestamp): r.session_id for r in out.collect()}
     assert got == _brute_sessions(rows)
+    assert out.count() == len(rows)
+
+
+def test_sessionize_mixed_split_uses_both_plans(spark):
+    df = spark.createDataFrame(_logs(), SCHEMAS["logs"])
+    plan = sessionize(df, bucket_seconds=600, hot_rows=100)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "LeftSemi" in plan and "Union" in plan
+    light_only = sessionize(df, hot_rows=10**9)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in light_only and "_bkt" not in light_only
 
 
 def test_sessionize_equals_single_window(spark):
@@ -65,17 +76,20 @@ def test_sessionize_equals_single_window(spark):
         "sid", 1 + F.sum(F.when(F.col("d") > 1800, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     )
     a = sorted((r.userId, r.timestamp, r.d, r.sid) for r in plain.collect())
-    b = sorted((r.userId, r.timestamp, r.time_diff, r.session_id) for r in sessionize(df, bucket_seconds=900).collect())
+    b = sorted(
+        (r.userId, r.timestamp, r.time_diff, r.session_id)
+        for r in sessionize(df, bucket_seconds=900, hot_rows=None).collect()
+    )
     assert a == b
 
 
-@pytest.mark.parametrize("page_size", [1, 3, 50])
-def test_paged_list_matches_brute_force(spark, page_size):
+@pytest.mark.parametrize("page_size,split_heavy", [(1, True), (3, True), (50, True), (3, False), (10**6, True)])
+def test_paged_list_matches_brute_force(spark, page_size, split_heavy):
     rows = _logs(300, seed=3)
     df = spark.createDataFrame(rows, SCHEMAS["logs"])
     out = paged_sorted_list(
         df, ["userId", "referrer"], F.col("timestamp"), time_bucket("timestamp", 600), "items",
-        page_size=page_size, total_name="total", last_name="last",
+        page_size=page_size, total_name="total", last_name="last", split_heavy=split_heavy,
     ).collect()
     groups = {}
     for ts, _s, u, ref, *_ in rows:
@@ -115,7 +129,8 @@ def test_orders_and_pages_paged(spark):
         assert {r.page_count for r in pv if r.userId == u} == {len(set(want))}
 
 
-def test_last_touch_matches_brute_force(spark):
+@pytest.mark.parametrize("hot_rows", [None, 50, 10**9])
+def test_last_touch_matches_brute_force(spark, hot_rows):
     rnd = random.Random(13)
     logs = _logs(400, seed=13)
     orders = []
@@ -127,7 +142,7 @@ def test_last_touch_matches_brute_force(spark):
         r.orderId: (r.touch_timestamp, r.source_id)
         for r in last_touch_attribution(
             spark.createDataFrame(logs, SCHEMAS["logs"]), spark.createDataFrame(orders, SCHEMAS["orders"]), sources,
-            bucket_seconds=1800,
+            bucket_seconds=1800, hot_rows=hot_rows,
         ).collect()
     }
     for u, oid, ots in orders:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from visitlake.functions.timefn import DEFAULT_ZONE, local_time, local_time_range, seconds_text
 from visitlake.operators.dims import DEFAULT_MAX_BROADCAST_ROWS, join_dimension
 from visitlake.operators.pages import DEFAULT_PAGE_SIZE, paged_sorted_list, time_bucket
+from visitlake.operators.sessions import DEFAULT_HOT_ROWS
+from visitlake.operators.skew import DEFAULT_MAX_HOT_KEYS, heavy_keys, split_keys
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], payload: Sequence[str]) -> DataFrame:
@@ -98,15 +100,19 @@ def last_touch_attribution(
     zone: str = DEFAULT_ZONE,
     bucket_seconds: int = 3600,
     max_broadcast_rows: int | None = DEFAULT_MAX_BROADCAST_ROWS,
+    hot_rows: int | None = DEFAULT_HOT_ROWS,
+    max_hot_keys: int = DEFAULT_MAX_HOT_KEYS,
 ) -> DataFrame:
     """Every order (in the local range, if given) credited to the user's newest log at or before it.
 
     An as-of join written as a scan: logs and orders of a user are unioned
-    and ordered by (time, logs first). Like sessionize, the scan runs per
-    (user, time bucket) with a carry of the last log of earlier buckets taken
-    from a per-bucket summary, so no user lands in one task. A log whose
-    source is null still wins (the touch is kept as a struct). Orders with no
-    earlier log, or without a user, keep a null source.
+    and ordered by (time, logs first); ``last(touch, ignorenulls)`` carries
+    the newest log. Users with at most ``hot_rows`` events scan in one window
+    each; heavier users (found by a bounded pre-pass) scan per (user, time
+    bucket) with a carry of the last log of earlier buckets taken from a
+    per-bucket summary, as in sessionize. A log whose source is null still
+    wins (the touch is kept as a struct). Orders with no earlier log, or
+    without a user, keep a null source.
     """
     o = orders if start is None and end is None else local_time_range(orders, "timestamp", start, end, zone)
     l = logs.where(F.col("userId").isNotNull())
@@ -117,27 +123,50 @@ def last_touch_attribution(
     ).unionByName(
         o.select("userId", "timestamp", F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("source_id"), "orderId")
     )
-    ev = ev.withColumn("_uk", F.struct(F.col("userId").alias("u"))).withColumn(
-        "_bkt", F.struct(F.floor(F.unix_timestamp("timestamp") / F.lit(bucket_seconds)).alias("b"))
-    )
     touch = F.when(F.col("_kind") == 0, F.struct(F.col("timestamp").alias("t"), F.col("source_id").alias("s")))
-    w = Window.partitionBy("_uk", "_bkt").orderBy("timestamp", "_kind", "source_id")
-    ev = ev.withColumn("_touch", touch).withColumn(
+    ev = ev.withColumn("_uk", F.struct(F.col("userId").alias("u"))).withColumn("_touch", touch)
+    heavy = None if hot_rows is None else heavy_keys(ev, "_uk", hot_rows, max_hot_keys)
+    if heavy is None:
+        placed = _asof_bucketed(ev, bucket_seconds)
+    elif not heavy:
+        placed = _asof_single_window(ev)
+    else:
+        light, hot = split_keys(ev, "_uk", heavy)
+        placed = _asof_single_window(light).unionByName(_asof_bucketed(hot, bucket_seconds))
+    out = placed.select(
+        "orderId",
+        "userId",
+        F.col("timestamp").alias("order_timestamp"),
+        F.col("_credit.t").alias("touch_timestamp"),
+        F.col("_credit.s").alias("source_id"),
+    )
+    return join_dimension(out, sources.select("source_id", "source_name"), "source_id", "left", max_broadcast_rows)
+
+
+_ASOF_ORDER = ("timestamp", "_kind", "source_id")
+
+
+def _asof_single_window(ev: DataFrame) -> DataFrame:
+    w = Window.partitionBy("_uk").orderBy(*_ASOF_ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    credit = F.last("_touch", ignorenulls=True).over(w)
+    return ev.withColumn("_credit", credit).where(F.col("_kind") == 1).select(
+        "orderId", "userId", "timestamp", "_credit"
+    )
+
+
+def _asof_bucketed(ev: DataFrame, bucket_seconds: int) -> DataFrame:
+    ev = ev.withColumn("_bkt", F.struct(F.floor(F.unix_timestamp("timestamp") / F.lit(bucket_seconds)).alias("b")))
+    w = Window.partitionBy("_uk", "_bkt").orderBy(*_ASOF_ORDER)
+    ev = ev.withColumn(
         "_local", F.last("_touch", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     )
     summary = ev.groupBy("_uk", "_bkt").agg(F.max("_touch").alias("_bucket_last"))
     ws = Window.partitionBy("_uk").orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     summary = summary.select("_uk", "_bkt", F.last("_bucket_last", ignorenulls=True).over(ws).alias("_carry"))
     placed = ev.where(F.col("_kind") == 1).join(summary, ["_uk", "_bkt"])
-    credit = F.coalesce(F.col("_local"), F.col("_carry"))
-    out = placed.select(
-        "orderId",
-        "userId",
-        F.col("timestamp").alias("order_timestamp"),
-        credit.getField("t").alias("touch_timestamp"),
-        credit.getField("s").alias("source_id"),
+    return placed.select(
+        "orderId", "userId", "timestamp", F.coalesce(F.col("_local"), F.col("_carry")).alias("_credit")
     )
-    return join_dimension(out, sources.select("source_id", "source_name"), "source_id", "left", max_broadcast_rows)
 
 
 def last_touch_conversions(logs, orders, sources, start=None, end=None, zone: str = DEFAULT_ZONE, **kw) -> DataFrame:

@@ -17,6 +17,11 @@ How the rank is found without putting a group in one task:
 4. a ``row_number`` inside (group, bucket) plus the offset is the exact rank;
 5. ``groupBy(group, page)`` builds the lists; every group of that aggregate
    has at most ``page_size`` elements.
+
+Only groups that need more than one page take that path: a bounded pre-pass
+(``skew.heavy_keys``) lists the groups with more than ``page_size`` elements,
+and every other group -- proven to fit one page -- is a single
+``collect_list`` with ``page = 0``.
 """
 
 from __future__ import annotations
@@ -26,6 +31,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from visitlake.operators.skew import DEFAULT_MAX_HOT_KEYS, heavy_keys, split_keys
+
 DEFAULT_PAGE_SIZE = 10_000
 
 _K = "_grp"
@@ -46,6 +53,8 @@ def paged_sorted_list(
     total_name: str | None = None,
     page_name: str = "page",
     last_name: str | None = None,
+    split_heavy: bool = True,
+    max_hot_keys: int = DEFAULT_MAX_HOT_KEYS,
 ) -> DataFrame:
     """One row per (keys, page) with the sorted elements of that page.
 
@@ -53,6 +62,7 @@ def paged_sorted_list(
     ``collect_list``); ``bucket`` must be non-decreasing in element order.
     ``total_name`` adds the group's element count to every page row and
     ``last_name`` the group's greatest element (the end of its last page).
+    ``split_heavy=False`` sends every group through the ranked path.
     """
     if page_size <= 0:
         raise ValueError("page_size must be positive")
@@ -62,6 +72,33 @@ def paged_sorted_list(
         df.select(group_key(keys).alias(_K), F.struct(bucket.alias("b")).alias("_bkt"), item.alias("_item"))
         .where(F.col("_item").isNotNull())
     )
+    names = (list_name, total_name, last_name, page_name)
+    heavy = heavy_keys(rows, _K, page_size, max_hot_keys) if split_heavy else None
+    if heavy is None:
+        out = _ranked_pages(rows, page_size, *names)
+    elif not heavy:
+        out = _one_page(rows, *names)
+    else:
+        light, hot = split_keys(rows, _K, heavy)
+        out = _one_page(light, *names).unionByName(_ranked_pages(hot, page_size, *names))
+    key_cols = [F.col(f"{_K}.`{c}`").alias(c) for c in keys]
+    rest = [c for c in out.columns if c != _K]
+    return out.select(*key_cols, *rest)
+
+
+def _one_page(rows: DataFrame, list_name, total_name, last_name, page_name) -> DataFrame:
+    """Groups proven to hold at most one page: one partial-aggregated ``collect_list``."""
+    aggs = [F.array_sort(F.collect_list("_item")).alias(list_name)]
+    if total_name:
+        aggs.append(F.count("_item").alias(total_name))
+    if last_name:
+        aggs.append(F.max("_item").alias(last_name))
+    out = rows.groupBy(_K).agg(*aggs).withColumn(page_name, F.lit(0))
+    return out.select(_K, page_name, *[n for n in (list_name, total_name, last_name) if n])
+
+
+def _ranked_pages(rows: DataFrame, page_size: int, list_name, total_name, last_name, page_name) -> DataFrame:
+    """Exact pages of any group size (steps 1-5 of the module doc)."""
     # The summary is taken from the ranked rows (already clustered by group and
     # bucket), so the input is scanned and shuffled once.
     ranked = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(_K, "_bkt").orderBy("_item")))
@@ -83,9 +120,7 @@ def paged_sorted_list(
     if last_name:
         aggs.append(F.max("_last").alias(last_name))
     out = placed.groupBy(_K, page.alias(page_name)).agg(*aggs)
-    key_cols = [F.col(f"{_K}.`{c}`").alias(c) for c in keys]
-    rest = [c for c in out.columns if c != _K]
-    return out.select(*key_cols, *rest)
+    return out.select(_K, page_name, *[n for n in (list_name, total_name, last_name) if n])
 
 
 def time_bucket(ts: Column | str, seconds: int) -> Column:

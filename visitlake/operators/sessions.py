@@ -6,8 +6,10 @@ whole seconds after truncation, is greater than ``gap_seconds`` (1800).
 Session ids start at ``base`` (1) and rise by one per break.
 
 Scale: a single ``Window.partitionBy(user)`` puts all entries of a user in one
-task, so a user holding a third of the data would stall the job. Instead the
-scan runs in two passes:
+task, so a user holding a third of the data would stall the job. A bounded
+pre-pass (``skew.heavy_keys``) finds users with more than ``hot_rows`` entries;
+all other users -- proven small -- get the one-window plan, and the heavy
+users get a two-pass scan:
 
 * pass 1 -- window over (user, time bucket): previous entry, local break flags
   and a running break count inside the bucket; bucket sizes are bounded by
@@ -30,10 +32,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from visitlake.operators.pages import DEFAULT_PAGE_SIZE, paged_sorted_list, time_bucket
+from visitlake.operators.skew import DEFAULT_MAX_HOT_KEYS, heavy_keys, split_keys
 
 # Fixed values from the reference: 30 minutes of inactivity ends a session.
 DEFAULT_GAP_SECONDS = 1800
 DEFAULT_BUCKET_SECONDS = 3600
+# Users with more entries than this are scanned in time buckets (one window
+# task per user-hour); lighter users in one window task each.
+DEFAULT_HOT_ROWS = 1_000_000
 
 SESSION_COLUMNS = ("prev_timestamp", "time_diff", "session_break", "session_id")
 
@@ -47,15 +53,53 @@ def sessionize(
     drop_null_users: bool = True,
     bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
     tie_break: Sequence[str] = (),
+    hot_rows: int | None = DEFAULT_HOT_ROWS,
+    max_hot_keys: int = DEFAULT_MAX_HOT_KEYS,
 ) -> DataFrame:
-    """Add prev_timestamp, time_diff (s, null for a user's first entry), session_break (0/1), session_id."""
+    """Add prev_timestamp, time_diff (s, null for a user's first entry), session_break (0/1), session_id.
+
+    Users with at most ``hot_rows`` entries are scanned by one window per
+    user; heavier users by the bucketed two-pass scan (``hot_rows=None``: all
+    users bucketed). Both give the same rows.
+    """
     df = logs.where(F.col(user).isNotNull()) if drop_null_users else logs
     order = [F.col(ts)] + [F.col(c) for c in tie_break]
-    x = (
-        df.withColumn("_uk", F.struct(F.col(user).alias("u")))  # null-safe user key
-        .withColumn("_sec", F.unix_timestamp(ts))
-        .withColumn("_bkt", F.struct(F.floor(F.col("_sec") / F.lit(bucket_seconds)).alias("b")))
+    x = df.withColumn("_uk", F.struct(F.col(user).alias("u"))).withColumn("_sec", F.unix_timestamp(ts))
+    args = (df.columns, ts, order, gap_seconds, base)
+    if hot_rows is None:
+        return _bucketed(x, *args, bucket_seconds)
+    heavy = heavy_keys(x, "_uk", hot_rows, max_hot_keys)
+    if heavy is None:
+        return _bucketed(x, *args, bucket_seconds)
+    if not heavy:
+        return _single_window(x, *args)
+    light, hot = split_keys(x, "_uk", heavy)
+    return _single_window(light, *args).unionByName(_bucketed(hot, *args, bucket_seconds))
+
+
+def _finish(rows: DataFrame, cols, prev_ts, time_diff, brk, session_id) -> DataFrame:
+    return rows.select(
+        *[F.col(f"`{c}`") for c in cols],
+        prev_ts.alias("prev_timestamp"),
+        time_diff.alias("time_diff"),
+        brk.cast("int").alias("session_break"),
+        session_id.cast("bigint").alias("session_id"),
     )
+
+
+def _single_window(x: DataFrame, cols, ts, order, gap_seconds, base) -> DataFrame:
+    """One window per user: for users proven to have at most ``hot_rows`` entries."""
+    w = Window.partitionBy("_uk").orderBy(*order)
+    prev_sec = F.lag("_sec").over(w)
+    y = x.withColumn("_prev_ts", F.lag(ts).over(w)).withColumn("_diff", F.col("_sec") - prev_sec)
+    y = y.withColumn("_brk", F.when(F.col("_diff") > gap_seconds, 1).otherwise(0))
+    sid = F.lit(base) + F.sum("_brk").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return _finish(y, cols, F.col("_prev_ts"), F.col("_diff"), F.col("_brk"), sid)
+
+
+def _bucketed(x: DataFrame, cols, ts, order, gap_seconds, base, bucket_seconds) -> DataFrame:
+    """Two-pass scan over (user, time bucket) with a carry across buckets (see module doc)."""
+    x = x.withColumn("_bkt", F.struct(F.floor(F.col("_sec") / F.lit(bucket_seconds)).alias("b")))
     w = Window.partitionBy("_uk", "_bkt").orderBy(*order)
     x = (
         x.withColumn("_prev_ts", F.lag(ts).over(w))
@@ -93,14 +137,14 @@ def sessionize(
     joined = x.join(summary, ["_uk", "_bkt"])
     first_in_bucket = F.col("_prev_sec").isNull()
     prev_ts = F.coalesce(F.col("_prev_ts"), F.col("_carry_ts"))
-    out = joined.select(
-        *[F.col(f"`{c}`") for c in df.columns],
-        prev_ts.alias("prev_timestamp"),
-        (F.col("_sec") - F.unix_timestamp(prev_ts)).alias("time_diff"),
-        F.when(first_in_bucket, F.col("_first_brk")).otherwise(F.col("_brk")).cast("int").alias("session_break"),
-        (F.lit(base) + F.col("_offset") + F.col("_first_brk") + F.col("_cum")).cast("bigint").alias("session_id"),
+    return _finish(
+        joined,
+        cols,
+        prev_ts,
+        F.col("_sec") - F.unix_timestamp(prev_ts),
+        F.when(first_in_bucket, F.col("_first_brk")).otherwise(F.col("_brk")),
+        F.lit(base) + F.col("_offset") + F.col("_first_brk") + F.col("_cum"),
     )
-    return out
 
 
 def session_summary(
@@ -109,13 +153,14 @@ def session_summary(
     user: str = "userId",
     ts: str = "timestamp",
     bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
+    **kw,
 ) -> DataFrame:
     """One row per (user, session): start, end, entries, first/last page, first source.
 
     Every aggregate here is partial-aggregable (min/max of structs for the
     first/last entry), so a long session never sits in one task.
     """
-    s = sessionize(logs, gap_seconds, user, ts, bucket_seconds=bucket_seconds)
+    s = sessionize(logs, gap_seconds, user, ts, bucket_seconds=bucket_seconds, **kw)
     first = F.min(F.struct(F.col(ts).alias("t"), F.col("landing_url").alias("u"), F.col("source_id").alias("s")))
     last = F.max(F.struct(F.col(ts).alias("t"), F.col("landing_url").alias("u")))
     return s.groupBy(user, "session_id").agg(
@@ -145,9 +190,10 @@ def session_paths(
     ts: str = "timestamp",
     bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
     page_size: int = DEFAULT_PAGE_SIZE,
+    **kw,
 ) -> DataFrame:
     """I3 path: per (user, session, page) the time-ordered (timestamp, landing_url) entries."""
-    s = sessionize(logs, gap_seconds, user, ts, bucket_seconds=bucket_seconds)
+    s = sessionize(logs, gap_seconds, user, ts, bucket_seconds=bucket_seconds, **kw)
     item = F.struct(F.col(ts).alias("timestamp"), F.col("landing_url").alias("landing_url"))
     return paged_sorted_list(
         s,
