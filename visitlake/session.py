@@ -34,10 +34,20 @@ def local_session(cores: str = "*", app: str = "visitlake", **extra: str) -> Spa
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder; set a scratch one only when unset (tests)."""
-    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+
+    Only a local-mode session without one (tests, the bench) gets a scratch
+    folder; on a cluster a machine-local folder would not survive a lost
+    executor, so an unset folder is an error there.
+    """
+    sc = spark.sparkContext
+    current = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if current:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster file system)")
     path = tempfile.mkdtemp(prefix="visitlake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.sparkContext.setCheckpointDir(path)
+    sc.setCheckpointDir(path)
     return path
