@@ -58,6 +58,52 @@ def test_sessionize_matches_brute_force(spark, bucket_seconds, hot_rows):
     assert out.count() == len(rows)
 
 
+def _burst(n=400, seed=17):
+    """User 0 sends most rows inside one hour (sub-second to 40 s gaps); others are sparse."""
+    rnd = random.Random(seed)
+    rows, t = [], {0: 0.0}
+    for _ in range(n):
+        u = 0 if rnd.random() < 0.7 else rnd.randint(1, 4)
+        if u == 0:
+            t[0] += rnd.choice([0.2, 1, 3, 40])
+        else:
+            t[u] = t.get(u, 0) + rnd.choice([600, 1801, 5000])
+        ts = BASE + dt.timedelta(seconds=t[u])
+        rows.append((ts, rnd.randint(0, 2), u, "g", "/a", None))
+    return rows
+
+
+@pytest.mark.parametrize("hot_rows", [20, 5])
+def test_sessionize_splits_hot_user_hour_per_second(spark, hot_rows):
+    rows = _burst()
+    df = spark.createDataFrame(rows, SCHEMAS["logs"])
+    out = sessionize(df, hot_rows=hot_rows)
+    got = {(r.userId, r.timestamp): (r.session_id, r.prev_timestamp) for r in out.collect()}
+    want = _brute_sessions(rows)
+    assert {k: v[0] for k, v in got.items()} == want
+    prev = {}
+    for ts, _s, u, *_ in sorted(rows, key=lambda r: (r[2], r[0])):
+        assert got[(u, ts)][1] == prev.get(u)
+        prev[u] = ts
+
+
+def test_last_touch_with_hot_user_hour(spark):
+    logs = _burst(300, seed=23)
+    rnd = random.Random(3)
+    orders = [(rnd.choice([0, 0, 0, 1, 2]), 500 + i, BASE + dt.timedelta(seconds=rnd.uniform(0, 20000))) for i in range(80)]
+    sources = spark.createDataFrame([(s, f"s{s}") for s in range(3)], SCHEMAS["sources"])
+    got = {
+        r.orderId: (r.touch_timestamp, r.source_id)
+        for r in last_touch_attribution(
+            spark.createDataFrame(logs, SCHEMAS["logs"]), spark.createDataFrame(orders, SCHEMAS["orders"]), sources,
+            hot_rows=10,
+        ).collect()
+    }
+    for u, oid, ots in orders:
+        cands = [(ts, s) for ts, s, lu, *_ in logs if lu == u and ts <= ots]
+        assert got[oid] == (max(cands) if cands else (None, None))
+
+
 def test_sessionize_mixed_split_uses_both_plans(spark):
     df = spark.createDataFrame(_logs(), SCHEMAS["logs"])
     plan = sessionize(df, bucket_seconds=600, hot_rows=100)._jdf.queryExecution().optimizedPlan().toString()
@@ -149,3 +195,15 @@ def test_last_touch_matches_brute_force(spark, hot_rows):
         cands = [(ts, s) for ts, s, lu, *_ in logs if lu == u and ts <= ots]
         want = max(cands) if cands else (None, None)
         assert got[oid] == want, oid
+
+
+def test_time_buckets_refine_only_heavy_hours(spark):
+    from visitlake.operators.skew import time_buckets
+
+    df = spark.createDataFrame(_burst(), SCHEMAS["logs"]).withColumn("_sec", F.unix_timestamp("timestamp"))
+    b = time_buckets(df, "userId", "_sec", 3600, hot_rows=20).select("userId", "_sec", "_bkt.b", "_bkt.s").collect()
+    hot = [r for r in b if r.userId == 0]
+    assert any(r.s == r._sec for r in hot) and all(r.s in (0, r._sec) for r in hot)
+    assert all(r.s == 0 for r in b if r.userId != 0)
+    none = time_buckets(df, "userId", "_sec", 3600, hot_rows=None).select("_bkt.s").distinct().collect()
+    assert [r.s for r in none] == [0]

@@ -11,7 +11,7 @@ from visitlake.functions.timefn import DEFAULT_ZONE, local_time, local_time_rang
 from visitlake.operators.dims import DEFAULT_MAX_BROADCAST_ROWS, join_dimension
 from visitlake.operators.pages import DEFAULT_PAGE_SIZE, paged_sorted_list, time_bucket
 from visitlake.operators.sessions import DEFAULT_HOT_ROWS
-from visitlake.operators.skew import DEFAULT_MAX_HOT_KEYS, heavy_keys, split_keys
+from visitlake.operators.skew import DEFAULT_MAX_HOT_KEYS, heavy_keys, split_keys, time_buckets
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], payload: Sequence[str]) -> DataFrame:
@@ -126,13 +126,14 @@ def last_touch_attribution(
     touch = F.when(F.col("_kind") == 0, F.struct(F.col("timestamp").alias("t"), F.col("source_id").alias("s")))
     ev = ev.withColumn("_uk", F.struct(F.col("userId").alias("u"))).withColumn("_touch", touch)
     heavy = None if hot_rows is None else heavy_keys(ev, "_uk", hot_rows, max_hot_keys)
+    bkt = (bucket_seconds, hot_rows, max_hot_keys)
     if heavy is None:
-        placed = _asof_bucketed(ev, bucket_seconds)
+        placed = _asof_bucketed(ev, *bkt)
     elif not heavy:
         placed = _asof_single_window(ev)
     else:
         light, hot = split_keys(ev, "_uk", heavy)
-        placed = _asof_single_window(light).unionByName(_asof_bucketed(hot, bucket_seconds))
+        placed = _asof_single_window(light).unionByName(_asof_bucketed(hot, *bkt))
     out = placed.select(
         "orderId",
         "userId",
@@ -154,8 +155,8 @@ def _asof_single_window(ev: DataFrame) -> DataFrame:
     )
 
 
-def _asof_bucketed(ev: DataFrame, bucket_seconds: int) -> DataFrame:
-    ev = ev.withColumn("_bkt", F.struct(F.floor(F.unix_timestamp("timestamp") / F.lit(bucket_seconds)).alias("b")))
+def _asof_bucketed(ev: DataFrame, bucket_seconds: int, hot_rows, max_hot_keys) -> DataFrame:
+    ev = time_buckets(ev.withColumn("_sec", F.unix_timestamp("timestamp")), "_uk", "_sec", bucket_seconds, hot_rows, max_hot_keys)
     w = Window.partitionBy("_uk", "_bkt").orderBy(*_ASOF_ORDER)
     ev = ev.withColumn(
         "_local", F.last("_touch", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))

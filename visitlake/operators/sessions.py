@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from visitlake.operators.pages import DEFAULT_PAGE_SIZE, paged_sorted_list, time_bucket
-from visitlake.operators.skew import DEFAULT_MAX_HOT_KEYS, heavy_keys, split_keys
+from visitlake.operators.skew import DEFAULT_MAX_HOT_KEYS, heavy_keys, split_keys, time_buckets
 
 # Fixed values from the reference: 30 minutes of inactivity ends a session.
 DEFAULT_GAP_SECONDS = 1800
@@ -66,15 +66,16 @@ def sessionize(
     order = [F.col(ts)] + [F.col(c) for c in tie_break]
     x = df.withColumn("_uk", F.struct(F.col(user).alias("u"))).withColumn("_sec", F.unix_timestamp(ts))
     args = (df.columns, ts, order, gap_seconds, base)
+    bkt = (bucket_seconds, hot_rows, max_hot_keys)
     if hot_rows is None:
-        return _bucketed(x, *args, bucket_seconds)
+        return _bucketed(x, *args, *bkt)
     heavy = heavy_keys(x, "_uk", hot_rows, max_hot_keys)
     if heavy is None:
-        return _bucketed(x, *args, bucket_seconds)
+        return _bucketed(x, *args, *bkt)
     if not heavy:
         return _single_window(x, *args)
     light, hot = split_keys(x, "_uk", heavy)
-    return _single_window(light, *args).unionByName(_bucketed(hot, *args, bucket_seconds))
+    return _single_window(light, *args).unionByName(_bucketed(hot, *args, *bkt))
 
 
 def _finish(rows: DataFrame, cols, prev_ts, time_diff, brk, session_id) -> DataFrame:
@@ -97,9 +98,13 @@ def _single_window(x: DataFrame, cols, ts, order, gap_seconds, base) -> DataFram
     return _finish(y, cols, F.col("_prev_ts"), F.col("_diff"), F.col("_brk"), sid)
 
 
-def _bucketed(x: DataFrame, cols, ts, order, gap_seconds, base, bucket_seconds) -> DataFrame:
-    """Two-pass scan over (user, time bucket) with a carry across buckets (see module doc)."""
-    x = x.withColumn("_bkt", F.struct(F.floor(F.col("_sec") / F.lit(bucket_seconds)).alias("b")))
+def _bucketed(x: DataFrame, cols, ts, order, gap_seconds, base, bucket_seconds, hot_rows, max_hot_keys) -> DataFrame:
+    """Two-pass scan over (user, time bucket) with a carry across buckets (see module doc).
+
+    A user-hour holding more than ``hot_rows`` entries is split per second
+    (``skew.time_buckets``); the carry logic only needs buckets in time order.
+    """
+    x = time_buckets(x, "_uk", "_sec", bucket_seconds, hot_rows, max_hot_keys)
     w = Window.partitionBy("_uk", "_bkt").orderBy(*order)
     x = (
         x.withColumn("_prev_ts", F.lag(ts).over(w))

@@ -37,3 +37,34 @@ def split_keys(df: DataFrame, key: str, heavy: list) -> tuple[DataFrame, DataFra
     keys = df.sparkSession.createDataFrame(heavy, df.select(key).schema)
     b = F.broadcast(keys)
     return df.join(b, key, "left_anti"), df.join(b, key, "left_semi")
+
+
+def time_buckets(
+    df: DataFrame,
+    key: str,
+    sec: str,
+    bucket_seconds: int,
+    hot_rows: int | None,
+    max_keys: int = DEFAULT_MAX_HOT_KEYS,
+) -> DataFrame:
+    """Add ``_bkt``: a time bucket per key that is monotone in time and bounded in rows.
+
+    Buckets are ``bucket_seconds`` wide. A (key, bucket) holding more than
+    ``hot_rows`` rows (found by a bounded pre-pass) is split into one bucket
+    per whole second, so even a burst of one key within one bucket is spread
+    over many tasks. With more than ``max_keys`` such buckets every bucket is
+    split per second; ``hot_rows=None`` never splits.
+    """
+    coarse = F.floor(F.col(sec) / F.lit(bucket_seconds))
+    x = df.withColumn("_hk", F.struct(F.col(key).alias("k"), coarse.alias("b")))
+    heavy = [] if hot_rows is None else heavy_keys(x, "_hk", hot_rows, max_keys)
+    if heavy is None:
+        fine = F.col(sec)
+    elif not heavy:
+        fine = F.lit(0).cast("bigint")
+    else:
+        marks = df.sparkSession.createDataFrame(heavy, x.select("_hk").schema).withColumn("_fine", F.lit(True))
+        x = x.join(F.broadcast(marks), "_hk", "left")
+        fine = F.when(F.col("_fine"), F.col(sec)).otherwise(F.lit(0).cast("bigint"))
+    out = x.withColumn("_bkt", F.struct(coarse.alias("b"), fine.alias("s")))
+    return out.drop("_hk", "_fine") if "_fine" in out.columns else out.drop("_hk")
