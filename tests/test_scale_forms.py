@@ -203,7 +203,24 @@ def test_time_buckets_refine_only_heavy_hours(spark):
     df = spark.createDataFrame(_burst(), SCHEMAS["logs"]).withColumn("_sec", F.unix_timestamp("timestamp"))
     b = time_buckets(df, "userId", "_sec", 3600, hot_rows=20).select("userId", "_sec", "_bkt.b", "_bkt.s").collect()
     hot = [r for r in b if r.userId == 0]
-    assert any(r.s == r._sec for r in hot) and all(r.s in (0, r._sec) for r in hot)
-    assert all(r.s == 0 for r in b if r.userId != 0)
+    assert any(r.s == r._sec for r in hot) and all(r.s in (None, r._sec) for r in hot)
+    assert all(r.s is None for r in b if r.userId != 0)
     none = time_buckets(df, "userId", "_sec", 3600, hot_rows=None).select("_bkt.s").distinct().collect()
-    assert [r.s for r in none] == [0]
+    assert [r.s for r in none] == [None]
+
+
+@pytest.mark.parametrize("hot_bucket_rows", [None, 3, 10**9])
+def test_paged_list_with_fine_buckets(spark, hot_bucket_rows):
+    rows = _burst(300, seed=29)
+    df = spark.createDataFrame(rows, SCHEMAS["logs"])
+    out = paged_sorted_list(
+        df, ["userId"], F.struct("timestamp", "source_id"), time_bucket("timestamp", 3600), "items",
+        page_size=7, total_name="total", fine_bucket=F.unix_timestamp("timestamp"), hot_bucket_rows=hot_bucket_rows,
+    ).collect()
+    by = {}
+    for ts, s_, u, *_ in rows:
+        by.setdefault(u, []).append((ts, s_))
+    for r in out:
+        v = sorted(by[r.userId])
+        assert [tuple(e) for e in r.items] == v[r.page * 7:(r.page + 1) * 7] and r.total == len(v)
+    assert sum(len(r.items) for r in out) == len(rows)

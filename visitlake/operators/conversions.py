@@ -88,6 +88,7 @@ def conversions_by_date(
         "conversions",
         page_size=page_size,
         total_name="conversion_count",
+        fine_bucket=F.unix_timestamp("log_local_ts"),
     )
 
 

@@ -31,7 +31,11 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from visitlake.operators.skew import DEFAULT_MAX_HOT_KEYS, heavy_keys, split_keys
+from visitlake.operators.skew import DEFAULT_MAX_HOT_KEYS, heavy_keys, refine_buckets, split_keys
+
+# A (group, bucket) of a multi-page group with more elements than this is
+# split by the caller's finer bucket (for time-ordered lists: one per second).
+DEFAULT_HOT_BUCKET_ROWS = 1_000_000
 
 DEFAULT_PAGE_SIZE = 10_000
 
@@ -55,6 +59,8 @@ def paged_sorted_list(
     last_name: str | None = None,
     split_heavy: bool = True,
     max_hot_keys: int = DEFAULT_MAX_HOT_KEYS,
+    fine_bucket: Column | None = None,
+    hot_bucket_rows: int | None = DEFAULT_HOT_BUCKET_ROWS,
 ) -> DataFrame:
     """One row per (keys, page) with the sorted elements of that page.
 
@@ -63,24 +69,25 @@ def paged_sorted_list(
     ``total_name`` adds the group's element count to every page row and
     ``last_name`` the group's greatest element (the end of its last page).
     ``split_heavy=False`` sends every group through the ranked path.
+    ``fine_bucket`` (non-decreasing in element order, refining ``bucket``)
+    splits a bucket holding more than ``hot_bucket_rows`` elements.
     """
     if page_size <= 0:
         raise ValueError("page_size must be positive")
-    # Key and bucket are wrapped in non-nullable structs: no null-filter is
-    # inferred on one side of the self-join, so both sides share one exchange.
-    rows = (
-        df.select(group_key(keys).alias(_K), F.struct(bucket.alias("b")).alias("_bkt"), item.alias("_item"))
-        .where(F.col("_item").isNotNull())
-    )
+    cols = [group_key(keys).alias(_K), bucket.alias("_b"), item.alias("_item")]
+    if fine_bucket is not None:
+        cols.append(fine_bucket.alias("_f"))
+    rows = df.select(*cols).where(F.col("_item").isNotNull())
     names = (list_name, total_name, last_name, page_name)
+    ranked = dict(page_size=page_size, hot_bucket_rows=hot_bucket_rows, max_hot_keys=max_hot_keys)
     heavy = heavy_keys(rows, _K, page_size, max_hot_keys) if split_heavy else None
     if heavy is None:
-        out = _ranked_pages(rows, page_size, *names)
+        out = _ranked_pages(rows, *names, **ranked)
     elif not heavy:
         out = _one_page(rows, *names)
     else:
         light, hot = split_keys(rows, _K, heavy)
-        out = _one_page(light, *names).unionByName(_ranked_pages(hot, page_size, *names))
+        out = _one_page(light, *names).unionByName(_ranked_pages(hot, *names, **ranked))
     key_cols = [F.col(f"{_K}.`{c}`").alias(c) for c in keys]
     rest = [c for c in out.columns if c != _K]
     return out.select(*key_cols, *rest)
@@ -97,8 +104,16 @@ def _one_page(rows: DataFrame, list_name, total_name, last_name, page_name) -> D
     return out.select(_K, page_name, *[n for n in (list_name, total_name, last_name) if n])
 
 
-def _ranked_pages(rows: DataFrame, page_size: int, list_name, total_name, last_name, page_name) -> DataFrame:
+def _ranked_pages(
+    rows: DataFrame, list_name, total_name, last_name, page_name, page_size, hot_bucket_rows, max_hot_keys
+) -> DataFrame:
     """Exact pages of any group size (steps 1-5 of the module doc)."""
+    # The bucket is a non-nullable struct: no null-filter is inferred on one
+    # side of the self-join below, so both sides share one exchange.
+    if "_f" in rows.columns:
+        rows = refine_buckets(rows, _K, F.col("_b"), F.col("_f"), hot_bucket_rows, max_hot_keys).drop("_b", "_f")
+    else:
+        rows = rows.withColumn("_bkt", F.struct(F.col("_b").alias("b"))).drop("_b")
     # The summary is taken from the ranked rows (already clustered by group and
     # bucket), so the input is scanned and shuffled once.
     ranked = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(_K, "_bkt").orderBy("_item")))

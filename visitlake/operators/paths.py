@@ -44,6 +44,7 @@ def group_paths(
         page_size=page_size,
         total_name="entries_count",
         last_name="_last",
+        fine_bucket=F.unix_timestamp("timestamp"),
     )
     return paged.select(
         *PATH_KEYS, "page", "full_session", "entries_count", F.col("_last.timestamp").alias("timestamp")

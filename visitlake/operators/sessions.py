@@ -208,4 +208,5 @@ def session_paths(
         "path",
         page_size=page_size,
         total_name="entries",
+        fine_bucket=F.unix_timestamp(ts),
     )

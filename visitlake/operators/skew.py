@@ -39,32 +39,46 @@ def split_keys(df: DataFrame, key: str, heavy: list) -> tuple[DataFrame, DataFra
     return df.join(b, key, "left_anti"), df.join(b, key, "left_semi")
 
 
-def time_buckets(
+def refine_buckets(
     df: DataFrame,
     key: str,
-    sec: str,
-    bucket_seconds: int,
+    coarse: F.Column,
+    fine: F.Column,
     hot_rows: int | None,
     max_keys: int = DEFAULT_MAX_HOT_KEYS,
 ) -> DataFrame:
-    """Add ``_bkt``: a time bucket per key that is monotone in time and bounded in rows.
+    """Add ``_bkt = struct(b = coarse, s = fine or null)``, ordered like the rows it holds.
 
-    Buckets are ``bucket_seconds`` wide. A (key, bucket) holding more than
-    ``hot_rows`` rows (found by a bounded pre-pass) is split into one bucket
-    per whole second, so even a burst of one key within one bucket is spread
-    over many tasks. With more than ``max_keys`` such buckets every bucket is
-    split per second; ``hot_rows=None`` never splits.
+    ``fine`` must be non-decreasing in the same order as ``coarse``. A (key,
+    coarse bucket) holding more than ``hot_rows`` rows (found by a bounded
+    pre-pass) is split by ``fine``; other buckets stay whole (``s`` null).
+    With more than ``max_keys`` heavy buckets every bucket is split;
+    ``hot_rows=None`` never splits.
     """
-    coarse = F.floor(F.col(sec) / F.lit(bucket_seconds))
-    x = df.withColumn("_hk", F.struct(F.col(key).alias("k"), coarse.alias("b")))
+    x = df.withColumn("_cb", coarse).withColumn("_fb", fine)
+    x = x.withColumn("_hk", F.struct(F.col(key).alias("k"), F.col("_cb").alias("b")))
     heavy = [] if hot_rows is None else heavy_keys(x, "_hk", hot_rows, max_keys)
     if heavy is None:
-        fine = F.col(sec)
+        split = F.col("_fb")
     elif not heavy:
-        fine = F.lit(0).cast("bigint")
+        split = F.lit(None).cast(x.schema["_fb"].dataType)
     else:
-        marks = df.sparkSession.createDataFrame(heavy, x.select("_hk").schema).withColumn("_fine", F.lit(True))
+        marks = df.sparkSession.createDataFrame(heavy, x.select("_hk").schema).withColumn("_split", F.lit(True))
         x = x.join(F.broadcast(marks), "_hk", "left")
-        fine = F.when(F.col("_fine"), F.col(sec)).otherwise(F.lit(0).cast("bigint"))
-    out = x.withColumn("_bkt", F.struct(coarse.alias("b"), fine.alias("s")))
-    return out.drop("_hk", "_fine") if "_fine" in out.columns else out.drop("_hk")
+        split = F.when(F.col("_split"), F.col("_fb"))
+    out = x.withColumn("_bkt", F.struct(F.col("_cb").alias("b"), split.alias("s")))
+    return out.drop(*[c for c in ("_hk", "_split", "_cb", "_fb") if c in out.columns])
+
+
+def time_buckets(
+    df: DataFrame,
+    key: str,
+    sec: str,
+    bucket_seconds: int,
+    hot_rows: int | None,
+    max_keys: int = DEFAULT_MAX_HOT_KEYS,
+) -> DataFrame:
+    """Add ``_bkt``: ``bucket_seconds``-wide time buckets per key; a heavy (key,
+    bucket) -- a burst -- is split into one bucket per whole second, so it is
+    spread over many tasks."""
+    return refine_buckets(df, key, F.floor(F.col(sec) / F.lit(bucket_seconds)), F.col(sec), hot_rows, max_keys)
