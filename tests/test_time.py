@@ -73,3 +73,22 @@ def test_results_do_not_depend_on_session_zone(spark, micro):
         assert df.select(seconds_text("ts").alias("s")).first().s == "2024-03-10 02:30:00"
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_registered_time_queries_do_not_depend_on_session_zone(spark):
+    from __spark_entry__ import queries
+
+    names = ["conversions_by_date", "last_touch_conversions", "local_time_range", "rebuild_sessions", "tz_local_date",
+             "date_format_second", "visitors_once_per_session"]
+    sf = "/root/testdata/sf0.001"
+
+    def rows(name):
+        return sorted(repr(r) for r in queries()[name](spark, sf).collect())
+
+    base = {n: rows(n) for n in names}
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        for n in names:
+            assert rows(n) == base[n], n
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

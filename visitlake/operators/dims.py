@@ -1,7 +1,8 @@
 """Dimension lookups (sources, campaigns, URL maps) with a checked broadcast.
 
 A dimension is broadcast only after a bounded probe proves it has at most
-``max_rows`` rows (``limit(max_rows + 1).count()`` reads no more than that).
+``max_rows`` rows: ``take(max_rows + 1)`` of a one-literal projection scans
+partitions incrementally and stops as soon as the bound is exceeded.
 Beyond the bound the join is left to the planner: sort-merge or shuffled hash
 join, with AQE skew splitting on the fact side.
 """
@@ -17,7 +18,7 @@ DEFAULT_MAX_BROADCAST_ROWS = 200_000
 
 def has_at_most(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has no more than ``max_rows`` rows (bounded probe job)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    return len(df.select(F.lit(1).alias("_")).take(max_rows + 1)) <= max_rows
 
 
 def sized_broadcast(dim: DataFrame, max_rows: int | None = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
