@@ -10,7 +10,7 @@ row with ``page = 0`` -- the reference's shape.
 How the rank is found without putting a group in one task:
 
 1. each element gets a *bucket* that is monotone in element order (a time
-   bucket, an id range, or the value itself plus a hash salt);
+   bucket, an id range, a string prefix);
 2. per (group, bucket) counts are aggregated (partial aggregation, no skew);
 3. a running sum over the bucket counts of each group gives the offset of
    each bucket -- that window sees one row per bucket, not per element;
@@ -144,14 +144,11 @@ def time_bucket(ts: Column | str, seconds: int) -> Column:
     return F.floor(F.unix_timestamp(col) / F.lit(seconds))
 
 
-def value_bucket(value: Column | str, salt_of: Sequence[Column | str] = (), salts: int = 16) -> Column:
-    """Bucket for lists sorted by the value itself: (value, hash salt).
+def prefix_bucket(value: Column | str, length: int = 8) -> Column:
+    """Bucket for lists of strings sorted by value: the first ``length`` characters.
 
-    Equal values are equal elements, so spreading them over ``salts`` buckets
-    keeps the bucket order consistent with the element order.
+    A string's prefix is non-decreasing in string order, so prefixes are valid
+    buckets; a heavy prefix can be refined by the full value (``fine_bucket``).
     """
     col = F.col(value) if isinstance(value, str) else value
-    if not salt_of:
-        return F.struct(col.alias("v"))
-    salt = F.pmod(F.xxhash64(*[F.col(c) if isinstance(c, str) else c for c in salt_of]), F.lit(salts))
-    return F.struct(col.alias("v"), salt.alias("s"))
+    return F.substring(col, 1, length)

@@ -41,8 +41,6 @@ DEFAULT_BUCKET_SECONDS = 3600
 # task per user-hour); lighter users in one window task each.
 DEFAULT_HOT_ROWS = 1_000_000
 
-SESSION_COLUMNS = ("prev_timestamp", "time_diff", "session_break", "session_id")
-
 
 def sessionize(
     logs: DataFrame,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from visitlake.functions import local_time, seconds_text
 from visitlake.operators import campaign_url_map, latest_per_key, log_paths_by_campaign, sessionize
 from visitlake.operators.dims import join_dimension
-from visitlake.operators.pages import paged_sorted_list, value_bucket
+from visitlake.operators.pages import paged_sorted_list, prefix_bucket
 from visitlake.operators.paths import filter_time_conditions
 from visitlake.plans.registry import CONDITIONS, ZONE, _t, q_flatten_sessions, q_orders_per_user
 from visitlake.sources import preview
@@ -37,7 +37,8 @@ def p_agg_count_distinct(spark, sf_dir):
 def p_agg_collect_sorted(spark, sf_dir):
     pairs = _t(spark, sf_dir).logs.select("source_id", "landing_url").distinct()
     return paged_sorted_list(
-        pairs, ["source_id"], F.col("landing_url"), value_bucket("landing_url"), "urls", total_name="url_count"
+        pairs, ["source_id"], F.col("landing_url"), prefix_bucket("landing_url"), "urls",
+        total_name="url_count", fine_bucket=F.col("landing_url"),
     )
 
 
