@@ -167,6 +167,10 @@ def test_orders_and_pages_paged(spark):
 
     logs = spark.createDataFrame(_logs(300, seed=9), SCHEMAS["logs"])
     pv = pages_per_user(users, logs, page_size=5).collect()
+    assert sorted(map(repr, pv)) == sorted(map(repr, pages_per_user(users, logs, page_size=5, split_heavy=False).collect()))
+    assert sorted(map(repr, pages_per_user(users, logs, page_size=10**6).collect())) == sorted(
+        map(repr, pages_per_user(users, logs, page_size=10**6, split_heavy=False).collect())
+    )
     for u in {r.userId for r in pv}:
         pages = [x for r in sorted((r for r in pv if r.userId == u), key=lambda r: r.page) for x in r.pages_visited]
         want = sorted(row[4] for row in _logs(300, seed=9) if row[2] == u)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from visitlake.operators.dims import DEFAULT_MAX_BROADCAST_ROWS, sized_broadcast
 from visitlake.operators.pages import DEFAULT_PAGE_SIZE, paged_sorted_list
+from visitlake.operators.skew import DEFAULT_MAX_HOT_KEYS, heavy_keys, split_keys
 
 # Order ids are bucketed in ranges of this width for paging (ids are unique,
 # so a bucket -- one task's share of a user -- holds at most this many orders).
@@ -45,6 +46,8 @@ def pages_per_user(
     logs: DataFrame,
     page_size: int = DEFAULT_PAGE_SIZE,
     max_broadcast_rows: int | None = DEFAULT_MAX_BROADCAST_ROWS,
+    split_heavy: bool = True,
+    max_hot_keys: int = DEFAULT_MAX_HOT_KEYS,
 ) -> DataFrame:
     """O2: users ⨝ logs; per user distinct ``page_count`` and every visit in ``pages_visited``.
 
@@ -53,10 +56,33 @@ def pages_per_user(
     (user, url) counts -- a partial aggregate, however hot the user or the
     URL -- and rebuilt with ``array_repeat``; no per-visit window or shuffle
     of visits is needed. The running offset window sees one row per distinct
-    URL of a user.
+    URL of a user. Users proven to have at most one page of visits (bounded
+    pre-pass) skip the runs: one ``collect_list`` each.
     """
     joined = logs.select("userId", "landing_url").join(_known_users(users, max_broadcast_rows), "userId")
-    runs = joined.where(F.col("landing_url").isNotNull()).groupBy("userId", "landing_url").agg(
+    visits = joined.where(F.col("landing_url").isNotNull()).withColumn("_uk", F.struct(F.col("userId").alias("u")))
+    heavy = heavy_keys(visits, "_uk", page_size, max_hot_keys) if split_heavy else None
+    if heavy is None:
+        return _pages_from_runs(visits, page_size)
+    if not heavy:
+        return _pages_one_list(visits)
+    light, hot = split_keys(visits, "_uk", heavy)
+    return _pages_one_list(light).unionByName(_pages_from_runs(hot, page_size))
+
+
+def _pages_one_list(visits: DataFrame) -> DataFrame:
+    out = visits.groupBy("userId").agg(F.array_sort(F.collect_list("landing_url")).alias("pages_visited"))
+    return out.select(
+        "userId",
+        F.lit(0).alias("page"),
+        "pages_visited",
+        F.size("pages_visited").cast("bigint").alias("visit_count"),
+        F.size(F.array_distinct("pages_visited")).cast("bigint").alias("page_count"),
+    )
+
+
+def _pages_from_runs(visits: DataFrame, page_size: int) -> DataFrame:
+    runs = visits.groupBy("userId", "landing_url").agg(
         F.count(F.lit(1)).alias("_n")
     )
     by_user = Window.partitionBy("userId")
