@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: label used when no campaign or utm name is known.
-UNKNOWN = "Unknown"
+from visitlake.fixed import UNKNOWN_CAMPAIGN as UNKNOWN
 
 
 def optional_column(df: DataFrame, name: str, default=None) -> Column:

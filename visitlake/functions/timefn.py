@@ -11,8 +11,8 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: the service's reporting zone.
-DEFAULT_ZONE = "Asia/Jerusalem"
+from visitlake.fixed import REPORT_ZONE as DEFAULT_ZONE
+from visitlake.fixed import TRAILING_MONTHS
 
 
 def whole_seconds(ts: Column | str) -> Column:
@@ -82,7 +82,7 @@ def local_time_range(
 def trailing_year_bounds(as_of) -> tuple[Column, Column]:
     """[as_of - 12 months, as_of] as dates; 29 Feb maps to 28 Feb."""
     end = F.lit(as_of).cast("date") if not isinstance(as_of, Column) else as_of.cast("date")
-    return F.add_months(end, -12), end
+    return F.add_months(end, -TRAILING_MONTHS), end
 
 
 def trailing_year(df: DataFrame, ts: str, as_of, date_col: str | None = "date") -> DataFrame:
@@ -94,7 +94,11 @@ def trailing_year(df: DataFrame, ts: str, as_of, date_col: str | None = "date")
 
 
 def seconds_text(ts: Column | str) -> Column:
-    """'yyyy-MM-dd HH:mm:ss' of a timestamp_ntz (fraction truncated)."""
+    """SECOND_TEXT_FORMAT ('yyyy-MM-dd HH:mm:ss') of a timestamp_ntz, fraction truncated.
+
+    Cut from the zone-free text form; ``date_format`` would pass through the
+    session zone.
+    """
     col = F.col(ts) if isinstance(ts, str) else ts
     return F.substring(col.cast("string"), 1, 19)
 

@@ -13,6 +13,7 @@ from typing import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from visitlake.fixed import CAMPAIGN_NAME_SEPARATOR, PARENT_PREFIX
 from visitlake.functions.columns import UNKNOWN, optional_column
 from visitlake.functions.timefn import iso_utc_text, parse_bound
 from visitlake.operators.dims import DEFAULT_MAX_BROADCAST_ROWS, join_dimension
@@ -115,7 +116,7 @@ def campaign_by_url_params(
     joined = join_dimension(base, url_map, "url", "left", max_broadcast_rows)
     from_campaign = F.when(
         F.col("type").isNotNull() & F.col("description").isNotNull(),
-        F.concat(F.col("type"), F.lit(" - "), F.col("description")),
+        F.concat(F.col("type"), F.lit(CAMPAIGN_NAME_SEPARATOR), F.col("description")),
     )
     named = joined.withColumn("campaign_name", F.coalesce(from_campaign, F.col("_utm"), F.lit(UNKNOWN))).drop(
         "url", "type", "description", "_utm"
@@ -125,8 +126,9 @@ def campaign_by_url_params(
 
 def flatten_sessions(paths: DataFrame) -> DataFrame:
     """One row per ``full_session`` entry; path fields prefixed ``parent_``."""
-    exploded = paths.select(*[F.col(c).alias(f"parent_{c}") for c in PARENT_FIELDS], F.explode("full_session").alias("_e"))
-    return exploded.select(*[F.col(f"_e.{c}").alias(c) for c in ENTRY_FIELDS], *[f"parent_{c}" for c in PARENT_FIELDS])
+    parents = [F.col(c).alias(PARENT_PREFIX + c) for c in PARENT_FIELDS]
+    exploded = paths.select(*parents, F.explode("full_session").alias("_e"))
+    return exploded.select(*[F.col(f"_e.{c}").alias(c) for c in ENTRY_FIELDS], *[PARENT_PREFIX + c for c in PARENT_FIELDS])
 
 
 def _range(col: Column, lo, hi) -> Column:

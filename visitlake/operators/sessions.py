@@ -34,8 +34,7 @@ from pyspark.sql import functions as F
 from visitlake.operators.pages import DEFAULT_PAGE_SIZE, paged_sorted_list, time_bucket
 from visitlake.operators.skew import DEFAULT_MAX_HOT_KEYS, heavy_keys, split_keys, time_buckets
 
-# Fixed values from the reference: 30 minutes of inactivity ends a session.
-DEFAULT_GAP_SECONDS = 1800
+from visitlake.fixed import SESSION_GAP_SECONDS as DEFAULT_GAP_SECONDS
 DEFAULT_BUCKET_SECONDS = 3600
 # Users with more entries than this are scanned in time buckets (one window
 # task per user-hour); lighter users in one window task each.

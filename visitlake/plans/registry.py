@@ -12,6 +12,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from visitlake.fixed import REPORT_ZONE, UNKNOWN_CAMPAIGN
 from visitlake.functions import local_time_range, optional_column, trailing_year
 from visitlake.operators import (
     campaign_by_url_params,
@@ -40,7 +41,7 @@ from visitlake.sources import json_records, testdata
 
 # Fixed parameters of the registered queries (the oracle SQL uses the same).
 AS_OF = "2024-02-01"
-ZONE = "Asia/Jerusalem"
+ZONE = REPORT_ZONE
 RANGE_START = "2024-01-05 00:00:00"
 RANGE_END = "2024-01-20 00:00:00"
 DATE_START = "2024-01-05"
@@ -152,12 +153,12 @@ def q_rebuild_sessions(spark, sf_dir):
 
 def q_optional_column(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return t.logs.select("userId", "timestamp", optional_column(t.logs, "utm_source", "Unknown").alias("campaign_name"))
+    return t.logs.select("userId", "timestamp", optional_column(t.logs, "utm_source", UNKNOWN_CAMPAIGN).alias("campaign_name"))
 
 
 def q_optional_column_absent(spark, sf_dir):
     t = _t(spark, sf_dir, utm=False)
-    return t.logs.select("userId", "timestamp", optional_column(t.logs, "utm_source", "Unknown").alias("campaign_name"))
+    return t.logs.select("userId", "timestamp", optional_column(t.logs, "utm_source", UNKNOWN_CAMPAIGN).alias("campaign_name"))
 
 
 def q_json_records(spark, sf_dir):

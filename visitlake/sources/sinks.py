@@ -7,8 +7,9 @@ from typing import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: the reference's outward name of the campaign column.
-JSON_RENAMES = {"campaign_name": "Campaign name"}
+from visitlake.fixed import CAMPAIGN_NAME_FIELD, PREVIEW_ROWS
+
+JSON_RENAMES = {"campaign_name": CAMPAIGN_NAME_FIELD}
 
 # UTC wall-clock timestamps are written with a Z suffix, as the reference's records show them.
 _TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss[.SSS]'Z'"
@@ -49,7 +50,7 @@ def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists", partiti
     writer.parquet(path)
 
 
-def preview(df: DataFrame, n: int = 50, order_by=None) -> DataFrame:
+def preview(df: DataFrame, n: int = PREVIEW_ROWS, order_by=None) -> DataFrame:
     """Console-style preview: the first ``n`` rows (a limit is the feature here).
 
     With ``order_by`` the rows are a deterministic top-n (TakeOrderedAndProject,
