@@ -48,3 +48,24 @@ def test_whole_second_gap_rule(spark):
         SCHEMAS["logs"],
     )
     assert sorted(r.entries for r in stream_session_summary(df).collect()) == [1, 2]
+
+
+def test_visitors_stream_equals_batch(spark):
+    from visitlake.operators import visitors_by_source_date
+    from visitlake.streaming import run_visitors_stream
+
+    rows = _logs(400, seed=31)
+    last = max(r[0] for r in rows)
+    flush = (last + dt.timedelta(days=2), 0, 999, None, "/flush", None)
+    sources = spark.createDataFrame([(s, f"s{s}") for s in range(3)], SCHEMAS["sources"])
+    src = tempfile.mkdtemp(prefix="visitlake-vsrc-")
+    out = tempfile.mkdtemp(prefix="visitlake-vout-")
+    ckpt = tempfile.mkdtemp(prefix="visitlake-vck-")
+    df = spark.createDataFrame(rows, SCHEMAS["logs"])
+    df.repartition(2).write.mode("append").parquet(src)
+    spark.createDataFrame([flush], SCHEMAS["logs"]).write.mode("append").parquet(src)
+    q = run_visitors_stream(spark, src, out + "/v", sources, ckpt + "/c")
+    q.awaitTermination(300)
+    got = sorted(tuple(r) for r in spark.read.parquet(out + "/v").select("date", "source_name", "visitors").collect())
+    want = sorted(tuple(r) for r in visitors_by_source_date(df, sources, "2024-12-31").select("date", "source_name", "visitors").collect())
+    assert got == want and got
