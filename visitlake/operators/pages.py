@@ -12,8 +12,9 @@ How the rank is found without putting a group in one task:
 1. each element gets a *bucket* that is monotone in element order (a time
    bucket, an id range, a string prefix);
 2. per (group, bucket) counts are aggregated (partial aggregation, no skew);
-3. a running sum over the bucket counts of each group gives the offset of
-   each bucket -- that window sees one row per bucket, not per element;
+3. running sums over the bucket counts give the offset of each bucket --
+   in two levels (sub-buckets of a coarse bucket, then the group's coarse
+   buckets), so a window sees one row per bucket, never per element;
 4. a ``row_number`` inside (group, bucket) plus the offset is the exact rank;
 5. ``groupBy(group, page)`` builds the lists; every group of that aggregate
    has at most ``page_size`` elements.
@@ -117,15 +118,24 @@ def _ranked_pages(
     # The summary is taken from the ranked rows (already clustered by group and
     # bucket), so the input is scanned and shuffled once.
     ranked = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(_K, "_bkt").orderBy("_item")))
-    summary = ranked.groupBy(_K, "_bkt").agg(F.max("_rn").alias("_n"), F.max("_item").alias("_bmax"))
+    # Offsets in two levels: sub-buckets within a coarse bucket, then the
+    # group's coarse buckets -- no window sees more than one of those lists.
+    sub = ranked.groupBy(_K, "_bkt").agg(F.max("_rn").alias("_n"), F.max("_item").alias("_bmax"))
+    sub = sub.withColumn("_b", F.col("_bkt.b"))
+    wh = Window.partitionBy(_K, "_b").orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    sub = sub.withColumn("_off_in", F.coalesce(F.sum("_n").over(wh), F.lit(0)))
+    coarse = sub.groupBy(_K, "_b").agg(F.sum("_n").alias("_cn"), F.max("_bmax").alias("_cmax"))
     by_group = Window.partitionBy(_K)
-    before = F.sum("_n").over(by_group.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1))
-    summary = summary.select(
+    coarse = coarse.select(
         _K,
-        "_bkt",
-        F.coalesce(before, F.lit(0)).alias("_before"),
-        F.sum("_n").over(by_group).alias("_total"),
-        F.max("_bmax").over(by_group).alias("_last"),
+        "_b",
+        F.coalesce(F.sum("_cn").over(by_group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        .alias("_c_off"),
+        F.sum("_cn").over(by_group).alias("_total"),
+        F.max("_cmax").over(by_group).alias("_last"),
+    )
+    summary = sub.join(coarse, [_K, "_b"]).select(
+        _K, "_bkt", (F.col("_c_off") + F.col("_off_in")).alias("_before"), "_total", "_last"
     )
     placed = ranked.join(summary, [_K, "_bkt"])
     page = F.floor((F.col("_before") + F.col("_rn") - 1) / F.lit(page_size)).cast("int")

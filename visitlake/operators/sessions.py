@@ -14,10 +14,10 @@ users get a two-pass scan:
 * pass 1 -- window over (user, time bucket): previous entry, local break flags
   and a running break count inside the bucket; bucket sizes are bounded by
   ``bucket_seconds`` of one user's traffic;
-* pass 2 -- a per-(user, bucket) summary (first/last time, break count) gets a
-  window over the user's *buckets* (bounded by time span / bucket width, not
-  by row count) that carries the last entry of the previous bucket and the
-  number of breaks before the bucket;
+* pass 2 -- a per-(user, bucket) summary (first/last time, break count) gets
+  windows that carry the last entry of the previous bucket and the number of
+  breaks before the bucket: over the sub-buckets of one hour (at most 3600)
+  and over the hours of one user (bounded by time span, not by row count);
 * the summary is joined back on (user, bucket); the rows side is already
   clustered on that key, so only the small summary is shuffled.
 
@@ -99,7 +99,9 @@ def _bucketed(x: DataFrame, cols, ts, order, gap_seconds, base, bucket_seconds,
     """Two-pass scan over (user, time bucket) with a carry across buckets (see module doc).
 
     A user-hour holding more than ``hot_rows`` entries is split per second
-    (``skew.time_buckets``); the carry logic only needs buckets in time order.
+    (``skew.time_buckets``). Carries are then taken in two levels so that no
+    window sees more than one key's hours, or one hour's seconds: sub-buckets
+    within an hour (partition (user, hour)), then hours (partition user).
     """
     x = time_buckets(x, "_uk", "_sec", bucket_seconds, hot_rows, max_hot_keys)
     w = Window.partitionBy("_uk", "_bkt").orderBy(*order)
@@ -112,30 +114,55 @@ def _bucketed(x: DataFrame, cols, ts, order, gap_seconds, base, bucket_seconds,
         )
         .withColumn("_cum", F.sum("_brk").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     )
-    summary = x.groupBy("_uk", "_bkt").agg(
+    # level 2: sub-buckets of one hour
+    sub = x.groupBy("_uk", "_bkt").agg(
         F.min("_sec").alias("_first_sec"),
         F.max("_sec").alias("_last_sec"),
         F.max(ts).alias("_last_ts"),
         F.sum("_brk").alias("_brk_in"),
+    ).withColumn("_b", F.col("_bkt.b"))
+    wh = Window.partitionBy("_uk", "_b").orderBy("_bkt")
+    prev_sec = F.lag("_last_sec").over(wh)
+    sub = sub.select(
+        "_uk", "_bkt", "_b", "_first_sec", "_last_sec", "_last_ts", "_brk_in",
+        F.lag("_last_ts").over(wh).alias("_carry_in"),
+        prev_sec.isNull().alias("_first_of_hour"),
+        F.when(prev_sec.isNotNull() & ((F.col("_first_sec") - prev_sec) > gap_seconds), 1).otherwise(0).alias("_fbw"),
     )
-    ws = Window.partitionBy("_uk").orderBy("_bkt")
-    prev_last_sec = F.lag("_last_sec").over(ws)
-    summary = summary.select(
-        "_uk",
-        "_bkt",
-        F.lag("_last_ts").over(ws).alias("_carry_ts"),
-        F.when(prev_last_sec.isNotNull() & ((F.col("_first_sec") - prev_last_sec) > gap_seconds), 1)
+    sub = sub.withColumn(
+        "_off_in",
+        F.coalesce(F.sum(F.col("_brk_in") + F.col("_fbw")).over(wh.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+    )
+    # level 1: hours of one user
+    hour = sub.groupBy("_uk", "_b").agg(
+        F.min("_first_sec").alias("_h_first_sec"),
+        F.max("_last_sec").alias("_h_last_sec"),
+        F.max("_last_ts").alias("_h_last_ts"),
+        F.sum(F.col("_brk_in") + F.col("_fbw")).alias("_h_brk"),
+    )
+    ws = Window.partitionBy("_uk").orderBy("_b")
+    prev_hour_sec = F.lag("_h_last_sec").over(ws)
+    hour = hour.select(
+        "_uk", "_b", "_h_brk",
+        F.lag("_h_last_ts").over(ws).alias("_h_carry"),
+        F.when(prev_hour_sec.isNotNull() & ((F.col("_h_first_sec") - prev_hour_sec) > gap_seconds), 1)
         .otherwise(0)
-        .alias("_first_brk"),
-        "_brk_in",
+        .alias("_h_first_brk"),
     )
-    summary = summary.withColumn(
-        "_offset",
+    hour = hour.withColumn(
+        "_h_off",
         F.coalesce(
-            F.sum(F.col("_brk_in") + F.col("_first_brk")).over(ws.rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
+            F.sum(F.col("_h_brk") + F.col("_h_first_brk")).over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
         ),
-    ).drop("_brk_in")
+    )
+    first = F.col("_first_of_hour")
+    summary = sub.join(hour, ["_uk", "_b"]).select(
+        "_uk",
+        "_bkt",
+        F.when(first, F.col("_h_carry")).otherwise(F.col("_carry_in")).alias("_carry_ts"),
+        F.when(first, F.col("_h_first_brk")).otherwise(F.col("_fbw")).alias("_first_brk"),
+        (F.col("_h_off") + F.when(first, 0).otherwise(F.col("_h_first_brk") + F.col("_off_in"))).alias("_offset"),
+    )
     joined = x.join(summary, ["_uk", "_bkt"])
     first_in_bucket = F.col("_prev_sec").isNull()
     prev_ts = F.coalesce(F.col("_prev_ts"), F.col("_carry_ts"))
