@@ -205,12 +205,14 @@ def test_time_buckets_refine_only_heavy_hours(spark):
     from visitlake.operators.skew import time_buckets
 
     df = spark.createDataFrame(_burst(), SCHEMAS["logs"]).withColumn("_sec", F.unix_timestamp("timestamp"))
-    b = time_buckets(df, "userId", "_sec", 3600, hot_rows=20).select("userId", "_sec", "_bkt.b", "_bkt.s").collect()
+    tb, split = time_buckets(df, "userId", "_sec", 3600, hot_rows=20)
+    assert split
+    b = tb.select("userId", "_sec", "_bkt.b", "_bkt.s").collect()
     hot = [r for r in b if r.userId == 0]
     assert any(r.s == r._sec for r in hot) and all(r.s in (None, r._sec) for r in hot)
     assert all(r.s is None for r in b if r.userId != 0)
-    none = time_buckets(df, "userId", "_sec", 3600, hot_rows=None).select("_bkt.s").distinct().collect()
-    assert [r.s for r in none] == [None]
+    tb, split = time_buckets(df, "userId", "_sec", 3600, hot_rows=None)
+    assert not split and [r.s for r in tb.select("_bkt.s").distinct().collect()] == [None]
 
 
 @pytest.mark.parametrize("hot_bucket_rows", [None, 3, 10**9])

@@ -159,24 +159,34 @@ def _asof_single_window(ev: DataFrame) -> DataFrame:
 def _asof_bucketed(ev: DataFrame, bucket_seconds: int, hot_rows, max_hot_keys) -> DataFrame:
     """Per (user, time bucket) scan; the newest earlier log is carried in two levels:
     sub-buckets within an hour (at most 3600), then the user's hours."""
-    ev = time_buckets(ev.withColumn("_sec", F.unix_timestamp("timestamp")), "_uk", "_sec", bucket_seconds, hot_rows, max_hot_keys)
+    ev, split = time_buckets(
+        ev.withColumn("_sec", F.unix_timestamp("timestamp")), "_uk", "_sec", bucket_seconds, hot_rows, max_hot_keys
+    )
     w = Window.partitionBy("_uk", "_bkt").orderBy(*_ASOF_ORDER)
     ev = ev.withColumn(
         "_local", F.last("_touch", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     )
     sub = ev.groupBy("_uk", "_bkt").agg(F.max("_touch").alias("_bucket_last")).withColumn("_b", F.col("_bkt.b"))
+    if split:
+        summary = _touch_carries_two_level(sub)
+    else:
+        ws = Window.partitionBy("_uk").orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+        summary = sub.select("_uk", "_bkt", F.last("_bucket_last", ignorenulls=True).over(ws).alias("_carry"))
+    placed = ev.where(F.col("_kind") == 1).join(summary, ["_uk", "_bkt"])
+    return placed.select(
+        "orderId", "userId", "timestamp", F.coalesce(F.col("_local"), F.col("_carry")).alias("_credit")
+    )
+
+
+def _touch_carries_two_level(sub: DataFrame) -> DataFrame:
     wh = Window.partitionBy("_uk", "_b").orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     sub = sub.withColumn("_carry_in", F.last("_bucket_last", ignorenulls=True).over(wh))
     hour = sub.groupBy("_uk", "_b").agg(F.max("_bucket_last").alias("_hour_last"))
     ws = Window.partitionBy("_uk").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     hour = hour.select("_uk", "_b", F.last("_hour_last", ignorenulls=True).over(ws).alias("_h_carry"))
-    summary = sub.join(hour, ["_uk", "_b"]).select(
+    return sub.join(hour, ["_uk", "_b"]).select(
         "_uk", "_bkt", F.coalesce(F.col("_carry_in"), F.col("_h_carry")).alias("_carry")
     )
-    placed = ev.where(F.col("_kind") == 1).join(summary, ["_uk", "_bkt"])
-    return placed.select(
-        "orderId", "userId", "timestamp", F.coalesce(F.col("_local"), F.col("_carry")).alias("_credit")
-    )
 
 
 def last_touch_conversions(logs, orders, sources, start=None, end=None, zone: str = DEFAULT_ZONE, **kw) -> DataFrame:

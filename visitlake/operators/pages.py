@@ -111,16 +111,44 @@ def _ranked_pages(
     """Exact pages of any group size (steps 1-5 of the module doc)."""
     # The bucket is a non-nullable struct: no null-filter is inferred on one
     # side of the self-join below, so both sides share one exchange.
+    split = False
     if "_f" in rows.columns:
-        rows = refine_buckets(rows, _K, F.col("_b"), F.col("_f"), hot_bucket_rows, max_hot_keys).drop("_b", "_f")
+        rows, split = refine_buckets(rows, _K, F.col("_b"), F.col("_f"), hot_bucket_rows, max_hot_keys)
+        rows = rows.drop("_b", "_f")
     else:
         rows = rows.withColumn("_bkt", F.struct(F.col("_b").alias("b"))).drop("_b")
     # The summary is taken from the ranked rows (already clustered by group and
     # bucket), so the input is scanned and shuffled once.
     ranked = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(_K, "_bkt").orderBy("_item")))
-    # Offsets in two levels: sub-buckets within a coarse bucket, then the
-    # group's coarse buckets -- no window sees more than one of those lists.
     sub = ranked.groupBy(_K, "_bkt").agg(F.max("_rn").alias("_n"), F.max("_item").alias("_bmax"))
+    summary = _offsets_two_level(sub) if split else _offsets_one_level(sub)
+    placed = ranked.join(summary, [_K, "_bkt"])
+    page = F.floor((F.col("_before") + F.col("_rn") - 1) / F.lit(page_size)).cast("int")
+    aggs = [F.array_sort(F.collect_list("_item")).alias(list_name)]
+    if total_name:
+        aggs.append(F.max("_total").cast("bigint").alias(total_name))
+    if last_name:
+        aggs.append(F.max("_last").alias(last_name))
+    out = placed.groupBy(_K, page.alias(page_name)).agg(*aggs)
+    return out.select(_K, page_name, *[n for n in (list_name, total_name, last_name) if n])
+
+
+def _offsets_one_level(sub: DataFrame) -> DataFrame:
+    """Per (group, bucket): elements before it, group total, group maximum."""
+    by_group = Window.partitionBy(_K)
+    before = F.sum("_n").over(by_group.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1))
+    return sub.select(
+        _K,
+        "_bkt",
+        F.coalesce(before, F.lit(0)).alias("_before"),
+        F.sum("_n").over(by_group).alias("_total"),
+        F.max("_bmax").over(by_group).alias("_last"),
+    )
+
+
+def _offsets_two_level(sub: DataFrame) -> DataFrame:
+    """As ``_offsets_one_level`` for split buckets: sub-buckets within a coarse
+    bucket, then the group's coarse buckets -- no window sees more than one of those lists."""
     sub = sub.withColumn("_b", F.col("_bkt.b"))
     wh = Window.partitionBy(_K, "_b").orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     sub = sub.withColumn("_off_in", F.coalesce(F.sum("_n").over(wh), F.lit(0)))
@@ -134,18 +162,9 @@ def _ranked_pages(
         F.sum("_cn").over(by_group).alias("_total"),
         F.max("_cmax").over(by_group).alias("_last"),
     )
-    summary = sub.join(coarse, [_K, "_b"]).select(
+    return sub.join(coarse, [_K, "_b"]).select(
         _K, "_bkt", (F.col("_c_off") + F.col("_off_in")).alias("_before"), "_total", "_last"
     )
-    placed = ranked.join(summary, [_K, "_bkt"])
-    page = F.floor((F.col("_before") + F.col("_rn") - 1) / F.lit(page_size)).cast("int")
-    aggs = [F.array_sort(F.collect_list("_item")).alias(list_name)]
-    if total_name:
-        aggs.append(F.max("_total").cast("bigint").alias(total_name))
-    if last_name:
-        aggs.append(F.max("_last").alias(last_name))
-    out = placed.groupBy(_K, page.alias(page_name)).agg(*aggs)
-    return out.select(_K, page_name, *[n for n in (list_name, total_name, last_name) if n])
 
 
 def time_bucket(ts: Column | str, seconds: int) -> Column:

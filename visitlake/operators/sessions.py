@@ -103,7 +103,7 @@ def _bucketed(x: DataFrame, cols, ts, order, gap_seconds, base, bucket_seconds,
     window sees more than one key's hours, or one hour's seconds: sub-buckets
     within an hour (partition (user, hour)), then hours (partition user).
     """
-    x = time_buckets(x, "_uk", "_sec", bucket_seconds, hot_rows, max_hot_keys)
+    x, split = time_buckets(x, "_uk", "_sec", bucket_seconds, hot_rows, max_hot_keys)
     w = Window.partitionBy("_uk", "_bkt").orderBy(*order)
     x = (
         x.withColumn("_prev_ts", F.lag(ts).over(w))
@@ -114,13 +114,43 @@ def _bucketed(x: DataFrame, cols, ts, order, gap_seconds, base, bucket_seconds,
         )
         .withColumn("_cum", F.sum("_brk").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     )
-    # level 2: sub-buckets of one hour
     sub = x.groupBy("_uk", "_bkt").agg(
         F.min("_sec").alias("_first_sec"),
         F.max("_sec").alias("_last_sec"),
         F.max(ts).alias("_last_ts"),
         F.sum("_brk").alias("_brk_in"),
     ).withColumn("_b", F.col("_bkt.b"))
+    summary = _carries_two_level(sub, gap_seconds) if split else _carries_one_level(sub, gap_seconds)
+    joined = x.join(summary, ["_uk", "_bkt"])
+    first_in_bucket = F.col("_prev_sec").isNull()
+    prev_ts = F.coalesce(F.col("_prev_ts"), F.col("_carry_ts"))
+    return _finish(
+        joined,
+        cols,
+        prev_ts,
+        F.col("_sec") - F.unix_timestamp(prev_ts),
+        F.when(first_in_bucket, F.col("_first_brk")).otherwise(F.col("_brk")),
+        F.lit(base) + F.col("_offset") + F.col("_first_brk") + F.col("_cum"),
+    )
+
+
+def _carries_one_level(sub: DataFrame, gap_seconds: int) -> DataFrame:
+    """Per (user, bucket): last entry before it, break at its first entry, breaks before it."""
+    ws = Window.partitionBy("_uk").orderBy("_bkt")
+    prev_sec = F.lag("_last_sec").over(ws)
+    sub = sub.select(
+        "_uk",
+        "_bkt",
+        "_brk_in",
+        F.lag("_last_ts").over(ws).alias("_carry_ts"),
+        F.when(prev_sec.isNotNull() & ((F.col("_first_sec") - prev_sec) > gap_seconds), 1).otherwise(0).alias("_first_brk"),
+    )
+    before = F.sum(F.col("_brk_in") + F.col("_first_brk")).over(ws.rowsBetween(Window.unboundedPreceding, -1))
+    return sub.select("_uk", "_bkt", "_carry_ts", "_first_brk", F.coalesce(before, F.lit(0)).alias("_offset"))
+
+
+def _carries_two_level(sub: DataFrame, gap_seconds: int) -> DataFrame:
+    """As ``_carries_one_level`` when buckets are split: sub-buckets within an hour, then hours."""
     wh = Window.partitionBy("_uk", "_b").orderBy("_bkt")
     prev_sec = F.lag("_last_sec").over(wh)
     sub = sub.select(
@@ -156,24 +186,13 @@ def _bucketed(x: DataFrame, cols, ts, order, gap_seconds, base, bucket_seconds,
         ),
     )
     first = F.col("_first_of_hour")
-    summary = sub.join(hour, ["_uk", "_b"]).select(
+    return sub.join(hour, ["_uk", "_b"]).select(
         "_uk",
         "_bkt",
         F.when(first, F.col("_h_carry")).otherwise(F.col("_carry_in")).alias("_carry_ts"),
         F.when(first, F.col("_h_first_brk")).otherwise(F.col("_fbw")).alias("_first_brk"),
         (F.col("_h_off") + F.when(first, 0).otherwise(F.col("_h_first_brk") + F.col("_off_in"))).alias("_offset"),
     )
-    joined = x.join(summary, ["_uk", "_bkt"])
-    first_in_bucket = F.col("_prev_sec").isNull()
-    prev_ts = F.coalesce(F.col("_prev_ts"), F.col("_carry_ts"))
-    return _finish(
-        joined,
-        cols,
-        prev_ts,
-        F.col("_sec") - F.unix_timestamp(prev_ts),
-        F.when(first_in_bucket, F.col("_first_brk")).otherwise(F.col("_brk")),
-        F.lit(base) + F.col("_offset") + F.col("_first_brk") + F.col("_cum"),
-    )
 
 
 def session_summary(

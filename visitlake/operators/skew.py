@@ -46,14 +46,15 @@ def refine_buckets(
     fine: F.Column,
     hot_rows: int | None,
     max_keys: int = DEFAULT_MAX_HOT_KEYS,
-) -> DataFrame:
+) -> tuple[DataFrame, bool]:
     """Add ``_bkt = struct(b = coarse, s = fine or null)``, ordered like the rows it holds.
 
     ``fine`` must be non-decreasing in the same order as ``coarse``. A (key,
     coarse bucket) holding more than ``hot_rows`` rows (found by a bounded
     pre-pass) is split by ``fine``; other buckets stay whole (``s`` null).
     With more than ``max_keys`` heavy buckets every bucket is split;
-    ``hot_rows=None`` never splits.
+    ``hot_rows=None`` never splits. Returns the frame and whether any bucket
+    was split (if not, callers need only one summary level).
     """
     x = df.withColumn("_cb", coarse).withColumn("_fb", fine)
     x = x.withColumn("_hk", F.struct(F.col(key).alias("k"), F.col("_cb").alias("b")))
@@ -67,7 +68,7 @@ def refine_buckets(
         x = x.join(F.broadcast(marks), "_hk", "left")
         split = F.when(F.col("_split"), F.col("_fb"))
     out = x.withColumn("_bkt", F.struct(F.col("_cb").alias("b"), split.alias("s")))
-    return out.drop(*[c for c in ("_hk", "_split", "_cb", "_fb") if c in out.columns])
+    return out.drop(*[c for c in ("_hk", "_split", "_cb", "_fb") if c in out.columns]), heavy is None or bool(heavy)
 
 
 def time_buckets(
@@ -77,7 +78,7 @@ def time_buckets(
     bucket_seconds: int,
     hot_rows: int | None,
     max_keys: int = DEFAULT_MAX_HOT_KEYS,
-) -> DataFrame:
+) -> tuple[DataFrame, bool]:
     """Add ``_bkt``: ``bucket_seconds``-wide time buckets per key; a heavy (key,
     bucket) -- a burst -- is split into one bucket per whole second, so it is
     spread over many tasks."""
