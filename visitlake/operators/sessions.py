@@ -16,8 +16,9 @@ users get a two-pass scan:
   ``bucket_seconds`` of one user's traffic;
 * pass 2 -- a per-(user, bucket) summary (first/last time, break count) gets
   windows that carry the last entry of the previous bucket and the number of
-  breaks before the bucket: over the sub-buckets of one hour (at most 3600)
-  and over the hours of one user (bounded by time span, not by row count);
+  breaks before the bucket, over the hours of one user (bounded by time span,
+  not by row count); an hour that is itself heavy is split per second and
+  then a second level carries over the seconds of that hour (at most 3600);
 * the summary is joined back on (user, bucket); the rows side is already
   clustered on that key, so only the small summary is shuffled.
 
@@ -31,10 +32,10 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from visitlake.fixed import SESSION_GAP_SECONDS as DEFAULT_GAP_SECONDS
 from visitlake.operators.pages import DEFAULT_PAGE_SIZE, paged_sorted_list, time_bucket
 from visitlake.operators.skew import DEFAULT_MAX_HOT_KEYS, heavy_keys, split_keys, time_buckets
 
-from visitlake.fixed import SESSION_GAP_SECONDS as DEFAULT_GAP_SECONDS
 DEFAULT_BUCKET_SECONDS = 3600
 # Users with more entries than this are scanned in time buckets (one window
 # task per user-hour); lighter users in one window task each.
