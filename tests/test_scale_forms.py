@@ -230,3 +230,19 @@ def test_paged_list_with_fine_buckets(spark, hot_bucket_rows):
         v = sorted(by[r.userId])
         assert [tuple(e) for e in r.items] == v[r.page * 7:(r.page + 1) * 7] and r.total == len(v)
     assert sum(len(r.items) for r in out) == len(rows)
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_join_dimension_splits_hot_fact_keys(spark, how):
+    from visitlake.operators.dims import join_dimension
+
+    rnd = random.Random(41)
+    fact = spark.createDataFrame(
+        [(0 if rnd.random() < 0.6 else rnd.choice([1, 2, 3, None]), i) for i in range(300)], "k bigint, v bigint"
+    )
+    dim = spark.createDataFrame([(0, "a"), (0, "a2"), (1, "b"), (2, "c"), (9, "z")], "k bigint, name string")
+    plain = sorted(map(repr, fact.join(dim, "k", how).collect()))
+    split = join_dimension(fact, dim, "k", how, max_rows=0, hot_rows=10)
+    assert sorted(map(repr, split.collect())) == plain
+    plan = split._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "Union" in plan

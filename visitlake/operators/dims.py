@@ -3,8 +3,11 @@
 A dimension is broadcast only after a bounded probe proves it has at most
 ``max_rows`` rows: ``take(max_rows + 1)`` of a one-literal projection scans
 partitions incrementally and stops as soon as the bound is exceeded.
-Beyond the bound the join is left to the planner: sort-merge or shuffled hash
-join, with AQE skew splitting on the fact side.
+Beyond the bound the dimension is joined by shuffle, and hot fact keys are
+split off explicitly (not left to the cluster's AQE settings): a bounded
+pre-pass lists fact keys with more than ``hot_rows`` rows; their dimension
+rows -- a slice bounded by the key count -- are broadcast to the hot fact rows,
+and every other key takes the shuffled join, where no key is heavy.
 """
 
 from __future__ import annotations
@@ -12,8 +15,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from visitlake.operators.skew import DEFAULT_MAX_HOT_KEYS, heavy_keys, split_keys
+
 # Broadcast bound for narrow dimension projections (a few short columns).
 DEFAULT_MAX_BROADCAST_ROWS = 200_000
+# Fact rows per key above which a shuffled join would concentrate a key in one task.
+DEFAULT_JOIN_HOT_ROWS = 1_000_000
 
 
 def has_at_most(df: DataFrame, max_rows: int) -> bool:
@@ -34,6 +41,28 @@ def join_dimension(
     on,
     how: str = "inner",
     max_rows: int | None = DEFAULT_MAX_BROADCAST_ROWS,
+    hot_rows: int | None = DEFAULT_JOIN_HOT_ROWS,
+    max_hot_keys: int = DEFAULT_MAX_HOT_KEYS,
 ) -> DataFrame:
-    """Join a fact table to a (projected) dimension, broadcasting only a checked-small side."""
-    return fact.join(sized_broadcast(dim, max_rows), on, how)
+    """Join a fact table to a dimension on key column name(s).
+
+    A proven-small dimension is broadcast. Otherwise fact keys with more than
+    ``hot_rows`` rows are joined against a broadcast slice of the dimension
+    (their rows only, size-probed) and the rest by shuffle.
+    """
+    if max_rows is not None and max_rows > 0 and has_at_most(dim, max_rows):
+        return fact.join(F.broadcast(dim), on, how)
+    if hot_rows is None or how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
+        return fact.join(dim, on, how)
+    keys = [on] if isinstance(on, str) else list(on)
+    jk = F.struct(*[F.col(f"`{k}`") for k in keys]).alias("_jk")
+    keyed = fact.withColumn("_jk", jk)
+    heavy = heavy_keys(keyed, "_jk", hot_rows, max_hot_keys)
+    if not heavy:  # no heavy key (or too many to list): one shuffled join
+        return fact.join(dim, on, how)
+    light, hot = split_keys(keyed, "_jk", heavy)
+    hot_keys = light.sparkSession.createDataFrame(heavy, keyed.select("_jk").schema)
+    hot_dim = dim.withColumn("_jk", jk).join(F.broadcast(hot_keys), "_jk", "left_semi").drop("_jk")
+    if not has_at_most(hot_dim, max(max_rows or 0, max_hot_keys)):
+        return fact.join(dim, on, how)
+    return light.drop("_jk").join(dim, on, how).unionByName(hot.drop("_jk").join(F.broadcast(hot_dim), on, how))

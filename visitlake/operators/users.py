@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from visitlake.operators.dims import DEFAULT_MAX_BROADCAST_ROWS, sized_broadcast
+from visitlake.operators.dims import DEFAULT_MAX_BROADCAST_ROWS, join_dimension
 from visitlake.operators.pages import DEFAULT_PAGE_SIZE, paged_sorted_list
 from visitlake.operators.skew import DEFAULT_MAX_HOT_KEYS, heavy_keys, split_keys
 
@@ -14,8 +14,9 @@ from visitlake.operators.skew import DEFAULT_MAX_HOT_KEYS, heavy_keys, split_key
 ORDER_ID_BUCKET = 1 << 20
 
 
-def _known_users(users: DataFrame, max_rows: int | None) -> DataFrame:
-    return sized_broadcast(users.select("userId"), max_rows)
+def _with_known_users(fact: DataFrame, users: DataFrame, max_rows: int | None) -> DataFrame:
+    """fact ⨝ users on userId (inner; a repeated user repeats the fact rows)."""
+    return join_dimension(fact, users.select("userId"), "userId", "inner", max_rows)
 
 
 def orders_per_user(
@@ -29,7 +30,7 @@ def orders_per_user(
     Users without orders and orders of unknown users drop out; a repeated
     userId in ``users`` repeats that user's orders, as an inner join does.
     """
-    joined = orders.select("userId", "orderId").join(_known_users(users, max_broadcast_rows), "userId")
+    joined = _with_known_users(orders.select("userId", "orderId"), users, max_broadcast_rows)
     return paged_sorted_list(
         joined,
         ["userId"],
@@ -59,7 +60,7 @@ def pages_per_user(
     URL of a user. Users proven to have at most one page of visits (bounded
     pre-pass) skip the runs: one ``collect_list`` each.
     """
-    joined = logs.select("userId", "landing_url").join(_known_users(users, max_broadcast_rows), "userId")
+    joined = _with_known_users(logs.select("userId", "landing_url"), users, max_broadcast_rows)
     visits = joined.where(F.col("landing_url").isNotNull()).withColumn("_uk", F.struct(F.col("userId").alias("u")))
     heavy = heavy_keys(visits, "_uk", page_size, max_hot_keys) if split_heavy else None
     if heavy is None:
