@@ -240,7 +240,8 @@ FROM outer_rows""",
     + """SELECT userId, "timestamp", coalesce(utm_source, 'Unknown') AS campaign_name FROM t_logs""",
     "optional_column_absent": _with() + """SELECT userId, "timestamp", 'Unknown' AS campaign_name FROM t_logs""",
     "json_records": _with("o1 AS (" + ORDERS_PER_USER_BODY + ")")
-    + """SELECT to_json(struct_pack(userId := userId, order_count := order_count, order_ids := order_ids)) AS json FROM o1""",
+    + """SELECT to_json(struct_pack(userId := userId, page := page, order_count := order_count, order_ids := order_ids)) AS json
+FROM o1""",
     "load_tables": _with()
     + """SELECT "timestamp", source_id, userId, referrer, landing_url, utm_source FROM t_logs""",
     "visitors_once_per_session": _with(

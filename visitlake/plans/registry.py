@@ -162,7 +162,8 @@ def q_optional_column_absent(spark, sf_dir):
 
 
 def q_json_records(spark, sf_dir):
-    return json_records(q_orders_per_user(spark, sf_dir).select("userId", "order_count", "order_ids"))
+    # page is kept: a user with more than one page of orders has one record per page
+    return json_records(q_orders_per_user(spark, sf_dir).select("userId", "page", "order_count", "order_ids"))
 
 
 def q_load_tables(spark, sf_dir):
