@@ -54,3 +54,34 @@ def test_asof_property(spark, events, orders, plan):
     for u, oid, ots in ords:
         cands = [(ts, s) for ts, s, lu, *_ in logs if lu == u and ts <= ots]
         assert got[oid] == (max(cands) if cands else (None, None))
+
+
+@SETTINGS
+@given(
+    events=EVENTS,
+    page_size=st.sampled_from([1, 2, 5, 1000]),
+    split=st.booleans(),
+    hot_bucket_rows=st.sampled_from([None, 1, 3, 10**6]),
+)
+def test_pager_property(spark, events, page_size, split, hot_bucket_rows):
+    from pyspark.sql import functions as F
+
+    from visitlake.operators.pages import paged_sorted_list, time_bucket
+
+    rows = _rows(events)
+    df = spark.createDataFrame(rows, SCHEMAS["logs"])
+    out = paged_sorted_list(
+        df, ["userId", "source_id"], F.struct("timestamp", "source_id"), time_bucket("timestamp", 600), "items",
+        page_size=page_size, total_name="total", last_name="last", split_heavy=split,
+        fine_bucket=F.unix_timestamp("timestamp"), hot_bucket_rows=hot_bucket_rows,
+    ).collect()
+    groups = {}
+    for ts, s, u, *_ in rows:
+        groups.setdefault((u, s), []).append((ts, s))
+    want = {}
+    for k, v in groups.items():
+        v = sorted(v)
+        for p in range(0, len(v), page_size):
+            want[k + (p // page_size,)] = (v[p:p + page_size], len(v), v[-1])
+    got = {(r.userId, r.source_id, r.page): ([tuple(e) for e in r.items], r.total, tuple(r.last)) for r in out}
+    assert got == want
