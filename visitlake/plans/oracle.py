@@ -297,6 +297,10 @@ first_campaign AS (
   WHERE rn = 1)"""
 
 PRIMITIVE_SQL: dict[str, str] = {
+    "daily_visitors_windowed": _with()
+    + """SELECT CAST(l."timestamp" AS DATE) AS date, s.source_name, CAST(count(DISTINCT l.userId) AS BIGINT) AS visitors
+FROM t_logs l JOIN t_sources s ON l.source_id = s.source_id
+GROUP BY 1, 2""",
     "preview": _with("o1 AS (" + ORDERS_PER_USER_BODY + ")") + "SELECT * FROM o1 ORDER BY userId, page LIMIT 50",
     "filter_not_null_user": _with()
     + """SELECT userId, "timestamp", source_id FROM t_logs WHERE userId IS NOT NULL""",

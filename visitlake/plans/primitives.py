@@ -11,6 +11,7 @@ from visitlake.operators.pages import paged_sorted_list, prefix_bucket
 from visitlake.operators.paths import filter_time_conditions
 from visitlake.plans.registry import CONDITIONS, ZONE, _t, q_flatten_sessions, q_orders_per_user
 from visitlake.sources import preview
+from visitlake.streaming import stream_visitors_by_source_date
 
 
 def p_filter_not_null_user(spark, sf_dir):
@@ -98,6 +99,12 @@ def p_preview(spark, sf_dir):
     return preview(q_orders_per_user(spark, sf_dir), 50, ["userId", "page"])
 
 
+def p_daily_visitors_windowed(spark, sf_dir):
+    # the streaming daily-visitors query (chained window aggregations), run as a batch
+    t = _t(spark, sf_dir)
+    return stream_visitors_by_source_date(t.logs, t.sources)
+
+
 PRIMITIVES = {
     "filter_not_null_user": p_filter_not_null_user,
     "join_inner_dim": p_join_inner_dim,
@@ -114,4 +121,5 @@ PRIMITIVES = {
     "sort_by_date": p_sort_by_date,
     "union_dedupe": p_union_dedupe,
     "preview": p_preview,
+    "daily_visitors_windowed": p_daily_visitors_windowed,
 }
