@@ -246,3 +246,29 @@ def test_join_dimension_splits_hot_fact_keys(spark, how):
     assert sorted(map(repr, split.collect())) == plain
     plan = split._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan and "Union" in plan
+
+
+def test_overflowing_heavy_lists_fall_back_to_safe_routes(spark):
+    # max_hot_keys=1 makes every heavy-key list overflow: all users bucketed, every
+    # busy bucket split per second, every group paged by rank, every join key shuffled
+    from visitlake.operators.dims import join_dimension
+
+    rows = _burst(300, seed=43)
+    df = spark.createDataFrame(rows, SCHEMAS["logs"])
+    got = {(r.userId, r.timestamp): r.session_id for r in sessionize(df, hot_rows=5, max_hot_keys=1).collect()}
+    assert got == _brute_sessions(rows)
+
+    out = paged_sorted_list(
+        df, ["userId"], F.col("timestamp"), time_bucket("timestamp", 3600), "items", page_size=4,
+        max_hot_keys=1, fine_bucket=F.unix_timestamp("timestamp"), hot_bucket_rows=2,
+    ).collect()
+    by = {}
+    for ts, _s, u, *_ in rows:
+        by.setdefault(u, []).append(ts)
+    assert {(r.userId, r.page): list(r.items) for r in out} == {
+        (u, p // 4): sorted(v)[p:p + 4] for u, v in by.items() for p in range(0, len(v), 4)
+    }
+
+    dim = spark.createDataFrame([(0, "a"), (1, "b")], "userId bigint, name string")
+    plain = sorted(map(repr, df.join(dim, "userId", "left").collect()))
+    assert sorted(map(repr, join_dimension(df, dim, "userId", "left", max_rows=0, hot_rows=1, max_hot_keys=1).collect())) == plain
