@@ -85,3 +85,21 @@ def test_pager_property(spark, events, page_size, split, hot_bucket_rows):
             want[k + (p // page_size,)] = (v[p:p + page_size], len(v), v[-1])
     got = {(r.userId, r.source_id, r.page): ([tuple(e) for e in r.items], r.total, tuple(r.last)) for r in out}
     assert got == want
+
+
+@SETTINGS
+@given(
+    fact=st.lists(st.one_of(st.none(), st.integers(0, 4)), min_size=1, max_size=80),
+    dim=st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 5)), st.sampled_from("abc")), max_size=8),
+    how=st.sampled_from(["inner", "left"]),
+    hot_rows=st.sampled_from([1, 3, 10**6]),
+    max_hot_keys=st.sampled_from([1, 100]),
+)
+def test_join_dimension_property(spark, fact, dim, how, hot_rows, max_hot_keys):
+    from visitlake.operators.dims import join_dimension
+
+    f = spark.createDataFrame([(k, i) for i, k in enumerate(fact)], "k bigint, v bigint")
+    d = spark.createDataFrame(dim, "k bigint, name string")
+    want = sorted(map(repr, f.join(d, "k", how).collect()))
+    got = join_dimension(f, d, "k", how, max_rows=0, hot_rows=hot_rows, max_hot_keys=max_hot_keys)
+    assert sorted(map(repr, got.collect())) == want
