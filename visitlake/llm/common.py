@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +61,23 @@ def split_join(left: DataFrame, groups: DataFrame, key: str, count: str, total:
     return joined.select(*[left[c] for c in left.columns], F.coalesce("_hg", "_cg").alias("group"))
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, as ``--py-files`` would; once per context."""
+    sc = spark.sparkContext
+    if _SHIPPED.get("context") == sc.applicationId:
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="visitlake-py-")) / "visitlake.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    _SHIPPED["context"] = sc.applicationId
+
+
+_SHIPPED: dict[str, str] = {}
+
+
 def spark_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitlake.llm import exact_dedup, line_dedup, sharding
+from visitlake.llm import exact_dedup, line_dedup, prefix_bpe, sharding, token_frames
 from visitlake.llm.common import table, text_of
 
 SHARDS = 24
+PIECE_MODEL = "piece_bpe_32k.model"
+BYTE_MODEL = "byte_bpe_50k.json"
+
+
+def tokenizer_path(name: str) -> str:
+    """Where a public vocabulary file lies on this machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +39,10 @@ def op2_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_bpe.piece_ids(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.drop_boilerplate_lines(table(spark, sf_dir, "documents"))
     return done.select(
@@ -38,8 +51,14 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_frames.token_files(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_MODEL))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_hypergeometric_shards": op2_hypergeometric_shards,
+    "op6_prefix_table": op6_prefix_table,
     "op8_line_dedup": op8_line_dedup,
+    "op9_token_frames": op9_token_frames,
 }
