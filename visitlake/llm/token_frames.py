@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
@@ -46,16 +47,34 @@ LEVEL = 3
 #: Id that ends every document.
 END_ID = 0
 #: Chunks whose ids a worker keeps at most, and the longest that it keeps.
-CACHE, KEPT_CHARS = 600_000, 64
+CACHE, KEPT_CHARS = 1_000_000, 64
 
 #: A run of white space and what follows it; no match of the byte-level pre-tokenizer spans such a cut.
 CHUNK = re.compile(r"\s*\S+|\s+")
 #: Here Python and the tokenizer disagree on what is white space: texts with these are not cut.
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
+#: Marks that a match of the pre-tokenizer never joins with a letter before it (an apostrophe would).
+MARKS = frozenset(".,;:!?")
+
 MANIFEST = "file string, documents long, tokens long, frames int, width int"
 
 
+def _visible(text: str) -> str:
+    """The text's UTF-8 bytes as the byte-level alphabet writes them."""
+    return text.encode("utf-8").decode("latin-1").translate(_ALPHABET)
+
+
+def _alphabet() -> dict[int, str]:
+    """Printable Latin-1 bytes stand for themselves, the others in order for the characters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_ALPHABET = _alphabet()
+
+
 class _Chunks(dict):
     """Ids of ``lead + word``, computed at the first use of a word; bounded."""
 
@@ -85,11 +104,20 @@ class ByteBpe:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.width = 2 if self._tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self._kind = f"<u{self.width}"
+        self._type = "H" if self.width == 2 else "I"
         self._plain, self._spaced, self._broken = (_Chunks(self._ids, lead) for lead in ("", " ", "\n"))
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, self._kind).tobytes()
+        word = text[1:]
+        if text[:1] == " " and word.isalpha():  # one match of the pre-tokenizer: straight to its merges
+            seen = ("Ġ" + word) if word.isascii() else _visible(text)
+            return self._pack([t.id for t in self._tokenizer.model.tokenize(seen)])
+        if text[:1] == " " and word[-1:] in MARKS and word[:-1].isalpha():  # ends before the mark
+            return self._spaced[word[:-1]] + self._plain[word[-1:]]
+        return self._pack(self._tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return array(self._type, ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         lines = text.split("\n")
