@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitlake.llm import exact_dedup, line_dedup, prefix_bpe, sharding, token_frames
+from visitlake.llm import dart_minhash, decontaminate, exact_dedup, line_dedup, prefix_bpe, sharding, token_frames
 from visitlake.llm.common import table, text_of
 
 SHARDS = 24
@@ -43,6 +43,10 @@ def op6_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.piece_ids(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.drop_boilerplate_lines(table(spark, sf_dir, "documents"))
     return done.select(
@@ -55,10 +59,17 @@ def op9_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_frames.token_files(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_MODEL))
 
 
+def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dart_minhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "class_size", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_hypergeometric_shards": op2_hypergeometric_shards,
     "op6_prefix_table": op6_prefix_table,
+    "op7_decontaminate": op7_decontaminate,
     "op8_line_dedup": op8_line_dedup,
     "op9_token_frames": op9_token_frames,
+    "op10_dart_minhash": op10_dart_minhash,
 }
