@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitlake.llm import dart_minhash, decontaminate, exact_dedup, line_dedup, prefix_bpe, sharding, token_frames
+from visitlake.llm import dart_minhash, decontaminate, exact_dedup, line_dedup, prefix_bpe, quality_cnn, sharding, token_frames, warc
 from visitlake.llm.common import table, text_of
 
 SHARDS = 24
@@ -39,6 +39,21 @@ def op2_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archived(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = quality_cnn.quality_scores(docs.select("doc_id", "text"), labels)
+    score = F.col("quality_score")
+    return scored.select(
+        "doc_id", (quality_cnn.fold(F.col("doc_id")) == 0).alias("held_out"), score.alias("score"),
+        (score >= quality_cnn.GOOD).cast("int").alias("predicted"),
+    )
+
+
 def op6_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.piece_ids(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL))
 
@@ -67,6 +82,8 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_hypergeometric_shards": op2_hypergeometric_shards,
+    "op4_warc_index": op4_warc_index,
+    "op5_quality_cnn": op5_quality_cnn,
     "op6_prefix_table": op6_prefix_table,
     "op7_decontaminate": op7_decontaminate,
     "op8_line_dedup": op8_line_dedup,
