@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitlake.llm import dart_minhash, decontaminate, exact_dedup, line_dedup, prefix_bpe, quality_cnn, sharding, token_frames, warc
+from visitlake.llm import brown_lm, dart_minhash, decontaminate, exact_dedup, line_dedup, prefix_bpe, quality_cnn, sharding, token_frames, warc
 from visitlake.llm.common import table, text_of
 
 SHARDS = 24
@@ -39,6 +39,10 @@ def op2_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.brown_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.archived(table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -82,6 +86,7 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_hypergeometric_shards": op2_hypergeometric_shards,
+    "op3_brown_classes": op3_brown_classes,
     "op4_warc_index": op4_warc_index,
     "op5_quality_cnn": op5_quality_cnn,
     "op6_prefix_table": op6_prefix_table,
