@@ -10,14 +10,17 @@ so the cost is of the order of elements plus darts.
 Signatures are cut into bands. Documents that share a band are candidates:
 
 1. equal word sequences are one node, so copies are never paired;
-2. in every band bucket each node is compared with the bucket's least node only, and verified
-   exactly against the most alike of these centres; the verified links give components;
-3. buckets that still hold nodes of several components give all pairs across components
-   (never within one), which are verified too, so no link between classes is lost to a centre.
-
-Candidates whose signatures agree far less than the threshold (5 standard errors) are
-dropped before the exact check. A pair at similarity 0.8 shares no band with
-probability (1 - 0.8^5)^32 = 3e-6.
+2. stars: in every bucket each node is compared with one centre only, the member with the most
+   company over all its bands (the hub of a group of near copies lies in nearly all its buckets),
+   and verified exactly against the most alike of its centres; verified links give components;
+3. buckets that still hold several components: the nodes outside the bucket's largest component
+   meet the others in blocks, first each with its ``FIRST`` most alike partners, which joins most of
+   them, then with all partners in other components that a longer signature leaves over. So no link between
+   classes is lost to the choice of a centre, and no pairs are made within a component.
+
+Candidates whose signatures agree ``ERRORS`` standard errors less than the threshold are
+dropped before the exact check (3e-5 of the pairs just at the threshold). A pair at similarity 0.8
+shares no band with probability (1 - 0.8^5)^32 = 3e-6.
 """
 
 from __future__ import annotations
@@ -38,7 +41,11 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
 COORDINATES = BANDS * ROWS
 #: Standard errors by which a signature may fall short of the threshold.
-ERRORS = 5.0
+ERRORS = 4.0
+#: Coordinates (of one byte) of the longer signature of nodes that the stars leave open.
+LONG = 512
+#: Partners of the first pass over buckets with several components; nodes of a block on either side.
+FIRST, LEFT, RIGHT = 4, 64, 256
 
 _U = np.uint64
 _UNIT = 2.0**-64
@@ -105,7 +112,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _features(rows: DataFrame, words: int, counted: bool) -> DataFrame:
-    """doc_id, text_key, node (the word sequence), bands and a short signature of each row."""
+    """doc_id, text_key, node (the word sequence), band keys and a short signature (a byte a coordinate) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,28 +122,32 @@ def _features(rows: DataFrame, words: int, counted: bool) -> DataFrame:
                 if len(w):
                     sig = dart_signature(*weighted_shingles(w, words, counted))
                     nodes.append(hashlib.blake2b(w.tobytes(), digest_size=16).digest())
-                    bands.append(band_keys(sig))
-                    short.append(sig.astype("<u2").tobytes())
+                    bands.append(band_keys(sig).tobytes())
+                    short.append(sig.astype("u1").tobytes())
                 else:  # no words: alike only if equal
                     nodes.append(hashlib.blake2b(text.encode(), digest_size=16, key=b"text").digest())
-                    bands.append(np.zeros(0, np.int64))
+                    bands.append(b"")
                     short.append(b"")
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(short, pa.binary())],
-                names=["doc_id", "text_key", "node", "bands", "short"],
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(nodes, pa.binary()), pa.array(bands, pa.binary()), pa.array(short, pa.binary())],
+                names=["doc_id", "text_key", "node", "keys", "short"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, text_key binary, node binary, bands array<long>, short binary")
+    return rows.mapInArrow(run, "doc_id long, text_key binary, node binary, keys binary, short binary")
+
+
+def _least(threshold: float, coordinates: int) -> float:
+    return threshold - ERRORS * (threshold * (1 - threshold) / coordinates) ** 0.5
 
 
 def _alike(pairs: DataFrame, threshold: float) -> DataFrame:
     """(a, b, agreement) of the pairs (a, b, a_short, b_short) whose signatures may reach the threshold."""
-    least = threshold - ERRORS * (threshold * (1 - threshold) / COORDINATES) ** 0.5
+    least = _least(threshold, COORDINATES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, -1)
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), "u1").reshape(batch.num_rows, -1)
                 for c in ("a_short", "b_short")
             )
             agreement = (x == y).mean(axis=1) if batch.num_rows else np.zeros(0)
@@ -146,6 +157,57 @@ def _alike(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.mapInArrow(run, "a binary, b binary, agreement double")
 
 
+def _across(crowd: DataFrame, labels: DataFrame, signs: DataFrame, threshold: float, first: int | None) -> DataFrame:
+    """Pairs (a, b) of nodes that share a bucket, lie in different components and may reach the threshold.
+
+    ``signs``: node, sign (a signature of bytes), keys (its band keys). With ``first``, of each node outside its
+    bucket's largest component only that many partners, the most alike ones.
+    """
+    named = crowd.select("bucket", "band", "node").join(labels, "node", "left")
+    named = named.select("bucket", "band", "node", F.coalesce("label", "node").alias("label"))
+    sizes = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("main"))
+    rows = named.join(mixed.where("most < all"), "bucket").join(signs, "node")
+    entry = F.struct("node", "label", "sign", "keys")
+    outside = rows.where("label != main").groupBy("bucket", "band", "main", "all", F.pmod(F.xxhash64("node"), F.ceil((F.col("all") - F.col("most")) / LEFT)).alias("y"))
+    blocks = F.ceil(F.col("all") / RIGHT).cast("long")
+    members = rows.groupBy(F.col("bucket").alias("_bucket"), F.pmod(F.xxhash64("node"), blocks).alias("_x")).agg(F.collect_list(entry).alias("xs"))
+    # the few outside nodes go to the members' blocks, which stay where they were gathered
+    sent = outside.agg(F.collect_list(entry).alias("ys")).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    met = sent.join(members, (F.col("bucket") == F.col("_bucket")) & (F.col("x") == F.col("_x")))
+
+    def stacked(entries: list[dict], name: str, kind: str) -> np.ndarray:
+        return np.frombuffer(b"".join(e[name] for e in entries), kind).reshape(len(entries), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {"a": [], "b": [], "agreement": []}
+            for row in range(batch.num_rows):
+                band, main, ys, xs = (batch.column(c)[row].as_py() for c in ("band", "main", "ys", "xs"))
+                nodes, names = [x["node"] for x in xs], np.array([x["label"] for x in xs], object)
+                signs, keys = stacked(xs, "sign", "u1"), stacked(xs, "keys", "<i8")
+                least = _least(threshold, signs.shape[1])
+                for y in ys:
+                    agreement = (np.frombuffer(y["sign"], "u1") == signs).mean(axis=1)
+                    # a pair counts in the first band it shares, and once if both lie outside the main component
+                    own = (np.frombuffer(y["keys"], "<i8") == keys).argmax(axis=1) == band
+                    wanted = np.flatnonzero(own & (agreement >= least) & (names != y["label"]))
+                    wanted = [i for i in wanted if names[i] == main or y["node"] < nodes[i]]
+                    if first:
+                        wanted = sorted(wanted, key=lambda i: -agreement[i])[:first]
+                    for i in wanted:
+                        out["a"].append(y["node"])
+                        out["b"].append(nodes[i])
+                        out["agreement"].append(float(agreement[i]))
+            yield pa.RecordBatch.from_arrays([pa.array(out["a"], pa.binary()), pa.array(out["b"], pa.binary()), pa.array(out["agreement"], pa.float64())], names=list(out))
+
+    pairs = met.select("band", "main", "ys", "xs").mapInArrow(run, "a binary, b binary, agreement double")
+    if first:
+        ranked = F.slice(F.sort_array(F.collect_list(F.struct("agreement", "b")), False), 1, first)
+        pairs = pairs.groupBy("a").agg(ranked.alias("p")).select("a", F.explode("p.b").alias("b"))
+    return pairs.select("a", "b")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float, words: int, counted: bool) -> DataFrame:
     """The pairs (a, b) of nodes whose texts reach the threshold exactly."""
 
@@ -157,15 +219,33 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: fl
             linked = [similarity(x, y) >= threshold - 1e-9 for x, y in zip(left, right, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
-    ids = ids.select("node", F.col("rep.doc_id").alias("i"), F.col("rep.text_key").alias("k"))
-    texts = docs.join(ids, (docs.text_key == F.col("k")) & docs.doc_id.eqNullSafe(F.col("i")))
-    texts = stored(texts.select("node", "text").dropDuplicates(["node"]), "near-texts")
+    texts = stored(_texts(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), nodes, docs), "near-texts")
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a binary, b binary")
 
 
+def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of the wanted nodes, the text of the row that stands for the node."""
+    ids = wanted.join(nodes, "node").select("node", F.col("rep.doc_id").alias("i"), F.col("rep.text_key").alias("k"))
+    rows = docs.join(ids, (docs.text_key == F.col("k")) & docs.doc_id.eqNullSafe(F.col("i")))
+    return rows.select("node", "text").dropDuplicates(["node"])
+
+
+def _long_signatures(texts: DataFrame, words: int, counted: bool) -> DataFrame:
+    """(node, sign) of the texts (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [
+                dart_signature(*weighted_shingles(w, words, counted), LONG).astype("u1").tobytes()
+                for w in words_by_text(batch.column("text").to_pylist())
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], names=["node", "sign"])
+
+    return texts.mapInArrow(run, "node binary, sign binary")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of the nodes of the links (a, b): label is the least node it is connected with.
 
@@ -204,39 +284,41 @@ def near_duplicate_classes(
     features = stored(_features(rows, words, counted), "near-features")
     first = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_key")
     nodes = stored(
-        features.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("rep"), F.first("short").alias("short"), F.first("bands").alias("bands")),
+        features.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("rep"), F.first("short").alias("short"), F.first("keys").alias("keys")),
         "near-nodes",
     )
     short = nodes.select("node", "short")
-    bucket = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    centres = bucket.groupBy("band", "key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    # only buckets with company; a bucket is known by the node at its centre, so the rows meet by a narrow join
-    crowd = stored(split_join(bucket.withColumn("bucket", F.xxhash64("band", "key")), centres.withColumn("bucket", F.xxhash64("band", "key")).drop("band", "key"),
-                              "bucket", "members", int(nodes.count()) * BANDS, F.col("node")).where("group is not null")
-                   .select("bucket", "node", "group.centre", "group.members"), "near-buckets")
-
-    def with_short(pairs: DataFrame) -> DataFrame:
-        a = short.select(F.col("node").alias("a"), F.col("short").alias("a_short"))
-        b = short.select(F.col("node").alias("b"), F.col("short").alias("b_short"))
-        return pairs.join(a, "a").join(b, "b")
-
-    stars = crowd.where("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    best = _alike(with_short(stars), threshold).groupBy("a").agg(F.max_by("b", F.struct("agreement", "b")).alias("b"))
-    tried = stored(best, "near-stars")
-    links = stored(_verified(tried, nodes, rows, threshold, words, counted), "near-verified")
+    key = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring(F.col("keys"), i * 8 + 1, F.lit(8)))
+    bucket = nodes.where(F.octet_length("keys") > 0).select("node", F.posexplode(key).alias("band", "key"))
+    bucket = bucket.select("node", "band", F.xxhash64("band", "key").alias("bucket"))
+    sizes = bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    crowd = split_join(bucket, sizes, "bucket", "members", int(nodes.count()) * BANDS, F.col("node")).where("group is not null")
+    crowd = stored(crowd.select("bucket", "band", "node", "group.members"), "near-buckets")
+
+    # stars
+    company = crowd.groupBy("node").agg(F.sum("members").alias("company"))
+    centres = crowd.join(company, "node").groupBy("bucket").agg(F.max_by("node", F.struct("company", "node")).alias("centre"))
+    stars = crowd.join(centres, "bucket").where("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    a_short = short.select(F.col("node").alias("a"), F.col("short").alias("a_short"))
+    b_short = short.select(F.col("node").alias("b"), F.col("short").alias("b_short"))
+    near = _alike(stars.join(a_short, "a").join(b_short, "b"), threshold)
+    best = stored(near.groupBy("a").agg(F.max_by("b", F.struct("agreement", "b")).alias("b")), "near-stars")
+    links = stored(_verified(best, nodes, rows, threshold, words, counted), "near-verified")
     labels = components(links)
 
-    # buckets with several components: all pairs across them
-    labelled = crowd.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("bucket")
-    open_ = stored(labelled.join(mixed, "bucket"), "near-open")
-    other = open_.select("bucket", F.col("node").alias("b"), F.col("label").alias("b_label"))
-    across = open_.join(other, "bucket").where("label < b_label").select(F.col("node").alias("a"), "b").distinct()
-    across = across.join(tried.select("a", "b"), ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    rest = stored(_alike(with_short(across), threshold), "near-across")
-    if not rest.isEmpty():
-        more = stored(_verified(rest, nodes, rows, threshold, words, counted), "near-verified")
-        labels = components(links.unionByName(more))
+    # buckets with several components
+    some = stored(_across(crowd, labels, nodes.select("node", F.col("short").alias("sign"), "keys"), threshold, FIRST), "near-some")
+    if not some.isEmpty():
+        links = links.unionByName(stored(_verified(some, nodes, rows, threshold, words, counted), "near-verified"))
+        labels = components(links)
+        open_ = crowd.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+        mixed = open_.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y")
+        texts = _texts(open_.join(mixed, "bucket").select("node").distinct(), nodes, rows)
+        signs = stored(_long_signatures(texts, words, counted).join(nodes.select("node", "keys"), "node"), "near-long")
+        rest = stored(_across(crowd, labels, signs, threshold, None), "near-rest")
+        if not rest.isEmpty():
+            links = links.unionByName(stored(_verified(rest, nodes, rows, threshold, words, counted), "near-verified"))
+            labels = components(links)
 
     known = nodes.join(labels, "node", "left").select("node", "n", "rep", F.coalesce("label", "node").alias("label"))
     classes = known.groupBy("label").agg(F.min("rep").alias("kept"), F.sum("n").alias("size"))
