@@ -106,3 +106,8 @@ def test_json_records(spark):
     out = tempfile.mkdtemp(prefix="visitlake-json-") + "/o"
     write_json(df, out)
     assert json.loads(spark.read.text(out).first().value)["Campaign name"] == "Google ads"
+
+
+def test_json_renames_nested_fields(spark):
+    df = spark.sql("SELECT 1 AS id, array(named_struct('campaign_name', 'x', 't', 1)) AS full_session")
+    assert json.loads(json_records(df).first().json) == {"id": 1, "full_session": [{"Campaign name": "x", "t": 1}]}

@@ -6,6 +6,7 @@ from typing import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from visitlake.fixed import CAMPAIGN_NAME_FIELD, PREVIEW_ROWS
 
@@ -23,15 +24,29 @@ def _json_options(keep_nulls: bool) -> dict[str, str]:
     }
 
 
+def _named(kind: T.DataType, renames: Mapping[str, str]) -> T.DataType:
+    """``kind`` with the struct fields of every level renamed."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(renames.get(f.name, f.name), _named(f.dataType, renames), f.nullable) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_named(kind.elementType, renames), kind.containsNull)
+    return kind
+
+
 def _renamed(df: DataFrame, renames: Mapping[str, str]) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`").alias(renames.get(c, c)) for c in df.columns])
+    out = []
+    for f in df.schema.fields:
+        kind = _named(f.dataType, renames)
+        value = F.col(f"`{f.name}`")
+        out.append((value if kind == f.dataType else value.cast(kind)).alias(renames.get(f.name, f.name)))
+    return df.select(*out)
 
 
 def json_records(df: DataFrame, keep_nulls: bool = False, renames: Mapping[str, str] = JSON_RENAMES) -> DataFrame:
     """One JSON text per row in column ``json``; null fields omitted unless ``keep_nulls``.
 
-    Nested structs keep their own field names; top-level columns are renamed
-    by ``renames`` (``campaign_name`` -> ``Campaign name``).
+    Columns and the fields of nested structs and arrays are renamed by ``renames``
+    (``campaign_name`` -> ``Campaign name``).
     """
     out = _renamed(df, renames)
     return out.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in out.columns]), _json_options(keep_nulls)).alias("json"))

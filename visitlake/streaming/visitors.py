@@ -33,14 +33,14 @@ def stream_visitors_by_source_date(
     max_broadcast_rows: int | None = DEFAULT_MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """(date, source_name, visitors) per closed UTC day; ``sources`` is a static dimension."""
-    x = logs.where(F.col("userId").isNotNull()).withColumn("_t", whole_second("timestamp"))
+    x = logs.withColumn("_t", whole_second("timestamp"))
     if x.isStreaming:
         x = x.withWatermark("_t", watermark)
     x = join_dimension(x.select("_t", "source_id", "userId"), sources.select("source_id", "source_name"),
                        "source_id", "inner", max_broadcast_rows)
     per_visitor = x.groupBy(F.window("_t", _DAY).alias("_w"), "source_name", "userId").agg(F.count(F.lit(1)).alias("_n"))
     per_day = per_visitor.groupBy(F.window(F.window_time("_w"), _DAY).alias("_d"), "source_name").agg(
-        F.count(F.lit(1)).alias("visitors")
+        F.count("userId").alias("visitors")  # a day and source seen by null users only counts 0, as in the batch operator
     )
     day = F.date_from_unix_date(F.floor(F.unix_timestamp("_d.start") / 86400).cast("int"))
     return per_day.select(day.alias("date"), "source_name", "visitors")
