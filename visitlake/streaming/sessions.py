@@ -10,14 +10,11 @@ the watermark passes its end, then dropped from state.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from visitlake.operators.sessions import DEFAULT_GAP_SECONDS
-from visitlake.session import ensure_checkpoint_dir
 from visitlake.sources.tables import LOGS_SCHEMA
 
 
@@ -70,7 +67,7 @@ def run_session_stream(
     spark: SparkSession,
     source_dir: str,
     sink_dir: str,
-    checkpoint: str | None = None,
+    checkpoint: str,
     gap_seconds: int = DEFAULT_GAP_SECONDS,
     watermark: str = "1 hour",
     available_now: bool = True,
@@ -78,14 +75,13 @@ def run_session_stream(
 ) -> StreamingQuery:
     """Read log parquet files as they arrive, write closed sessions as parquet (exactly once).
 
-    The checkpoint defaults to a folder under the cluster's ``spark.checkpoint.dir``.
+    ``checkpoint`` is this stream's own folder on shared storage.
     """
     reader = spark.readStream.schema(LOGS_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     logs = reader.parquet(source_dir)
     out = stream_session_summary(logs, gap_seconds, watermark)
-    ckpt = checkpoint or os.path.join(ensure_checkpoint_dir(spark), "session-stream")
-    writer = out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", ckpt)
+    writer = out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start(sink_dir)

@@ -12,14 +12,11 @@ watermark passes its end. Dates are UTC days, as in the batch operator.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from visitlake.operators.dims import DEFAULT_MAX_BROADCAST_ROWS, join_dimension
-from visitlake.session import ensure_checkpoint_dir
 from visitlake.sources.tables import LOGS_SCHEMA
 from visitlake.streaming.sessions import whole_second
 
@@ -51,14 +48,13 @@ def run_visitors_stream(
     source_dir: str,
     sink_dir: str,
     sources: DataFrame,
-    checkpoint: str | None = None,
+    checkpoint: str,
     watermark: str = "1 hour",
     available_now: bool = True,
 ) -> StreamingQuery:
     """Read log parquet files as they arrive; write each closed day's counts as parquet."""
     logs = spark.readStream.schema(LOGS_SCHEMA).parquet(source_dir)
     out = stream_visitors_by_source_date(logs, sources, watermark)
-    ckpt = checkpoint or os.path.join(ensure_checkpoint_dir(spark), "visitors-stream")
-    writer = out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", ckpt)
+    writer = out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start(sink_dir)
