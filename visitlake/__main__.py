@@ -26,6 +26,9 @@ def parse(argv=None) -> argparse.Namespace:
     p.add_argument("endpoint", choices=ENDPOINTS)
     p.add_argument("--format", default="parquet", help="Spark data source of the tables")
     p.add_argument("--table", action="append", default=[], metavar="NAME=PATH", help="path of one table")
+    p.add_argument("--option", action="append", default=[], metavar="KEY=VALUE", help="reader option of all tables")
+    p.add_argument("--table-option", action="append", default=[], metavar="NAME.KEY=VALUE", help="reader option of one table")
+    p.add_argument("--key-type", choices=("bigint", "string"), default="bigint", help="type of the join keys")
     p.add_argument("--date-from")
     p.add_argument("--date-to")
     p.add_argument("--as-of", help="end of the visitor report's trailing year (default: today)")
@@ -38,7 +41,13 @@ def parse(argv=None) -> argparse.Namespace:
 
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
     paths = dict(item.split("=", 1) for item in args.table)
-    t = load_tables(spark, args.format, paths)
+    options: dict[str, dict[str, str]] = {}
+    for item in args.table_option:
+        name, pair = item.split(".", 1)
+        key, value = pair.split("=", 1)
+        options.setdefault(name, {})[key] = value
+    common = dict(item.split("=", 1) for item in args.option)
+    t = load_tables(spark, args.format, paths, options=options, common_options=common, key_type=args.key_type)
     if args.endpoint == "visitors":
         df = api.visitors(t, args.date_from, args.date_to, as_of=args.as_of)
     elif args.endpoint == "conversions":

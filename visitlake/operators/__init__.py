@@ -8,7 +8,7 @@ from visitlake.operators.conversions import (
     latest_per_key,
     recent_source_conversions,
 )
-from visitlake.operators.dims import join_dimension, sized_broadcast
+from visitlake.operators.dims import join_dimension, salted_join
 from visitlake.operators.pages import paged_sorted_list
 from visitlake.operators.paths import (
     campaign_by_url_params,
@@ -51,7 +51,7 @@ __all__ = [
     "session_paths",
     "session_summary",
     "sessionize",
-    "sized_broadcast",
+    "salted_join",
     "visitors_by_source_date",
     "visitors_in_range",
     "visitors_once_per_session",

@@ -120,9 +120,9 @@ def last_touch_attribution(
     if end is not None:
         l = local_time_range(l, "timestamp", None, end, zone)
     ev = l.select(
-        "userId", "timestamp", F.lit(0).alias("_kind"), "source_id", F.lit(None).cast("bigint").alias("orderId")
+        "userId", "timestamp", F.lit(0).alias("_kind"), "source_id", F.lit(None).cast(o.schema["orderId"].dataType).alias("orderId")
     ).unionByName(
-        o.select("userId", "timestamp", F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("source_id"), "orderId")
+        o.select("userId", "timestamp", F.lit(1).alias("_kind"), F.lit(None).cast(l.schema["source_id"].dataType).alias("source_id"), "orderId")
     )
     touch = F.when(F.col("_kind") == 0, F.struct(F.col("timestamp").alias("t"), F.col("source_id").alias("s")))
     ev = ev.withColumn("_uk", F.struct(F.col("userId").alias("u"))).withColumn("_touch", touch)

@@ -7,7 +7,9 @@ Beyond the bound the dimension is joined by shuffle, and hot fact keys are
 split off explicitly (not left to the cluster's AQE settings): a bounded
 pre-pass lists fact keys with more than ``hot_rows`` rows; their dimension
 rows -- a slice bounded by the key count -- are broadcast to the hot fact rows,
-and every other key takes the shuffled join, where no key is heavy.
+and every other key takes the shuffled join, where no key is heavy. With more hot
+keys than the pre-pass lists, and on streams (which cannot be counted beforehand),
+fact rows are salted and the dimension is repeated once per salt.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from visitlake.operators.skew import DEFAULT_MAX_HOT_KEYS, heavy_keys, split_key
 DEFAULT_MAX_BROADCAST_ROWS = 200_000
 # Fact rows per key above which a shuffled join would concentrate a key in one task.
 DEFAULT_JOIN_HOT_ROWS = 1_000_000
+# Parts of a key, and copies of the dimension, in a salted join.
+DEFAULT_SALTS = 16
 
 
 def has_at_most(df: DataFrame, max_rows: int) -> bool:
@@ -28,11 +32,12 @@ def has_at_most(df: DataFrame, max_rows: int) -> bool:
     return len(df.select(F.lit(1).alias("_")).take(max_rows + 1)) <= max_rows
 
 
-def sized_broadcast(dim: DataFrame, max_rows: int | None = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(dim)`` if it is proven small, else ``dim`` unchanged."""
-    if max_rows is None or max_rows <= 0:
-        return dim
-    return F.broadcast(dim) if has_at_most(dim, max_rows) else dim
+def salted_join(fact: DataFrame, dim: DataFrame, keys: list[str], how: str, salts: int = DEFAULT_SALTS) -> DataFrame:
+    """``fact`` joined to ``dim`` with every key in ``salts`` parts (by the row's content)."""
+    spread = [F.col(f"`{f.name}`") for f in fact.schema.fields if "map<" not in f.dataType.simpleString()]
+    left = fact.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    right = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
 def join_dimension(
@@ -55,14 +60,18 @@ def join_dimension(
     if hot_rows is None or how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
         return fact.join(dim, on, how)
     keys = [on] if isinstance(on, str) else list(on)
+    if fact.isStreaming:
+        return salted_join(fact, dim, keys, how)
     jk = F.struct(*[F.col(f"`{k}`") for k in keys]).alias("_jk")
     keyed = fact.withColumn("_jk", jk)
     heavy = heavy_keys(keyed, "_jk", hot_rows, max_hot_keys)
-    if not heavy:  # no heavy key (or too many to list): one shuffled join
+    if heavy is None:
+        return salted_join(fact, dim, keys, how)
+    if not heavy:
         return fact.join(dim, on, how)
     light, hot = split_keys(keyed, "_jk", heavy)
     hot_keys = light.sparkSession.createDataFrame(heavy, keyed.select("_jk").schema)
     hot_dim = dim.withColumn("_jk", jk).join(F.broadcast(hot_keys), "_jk", "left_semi").drop("_jk")
     if not has_at_most(hot_dim, max(max_rows or 0, max_hot_keys)):
-        return fact.join(dim, on, how)
+        return salted_join(fact, dim, keys, how)
     return light.drop("_jk").join(dim, on, how).unionByName(hot.drop("_jk").join(F.broadcast(hot_dim), on, how))

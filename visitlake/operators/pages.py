@@ -66,7 +66,7 @@ def paged_sorted_list(
     """One row per (keys, page) with the sorted elements of that page.
 
     ``item`` is the element (any orderable type, nulls are skipped like
-    ``collect_list``); ``bucket`` must be non-decreasing in element order.
+    ``collect_list``; a group of nulls only keeps one row with an empty list); ``bucket`` must be non-decreasing in element order.
     ``total_name`` adds the group's element count to every page row and
     ``last_name`` the group's greatest element (the end of its last page).
     ``split_heavy=False`` sends every group through the ranked path.
@@ -78,22 +78,29 @@ def paged_sorted_list(
     cols = [group_key(keys).alias(_K), bucket.alias("_b"), item.alias("_item")]
     if fine_bucket is not None:
         cols.append(fine_bucket.alias("_f"))
-    rows = df.select(*cols).where(F.col("_item").isNotNull())
+    rows = df.select(*cols)
+    present = rows.where(F.col("_item").isNotNull())
     names = (list_name, total_name, last_name, page_name)
     ranked = dict(page_size=page_size, hot_bucket_rows=hot_bucket_rows, max_hot_keys=max_hot_keys)
-    heavy = heavy_keys(rows, _K, page_size, max_hot_keys) if split_heavy else None
+    heavy = heavy_keys(present, _K, page_size, max_hot_keys) if split_heavy else None
     if heavy is None:
-        out = _ranked_pages(rows, *names, **ranked)
+        out = _ranked_pages(present, *names, **ranked).unionByName(_one_page(_of_nulls_only(rows), *names))
     elif not heavy:
         out = _one_page(rows, *names)
     else:
         light, hot = split_keys(rows, _K, heavy)
+        hot = hot.where(F.col("_item").isNotNull())
         out = _one_page(light, *names).unionByName(_ranked_pages(hot, *names, **ranked))
     key_cols = [F.col(f"{_K}.`{c}`").alias(c) for c in keys]
     rest = [c for c in out.columns if c != _K]
     return out.select(*key_cols, *rest)
 
 
+def _of_nulls_only(rows: DataFrame) -> DataFrame:
+    """One row with a null element for each group that has no other element."""
+    return rows.groupBy(_K).agg(F.max("_item").alias("_item")).where(F.col("_item").isNull())
+
+
 def _one_page(rows: DataFrame, list_name, total_name, last_name, page_name) -> DataFrame:
     """Groups proven to hold at most one page: one partial-aggregated ``collect_list``."""
     aggs = [F.array_sort(F.collect_list("_item")).alias(list_name)]

@@ -63,11 +63,17 @@ def log_paths_by_campaign(
     A left join: logs without a campaign keep "Unknown"; a uuid listed twice
     yields the entry twice (as the reference's join does).
     """
+    return group_paths(named_by_campaign(logs, campaigns, max_broadcast_rows), page_size)
+
+
+def named_by_campaign(
+    logs: DataFrame, campaigns: DataFrame, max_broadcast_rows: int | None = DEFAULT_MAX_BROADCAST_ROWS
+) -> DataFrame:
+    """The log entries of known users with their ``campaign_name`` (O8 before grouping)."""
     base = _user_logs(logs).select("timestamp", "source_id", "userId", "referrer", "landing_url")
     dim = campaigns.select(F.col("uuid").alias("source_id"), F.col("description"))
     joined = join_dimension(base, dim, "source_id", "left", max_broadcast_rows)
-    named = joined.withColumn("campaign_name", F.coalesce(F.col("description"), F.lit(UNKNOWN))).drop("description")
-    return group_paths(named, page_size)
+    return joined.withColumn("campaign_name", F.coalesce(F.col("description"), F.lit(UNKNOWN))).drop("description")
 
 
 def log_paths_by_utm(logs: DataFrame, page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
@@ -131,6 +137,15 @@ def flatten_sessions(paths: DataFrame) -> DataFrame:
     return exploded.select(*[F.col(f"_e.{c}").alias(c) for c in ENTRY_FIELDS], *[PARENT_PREFIX + c for c in PARENT_FIELDS])
 
 
+def flatten_entries(named: DataFrame) -> DataFrame:
+    """O15 straight from the named entries: the rows of ``flatten_sessions(group_paths(named))``.
+
+    Grouping and flattening again give back the same entries, so nothing is
+    shuffled and time filters on the result reach the scan.
+    """
+    return named.select(*ENTRY_FIELDS, *[F.col(c).alias(PARENT_PREFIX + c) for c in PARENT_FIELDS])
+
+
 def _range(col: Column, lo, hi) -> Column:
     cond = F.lit(True)
     if lo is not None:

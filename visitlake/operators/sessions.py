@@ -31,6 +31,7 @@ from typing import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from visitlake.fixed import SESSION_GAP_SECONDS as DEFAULT_GAP_SECONDS
 from visitlake.operators.pages import DEFAULT_PAGE_SIZE, paged_sorted_list, time_bucket
@@ -50,7 +51,7 @@ def sessionize(
     base: int = 1,
     drop_null_users: bool = True,
     bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
-    tie_break: Sequence[str] = (),
+    tie_break: Sequence[str] | None = None,
     hot_rows: int | None = DEFAULT_HOT_ROWS,
     max_hot_keys: int = DEFAULT_MAX_HOT_KEYS,
 ) -> DataFrame:
@@ -58,10 +59,14 @@ def sessionize(
 
     Users with at most ``hot_rows`` entries are scanned by one window per
     user; heavier users by the bucketed two-pass scan (``hot_rows=None``: all
-    users bucketed). Both give the same rows.
+    users bucketed). Both give the same rows. Entries of equal time are ordered by
+    ``tie_break``, by default all other (orderable) columns of ``logs`` in their order, so the
+    answer does not depend on the order of the input.
     """
     df = logs.where(F.col(user).isNotNull()) if drop_null_users else logs
-    order = [F.col(ts)] + [F.col(c) for c in tie_break]
+    if tie_break is None:
+        tie_break = [f.name for f in df.schema.fields if f.name not in (user, ts) and _orderable(f.dataType)]
+    order = [F.col(ts)] + [F.col(f"`{c}`") for c in tie_break]
     x = df.withColumn("_uk", F.struct(F.col(user).alias("u"))).withColumn("_sec", F.unix_timestamp(ts))
     args = (df.columns, ts, order, gap_seconds, base)
     bkt = (bucket_seconds, hot_rows, max_hot_keys)
@@ -76,6 +81,11 @@ def sessionize(
     return _single_window(light, *args).unionByName(_bucketed(hot, *args, *bkt))
 
 
+def _orderable(dtype: T.DataType) -> bool:
+    text = dtype.simpleString()
+    return "map<" not in text and "variant" not in text
+
+
 def _finish(rows: DataFrame, cols, prev_ts, time_diff, brk, session_id) -> DataFrame:
     return rows.select(
         *[F.col(f"`{c}`") for c in cols],

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from visitlake.operators.dims import DEFAULT_MAX_BROADCAST_ROWS, join_dimension
-from visitlake.operators.pages import DEFAULT_PAGE_SIZE, paged_sorted_list
+from visitlake.operators.pages import DEFAULT_PAGE_SIZE, paged_sorted_list, prefix_bucket
 from visitlake.operators.skew import DEFAULT_MAX_HOT_KEYS, heavy_keys, split_keys
 
 # Order ids are bucketed in ranges of this width for paging (ids are unique,
@@ -28,17 +29,23 @@ def orders_per_user(
     """O1: users ⨝ orders (inner); per user ``order_count`` and sorted ``order_ids`` (paged).
 
     Users without orders and orders of unknown users drop out; a repeated
-    userId in ``users`` repeats that user's orders, as an inner join does.
+    userId in ``users`` repeats that user's orders, as an inner join does. A
+    user whose order ids are all null stays, with count 0 and an empty list.
     """
     joined = _with_known_users(orders.select("userId", "orderId"), users, max_broadcast_rows)
+    if isinstance(joined.schema["orderId"].dataType, T.StringType):
+        bucket, fine = prefix_bucket("orderId"), F.col("orderId")
+    else:
+        bucket, fine = F.floor(F.col("orderId") / F.lit(ORDER_ID_BUCKET)), None
     return paged_sorted_list(
         joined,
         ["userId"],
         F.col("orderId"),
-        F.floor(F.col("orderId") / F.lit(ORDER_ID_BUCKET)),
+        bucket,
         "order_ids",
         page_size=page_size,
         total_name="order_count",
+        fine_bucket=fine,
     )
 
 
@@ -58,17 +65,20 @@ def pages_per_user(
     URL -- and rebuilt with ``array_repeat``; no per-visit window or shuffle
     of visits is needed. The running offset window sees one row per distinct
     URL of a user. Users proven to have at most one page of visits (bounded
-    pre-pass) skip the runs: one ``collect_list`` each.
+    pre-pass) skip the runs: one ``collect_list`` each. A user whose pages
+    are all null stays, with counts 0 and an empty list.
     """
     joined = _with_known_users(logs.select("userId", "landing_url"), users, max_broadcast_rows)
-    visits = joined.where(F.col("landing_url").isNotNull()).withColumn("_uk", F.struct(F.col("userId").alias("u")))
-    heavy = heavy_keys(visits, "_uk", page_size, max_hot_keys) if split_heavy else None
+    visits = joined.withColumn("_uk", F.struct(F.col("userId").alias("u")))
+    known = F.col("landing_url").isNotNull()
+    heavy = heavy_keys(visits.where(known), "_uk", page_size, max_hot_keys) if split_heavy else None
     if heavy is None:
-        return _pages_from_runs(visits, page_size)
+        blank = visits.groupBy("userId").agg(F.max("landing_url").alias("landing_url")).where(~known)
+        return _pages_from_runs(visits.where(known), page_size).unionByName(_pages_one_list(blank))
     if not heavy:
         return _pages_one_list(visits)
     light, hot = split_keys(visits, "_uk", heavy)
-    return _pages_one_list(light).unionByName(_pages_from_runs(hot, page_size))
+    return _pages_one_list(light).unionByName(_pages_from_runs(hot.where(known), page_size))
 
 
 def _pages_one_list(visits: DataFrame) -> DataFrame:

@@ -62,17 +62,17 @@ YEAR = f"CAST(\"timestamp\" AS DATE) BETWEEN CAST(DATE '{R.AS_OF}' - INTERVAL 12
 LOCAL_RANGE = f"BETWEEN TIMESTAMP '{R.RANGE_START}' AND TIMESTAMP '{R.RANGE_END}'"
 
 SESS = """sess AS (
-  SELECT *, CAST(1 + sum(session_break) OVER (PARTITION BY userId ORDER BY "timestamp"
+  SELECT *, CAST(1 + sum(session_break) OVER (PARTITION BY userId ORDER BY "timestamp"{ties}
                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS session_id
   FROM (
     SELECT *, CAST({sec_ts} - {sec_prev} AS BIGINT) AS time_diff,
            CAST(CASE WHEN {sec_ts} - {sec_prev} > 1800 THEN 1 ELSE 0 END AS INTEGER) AS session_break
-    FROM (SELECT *, lag("timestamp") OVER (PARTITION BY userId ORDER BY "timestamp") AS prev_timestamp
-          FROM {src})))""".format(sec_ts=_sec('"timestamp"'), sec_prev=_sec("prev_timestamp"), src="{src}")
+    FROM (SELECT *, lag("timestamp") OVER (PARTITION BY userId ORDER BY "timestamp"{ties}) AS prev_timestamp
+          FROM {src})))""".format(sec_ts=_sec('"timestamp"'), sec_prev=_sec("prev_timestamp"), src="{src}", ties="{ties}")
 
 
-def _sess(src: str) -> str:
-    return SESS.replace("{src}", src)
+def _sess(src: str, *ties: str) -> str:
+    return SESS.replace("{src}", src).replace("{ties}", "".join(f", {c} NULLS FIRST" for c in ties))
 
 
 PATH_KEYS = "userId, source_id, referrer, landing_url, campaign_name"
@@ -147,15 +147,17 @@ conv AS (
          s.source_name, c.orderId
   FROM latest l JOIN chosen c ON l.userId = c.userId LEFT JOIN t_sources s ON l.source_id = s.source_id)"""
 
-ORDERS_PER_USER_BODY = f"""SELECT userId, {_page()} AS page, list_sort(list(orderId)) AS order_ids,
+ORDERS_PER_USER_BODY = f"""SELECT userId, page, coalesce(list_sort(list(orderId) FILTER (orderId IS NOT NULL)), []) AS order_ids,
        CAST(max(total) AS BIGINT) AS order_count
 FROM (
-  SELECT o.userId, o.orderId,
-         row_number() OVER (PARTITION BY o.userId ORDER BY o.orderId) AS rn,
-         count(*) OVER (PARTITION BY o.userId) AS total
-  FROM t_orders o JOIN t_users u ON o.userId = u.userId
-  WHERE o.orderId IS NOT NULL)
-GROUP BY userId, {_page()}"""
+  SELECT userId, orderId, total, CASE WHEN total = 0 THEN 0 ELSE {_page()} END AS page
+  FROM (
+    SELECT o.userId, o.orderId,
+           row_number() OVER (PARTITION BY o.userId ORDER BY o.orderId NULLS LAST) AS rn,
+           count(o.orderId) OVER (PARTITION BY o.userId) AS total
+    FROM t_orders o JOIN t_users u ON o.userId = u.userId)
+  WHERE orderId IS NOT NULL OR total = 0)
+GROUP BY userId, page"""
 ORDERS_PER_USER = _with() + ORDERS_PER_USER_BODY
 
 SQL: dict[str, str] = {
@@ -165,13 +167,15 @@ SQL: dict[str, str] = {
         """d AS (SELECT userId, CAST(count(DISTINCT landing_url) AS BIGINT) AS page_count FROM j GROUP BY userId)""",
     )
     + f"""SELECT p.*, d.page_count FROM (
-  SELECT userId, {_page()} AS page, list_sort(list(landing_url)) AS pages_visited,
+  SELECT userId, page, coalesce(list_sort(list(landing_url) FILTER (landing_url IS NOT NULL)), []) AS pages_visited,
          CAST(max(total) AS BIGINT) AS visit_count
-  FROM (SELECT userId, landing_url,
-               row_number() OVER (PARTITION BY userId ORDER BY landing_url) AS rn,
-               count(*) OVER (PARTITION BY userId) AS total
-        FROM j WHERE landing_url IS NOT NULL)
-  GROUP BY userId, {_page()}) p JOIN d ON p.userId = d.userId""",
+  FROM (SELECT userId, landing_url, total, CASE WHEN total = 0 THEN 0 ELSE {_page()} END AS page
+        FROM (SELECT userId, landing_url,
+                     row_number() OVER (PARTITION BY userId ORDER BY landing_url NULLS LAST) AS rn,
+                     count(landing_url) OVER (PARTITION BY userId) AS total
+              FROM j)
+        WHERE landing_url IS NOT NULL OR total = 0)
+  GROUP BY userId, page) p JOIN d ON p.userId = d.userId""",
     "visits_by_user_source_date": _with()
     + f"""SELECT CAST(l."timestamp" AS DATE) AS date, s.source_name, l.userId, CAST(count(*) AS BIGINT) AS visits
 FROM t_logs l JOIN t_sources s ON l.source_id = s.source_id
@@ -189,7 +193,7 @@ WHERE {YEAR.replace('"timestamp"', 'l."timestamp"')}
   AND CAST(l."timestamp" AS DATE) BETWEEN DATE '{R.DATE_START}' AND DATE '{R.DATE_END}'
 GROUP BY 1, 2
 ORDER BY 1, 2""",
-    "sessionize": _with(_sess('(SELECT userId, "timestamp", source_id FROM t_logs WHERE userId IS NOT NULL)'))
+    "sessionize": _with(_sess('(SELECT userId, "timestamp", source_id FROM t_logs WHERE userId IS NOT NULL)', "source_id"))
     + """SELECT userId, "timestamp", source_id, prev_timestamp, time_diff, session_break, session_id FROM sess""",
     "trailing_year_filter": _with()
     + f"""SELECT userId, "timestamp", source_id, CAST("timestamp" AS DATE) AS date FROM t_logs WHERE {YEAR}""",

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visitlake.fixed import REPORT_ZONE, UNKNOWN_CAMPAIGN
+from visitlake.operators.paths import flatten_entries, named_by_campaign
 from visitlake.functions import local_time_range, optional_column, trailing_year
 from visitlake.operators import (
     campaign_by_url_params,
@@ -20,7 +21,6 @@ from visitlake.operators import (
     conversions_by_datetime,
     filter_outer_timestamp,
     filter_time_conditions,
-    flatten_sessions,
     last_touch_attribution,
     last_touch_conversions,
     latest_per_key,
@@ -132,7 +132,7 @@ def q_latest_row_per_key(spark, sf_dir):
 
 def q_flatten_sessions(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return flatten_sessions(log_paths_by_campaign(t.logs, t.campaigns))
+    return flatten_entries(named_by_campaign(t.logs, t.campaigns))
 
 
 def q_filter_time_conditions(spark, sf_dir):

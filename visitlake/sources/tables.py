@@ -3,7 +3,8 @@
 Tables are plain DataFrames. The loader reads any Spark data source with an
 explicit schema (no sampling-based inference), normalises join keys to one
 type and timestamps to UTC wall-clock ``timestamp_ntz`` so that every
-operator behaves the same whatever the session time zone is.
+operator behaves the same whatever the session time zone is. Join keys are
+bigint, or text with ``key_type="string"``.
 """
 
 from __future__ import annotations
@@ -49,8 +50,13 @@ SCHEMAS: Mapping[str, T.StructType] = {
     "campaigns": CAMPAIGNS_SCHEMA,
 }
 
-# Columns that may be missing from a source (checked at plan time, O19).
-OPTIONAL_COLUMNS = {"logs": ("utm_source",)}
+# The only column that may be missing from a source (checked at plan time, O19).
+OPTIONAL_COLUMNS = ("utm_source",)
+KEY_COLUMNS = ("userId", "orderId", "source_id", "uuid")
+
+# Text times with a zone offset, and epoch seconds written as text.
+_OFFSET = r"\d\d:\d\d.*(Z|[+-]\d\d:?\d\d)$"
+_EPOCH = r"^-?\d{5,}(\.\d+)?$"
 
 
 @dataclass(frozen=True)
@@ -67,24 +73,46 @@ class Tables:
         return replace(self, **changes)
 
 
+def _from_epoch(seconds: Column) -> Column:
+    """UTC wall clock of epoch seconds; plain arithmetic, so no session zone and no repeated hour is involved."""
+    zero = F.lit(0)
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(zero, zero, zero, seconds.cast("decimal(18,6)"))
+
+
+def _from_instant(instant: Column) -> Column:
+    return _from_epoch(F.unix_micros(instant).cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)"))
+
+
 def utc_ntz(col: Column, dtype: T.DataType) -> Column:
     """A timestamp column as UTC wall clock without zone (what every operator expects)."""
     if isinstance(dtype, T.TimestampNTZType):
         return col
     if isinstance(dtype, T.TimestampType):
-        # instant -> session-zone wall clock -> UTC wall clock
-        return F.convert_timezone(F.current_timezone(), F.lit("UTC"), col.cast("timestamp_ntz"))
-    if isinstance(dtype, (T.StringType, T.DateType)):
+        return _from_instant(col)
+    if isinstance(dtype, T.StringType):
+        # a zone offset makes the text an instant; without one it is UTC already
+        instant = F.regexp_replace(col, r"([+-]\d\d)(\d\d)$", "$1:$2").cast("timestamp")
+        return (
+            F.when(col.rlike(_OFFSET), _from_instant(instant))
+            .when(col.rlike(_EPOCH), _from_epoch(col))
+            .otherwise(F.to_timestamp_ntz(col))
+        )
+    if isinstance(dtype, T.DateType):
         return F.to_timestamp_ntz(col)
-    if isinstance(dtype, (T.LongType, T.IntegerType, T.DoubleType)):
-        # epoch seconds
-        return F.to_timestamp_ntz(F.from_unixtime(col))
+    if isinstance(dtype, (T.NumericType,)):
+        return _from_epoch(col)
     raise TypeError(f"cannot read {dtype} as a timestamp")
 
 
-def normalise(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Project ``df`` onto ``schema``: cast keys, convert times, keep optional columns optional."""
+def normalise(df: DataFrame, schema: T.StructType, key_type: str = "bigint") -> DataFrame:
+    """Project ``df`` onto ``schema``: cast keys, convert times, keep optional columns optional.
+
+    Raises ``ValueError`` if a column other than the optional ones is absent.
+    """
     present = {f.name: f.dataType for f in df.schema.fields}
+    absent = [f.name for f in schema.fields if f.name not in present and f.name not in OPTIONAL_COLUMNS]
+    if absent:
+        raise ValueError(f"required columns are absent: {absent}")
     cols = []
     for field in schema.fields:
         if field.name not in present:
@@ -92,7 +120,9 @@ def normalise(df: DataFrame, schema: T.StructType) -> DataFrame:
         src = F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.TimestampNTZType):
             cols.append(utc_ntz(src, present[field.name]).alias(field.name))
-        elif present[field.name] == field.dataType:
+        elif field.name in KEY_COLUMNS and present[field.name].simpleString() != key_type:
+            cols.append(src.cast(key_type).alias(field.name))
+        elif field.name in KEY_COLUMNS or present[field.name] == field.dataType:
             cols.append(src)
         else:
             cols.append(src.cast(field.dataType).alias(field.name))
@@ -106,20 +136,26 @@ def load_tables(
     options: Mapping[str, Mapping[str, str]] | None = None,
     common_options: Mapping[str, str] | None = None,
     formats: Mapping[str, str] | None = None,
+    key_type: str = "bigint",
 ) -> Tables:
     """Load the five collections from any Spark source.
 
     ``paths[name]`` is passed to ``load``; ``options[name]`` (for example a
     connector's database/collection/uri) and ``common_options`` go to the
     reader; ``formats[name]`` overrides ``fmt`` for one table. Reads are lazy;
-    only the columns an operator uses are scanned.
+    only the columns an operator uses are scanned. ``key_type="string"`` keeps
+    the join keys as text (uuids, document ids). JSON is read with a schema of text columns, so it is
+    not read to infer one; an absent JSON column is null. Other sources state their columns.
     """
     paths = paths or {}
     options = options or {}
     frames = {}
     for name, schema in SCHEMAS.items():
-        reader = spark.read.format((formats or {}).get(name, fmt)).options(**(common_options or {})).options(**options.get(name, {}))
+        source = (formats or {}).get(name, fmt)
+        reader = spark.read.format(source).options(**(common_options or {})).options(**options.get(name, {}))
+        if source == "json":
+            reader = reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields]))
         path = paths.get(name)
         raw = reader.load(path) if path is not None else reader.load()
-        frames[name] = normalise(raw, schema)
+        frames[name] = normalise(raw, schema, key_type)
     return Tables(**frames)
