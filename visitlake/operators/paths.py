@@ -78,12 +78,24 @@ def named_by_campaign(
 
 def log_paths_by_utm(logs: DataFrame, page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
     """Campaign name = utm_source (or "Unknown" when null or when the column is absent)."""
+    return group_paths(named_by_utm(logs), page_size)
+
+
+def named_by_utm(logs: DataFrame) -> DataFrame:
+    """The log entries of known users with their ``campaign_name`` (O9 before grouping)."""
     base = _user_logs(logs)
-    named = base.select(
+    return base.select(
         "timestamp", "source_id", "userId", "referrer", "landing_url",
         optional_column(base, "utm_source", UNKNOWN).cast("string").alias("campaign_name"),
     )
-    return group_paths(named, page_size)
+
+
+def _campaign_urls(campaigns: DataFrame) -> DataFrame:
+    """(url, uuid, type, description) of every URL of every campaign's comma list."""
+    items = campaigns.select(
+        "uuid", "type", "description", F.explode(F.split(F.lower(F.col("params")), ",")).alias("_p")
+    ).select(F.trim("_p").alias("url"), "uuid", "type", "description")
+    return items.where(F.length("url") > 0)
 
 
 def campaign_url_map(campaigns: DataFrame) -> DataFrame:
@@ -91,10 +103,7 @@ def campaign_url_map(campaigns: DataFrame) -> DataFrame:
 
     Empty items never match. Result: (url, uuid, type, description).
     """
-    items = campaigns.select(
-        "uuid", "type", "description", F.explode(F.split(F.lower(F.col("params")), ",")).alias("_p")
-    ).select(F.trim("_p").alias("url"), "uuid", "type", "description")
-    first = items.where(F.length("url") > 0).groupBy("url").agg(
+    first = _campaign_urls(campaigns).groupBy("url").agg(
         F.min(F.struct("uuid", "type", "description")).alias("_c")
     )
     return first.select("url", "_c.uuid", "_c.type", "_c.description")
@@ -112,6 +121,13 @@ def campaign_by_url_params(
     loop). Name = "type - description" when both exist, else utm_source,
     else "Unknown"; then paths are grouped as in O8.
     """
+    return group_paths(named_by_url_params(logs, campaigns, max_broadcast_rows), page_size)
+
+
+def named_by_url_params(
+    logs: DataFrame, campaigns: DataFrame, max_broadcast_rows: int | None = DEFAULT_MAX_BROADCAST_ROWS
+) -> DataFrame:
+    """The log entries of known users with their ``campaign_name`` (O10 before grouping)."""
     base = _user_logs(logs)
     base = base.select(
         "timestamp", "source_id", "userId", "referrer", "landing_url",
@@ -119,15 +135,15 @@ def campaign_by_url_params(
         F.lower(F.col("landing_url")).alias("url"),
     )
     url_map = campaign_url_map(campaigns).select("url", "type", "description")
-    joined = join_dimension(base, url_map, "url", "left", max_broadcast_rows)
+    urls = _campaign_urls(campaigns).select("url", "type", "description")
+    joined = join_dimension(base, url_map, "url", "left", max_broadcast_rows, probe=urls)
     from_campaign = F.when(
         F.col("type").isNotNull() & F.col("description").isNotNull(),
         F.concat(F.col("type"), F.lit(CAMPAIGN_NAME_SEPARATOR), F.col("description")),
     )
-    named = joined.withColumn("campaign_name", F.coalesce(from_campaign, F.col("_utm"), F.lit(UNKNOWN))).drop(
+    return joined.withColumn("campaign_name", F.coalesce(from_campaign, F.col("_utm"), F.lit(UNKNOWN))).drop(
         "url", "type", "description", "_utm"
     )
-    return group_paths(named, page_size)
 
 
 def flatten_sessions(paths: DataFrame) -> DataFrame:

@@ -6,10 +6,12 @@ keys with at most ``threshold`` rows -- a proven bound. A bounded pre-pass
 finds the heavier keys; those take the bucketed / paged plan, every other key
 takes the single-pass plan.
 
-The heavy-key list is bounded by construction: at most ``max_keys`` keys are
-fetched (``count > threshold`` implies at most rows/threshold of them). If
-there are more, ``None`` is returned and the caller uses the skew-safe plan
-for all keys. When no key is heavy the heavy branch is an empty local
+The list holds 64-bit hashes of keys, so it is bounded in bytes too: at most
+``max_keys`` longs are fetched (``count > threshold`` implies at most
+rows/threshold of them). Keys that share a hash are counted together, so a light
+key may take the skew-safe plan, which is right at every size, and no heavy
+key takes the other one. With more heavy keys ``None`` is returned and the caller uses
+the skew-safe plan for all keys. When no key is heavy the heavy branch is an empty local
 relation and Catalyst removes it from the plan.
 """
 
@@ -20,23 +22,29 @@ from pyspark.sql import functions as F
 
 DEFAULT_MAX_HOT_KEYS = 100_000
 
+KEY_HASH = "_key_hash"
+
 
 def heavy_keys(df: DataFrame, key: str, threshold: int, max_keys: int = DEFAULT_MAX_HOT_KEYS) -> list | None:
-    """Keys of ``df[key]`` with more than ``threshold`` rows (at most ``max_keys`` of them).
+    """Hashes of the keys ``df[key]`` with more than ``threshold`` rows (at most ``max_keys`` of them).
 
-    ``key`` should be a non-null column (wrap composite or nullable keys in a
-    struct). Returns ``None`` when more than ``max_keys`` keys are heavy.
+    ``None`` when more than ``max_keys`` keys are heavy.
     """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    found = counts.where(F.col("_rows") > threshold).select(key).limit(max_keys + 1).collect()
+    counts = df.groupBy(F.xxhash64(key).alias(KEY_HASH)).agg(F.count(F.lit(1)).alias("_rows"))
+    found = counts.where(F.col("_rows") > threshold).select(KEY_HASH).limit(max_keys + 1).collect()
     return None if len(found) > max_keys else found
 
 
+def hash_list(df: DataFrame, heavy: list) -> DataFrame:
+    """The heavy-key hashes as a frame of one long column, small enough to broadcast."""
+    return df.sparkSession.createDataFrame(heavy, f"{KEY_HASH} bigint")
+
+
 def split_keys(df: DataFrame, key: str, heavy: list) -> tuple[DataFrame, DataFrame]:
-    """(rows of light keys, rows of heavy keys); the bounded heavy-key list is broadcast."""
-    keys = df.sparkSession.createDataFrame(heavy, df.select(key).schema)
-    b = F.broadcast(keys)
-    return df.join(b, key, "left_anti"), df.join(b, key, "left_semi")
+    """(rows of light keys, rows of heavy keys); the bounded list of hashes is broadcast."""
+    hashed = df.withColumn(KEY_HASH, F.xxhash64(key))
+    b = F.broadcast(hash_list(df, heavy))
+    return hashed.join(b, KEY_HASH, "left_anti").drop(KEY_HASH), hashed.join(b, KEY_HASH, "left_semi").drop(KEY_HASH)
 
 
 def refine_buckets(
@@ -64,11 +72,11 @@ def refine_buckets(
     elif not heavy:
         split = F.lit(None).cast(x.schema["_fb"].dataType)
     else:
-        marks = df.sparkSession.createDataFrame(heavy, x.select("_hk").schema).withColumn("_split", F.lit(True))
-        x = x.join(F.broadcast(marks), "_hk", "left")
+        marks = hash_list(df, heavy).withColumn("_split", F.lit(True))
+        x = x.withColumn(KEY_HASH, F.xxhash64("_hk")).join(F.broadcast(marks), KEY_HASH, "left")
         split = F.when(F.col("_split"), F.col("_fb"))
     out = x.withColumn("_bkt", F.struct(F.col("_cb").alias("b"), split.alias("s")))
-    return out.drop(*[c for c in ("_hk", "_split", "_cb", "_fb") if c in out.columns]), heavy is None or bool(heavy)
+    return out.drop(*[c for c in ("_hk", KEY_HASH, "_split", "_cb", "_fb") if c in out.columns]), heavy is None or bool(heavy)
 
 
 def time_buckets(
