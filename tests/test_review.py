@@ -15,11 +15,14 @@ from visitlake.operators import (
     flatten_sessions,
     last_touch_attribution,
     log_paths_by_campaign,
+    order_counts_per_user,
     orders_per_user,
+    page_counts_per_user,
     pages_per_user,
+    path_summary,
     sessionize,
 )
-from visitlake.operators.dims import join_dimension, salted_join
+from visitlake.operators.dims import has_at_most, join_dimension, salted_join
 from visitlake.operators.paths import flatten_entries, named_by_campaign
 from visitlake.plans.registry import QUERIES
 from visitlake.sources import load_tables, testdata
@@ -38,12 +41,36 @@ def test_users_with_null_elements_only_stay(spark, page_size):
     for r in sorted(rows, key=lambda r: (r.userId, r.page)):
         ids.setdefault(r.userId, []).extend(r.order_ids)
     assert ids == {1: [5, 6], 2: []}
-    assert {(r.userId, r.order_count) for r in rows} == {(1, 2), (2, 0)}
+    assert {(r.userId, r.order_count) for r in rows if r.page == 0} == {(1, 2), (2, 0)}
+    assert sum(r.order_count or 0 for r in rows) == 2
+    assert {tuple(r) for r in order_counts_per_user(users, orders).collect()} == {(1, 2), (2, 0)}
     logs = orders.select("userId", F.col("orderId").cast("string").alias("landing_url"))
     for split in (True, False):
         rows = pages_per_user(users, logs, page_size=page_size, split_heavy=split).collect()
-        assert {(r.userId, r.page_count, r.visit_count) for r in rows} == {(1, 2, 2), (2, 0, 0)}
+        assert {(r.userId, r.page_count, r.visit_count) for r in rows if r.page == 0} == {(1, 2, 2), (2, 0, 0)}
         assert [r.pages_visited for r in rows if r.userId == 2] == [[]]
+        assert sum(r.visit_count or 0 for r in rows) == 2
+    assert {tuple(r) for r in page_counts_per_user(users, logs).collect()} == {(1, 2, 2), (2, 0, 0)}
+
+
+def test_summaries_agree_with_lists_of_small_pages(spark):
+    t = testdata.tables(spark, SF001, purchase_orders=True)
+    users = t.users.union(t.users.limit(5))  # repeated users multiply counts, as the join does
+    lists = orders_per_user(users, t.orders, page_size=2).where("page = 0").select("userId", "order_count")
+    assert lists.exceptAll(order_counts_per_user(users, t.orders)).isEmpty()
+    assert order_counts_per_user(users, t.orders).count() == lists.count()
+    named = named_by_campaign(t.logs, t.campaigns)
+    cols = path_summary(named).columns
+    paths = log_paths_by_campaign(t.logs, t.campaigns, page_size=2)
+    assert paths.where("page > 0 and entries_count is not null").isEmpty()
+    assert sorted(map(repr, paths.where("page = 0").select(*cols).collect())) == sorted(map(repr, path_summary(named).collect()))
+
+
+def test_broadcast_probe_counts_bytes(spark):
+    rows = spark.createDataFrame([(i, "x" * 100, ["y" * 50]) for i in range(10)], "k bigint, s string, a array<string>")
+    assert has_at_most(rows, 10) and not has_at_most(rows, 9)
+    assert has_at_most(rows, 10, 2_500) and not has_at_most(rows, 10, 1_500)
+    assert has_at_most(rows.where("k < 0"), 0, 0)
 
 
 @pytest.mark.parametrize("hot_rows", [None, 10**9])

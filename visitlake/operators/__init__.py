@@ -1,6 +1,7 @@
 """DataFrame -> DataFrame operators (see README for the list)."""
 
 from visitlake.operators.conversions import (
+    conversion_counts_by_date,
     conversions_by_date,
     conversions_by_datetime,
     last_touch_attribution,
@@ -18,10 +19,14 @@ from visitlake.operators.paths import (
     flatten_sessions,
     log_paths_by_campaign,
     log_paths_by_utm,
+    named_by_campaign,
+    named_by_url_params,
+    named_by_utm,
+    path_summary,
     rebuild_sessions,
 )
 from visitlake.operators.sessions import sessionize, session_paths, session_summary
-from visitlake.operators.users import orders_per_user, pages_per_user
+from visitlake.operators.users import order_counts_per_user, orders_per_user, page_counts_per_user, pages_per_user
 from visitlake.operators.visitors import (
     visitors_by_source_date,
     visitors_in_range,
@@ -32,6 +37,7 @@ from visitlake.operators.visitors import (
 __all__ = [
     "campaign_by_url_params",
     "campaign_url_map",
+    "conversion_counts_by_date",
     "conversions_by_date",
     "conversions_by_datetime",
     "filter_outer_timestamp",
@@ -43,9 +49,15 @@ __all__ = [
     "latest_per_key",
     "log_paths_by_campaign",
     "log_paths_by_utm",
+    "named_by_campaign",
+    "named_by_url_params",
+    "named_by_utm",
+    "order_counts_per_user",
     "orders_per_user",
+    "page_counts_per_user",
     "paged_sorted_list",
     "pages_per_user",
+    "path_summary",
     "rebuild_sessions",
     "recent_source_conversions",
     "session_paths",

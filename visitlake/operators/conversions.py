@@ -74,7 +74,7 @@ def conversions_by_date(
     """Per (local date, source_name) the sorted {date_time, source_name, orderId} list and its size.
 
     ``source_name`` is kept as a column (the reference drops it, which makes
-    rows of one date indistinguishable).
+    rows of one date indistinguishable). The size stands on page 0 only; ``conversion_counts_by_date`` gives it alone.
     """
     conv = recent_source_conversions(logs, orders, sources, start, end, zone, **kw).withColumn(
         "date_only", F.to_date("log_local_ts")
@@ -92,6 +92,13 @@ def conversions_by_date(
     )
 
 
+def conversion_counts_by_date(logs, orders, sources, start=None, end=None, zone: str = DEFAULT_ZONE, **kw) -> DataFrame:
+    """O12 without the lists: one row (date_only, source_name, conversion_count) per day and source."""
+    conv = recent_source_conversions(logs, orders, sources, start, end, zone, **kw)
+    by_day = conv.groupBy(F.to_date("log_local_ts").alias("date_only"), "source_name")
+    return by_day.agg(F.count(F.lit(1)).alias("conversion_count"))
+
+
 def last_touch_attribution(
     logs: DataFrame,
     orders: DataFrame,

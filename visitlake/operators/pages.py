@@ -67,8 +67,9 @@ def paged_sorted_list(
 
     ``item`` is the element (any orderable type, nulls are skipped like
     ``collect_list``; a group of nulls only keeps one row with an empty list); ``bucket`` must be non-decreasing in element order.
-    ``total_name`` adds the group's element count to every page row and
-    ``last_name`` the group's greatest element (the end of its last page).
+    ``total_name`` adds the group's element count to its first page (null on the others, so that
+    sums over rows are sums over groups) and ``last_name`` the group's greatest element
+    (the end of its last page) to every page.
     ``split_heavy=False`` sends every group through the ranked path.
     ``fine_bucket`` (non-decreasing in element order, refining ``bucket``)
     splits a bucket holding more than ``hot_bucket_rows`` elements.
@@ -133,7 +134,7 @@ def _ranked_pages(
     page = F.floor((F.col("_before") + F.col("_rn") - 1) / F.lit(page_size)).cast("int")
     aggs = [F.array_sort(F.collect_list("_item")).alias(list_name)]
     if total_name:
-        aggs.append(F.max("_total").cast("bigint").alias(total_name))
+        aggs.append(F.max(F.when(page == 0, F.col("_total"))).cast("bigint").alias(total_name))
     if last_name:
         aggs.append(F.max("_last").alias(last_name))
     out = placed.groupBy(_K, page.alias(page_name)).agg(*aggs)

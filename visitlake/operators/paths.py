@@ -3,7 +3,8 @@
 A path groups a user's log entries by (userId, source_id, referrer,
 landing_url, campaign_name). Entries of one group differ only in their time,
 so ``full_session`` is sorted by time and paged (see ``pages``); the outer
-``timestamp`` is the group's latest entry and ``entries_count`` its size.
+``timestamp`` is the group's latest entry, on every page, and ``entries_count`` its size, on page 0
+(``path_summary`` gives both alone, one row per path).
 """
 
 from __future__ import annotations
@@ -52,6 +53,11 @@ def group_paths(
     )
 
 
+def path_summary(named: DataFrame) -> DataFrame:
+    """O8-O10 without the entries: one row per path with ``entries_count`` and the last ``timestamp``."""
+    return named.groupBy(*PATH_KEYS).agg(F.count(F.lit(1)).alias("entries_count"), F.max("timestamp").alias("timestamp"))
+
+
 def log_paths_by_campaign(
     logs: DataFrame,
     campaigns: DataFrame,

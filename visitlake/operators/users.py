@@ -31,6 +31,7 @@ def orders_per_user(
     Users without orders and orders of unknown users drop out; a repeated
     userId in ``users`` repeats that user's orders, as an inner join does. A
     user whose order ids are all null stays, with count 0 and an empty list.
+    The count stands on page 0 only; ``order_counts_per_user`` gives the counts alone.
     """
     joined = _with_known_users(orders.select("userId", "orderId"), users, max_broadcast_rows)
     if isinstance(joined.schema["orderId"].dataType, T.StringType):
@@ -49,6 +50,27 @@ def orders_per_user(
     )
 
 
+def _repeats(users: DataFrame) -> DataFrame:
+    return users.where(F.col("userId").isNotNull()).groupBy("userId").agg(F.count(F.lit(1)).alias("_repeats"))
+
+
+def order_counts_per_user(users: DataFrame, orders: DataFrame) -> DataFrame:
+    """O1 without the lists: one row (userId, order_count) per user at every size.
+
+    Orders are counted per user before the join (partial aggregation), so no key is heavy in it and
+    nothing runs while the query is built. A repeated userId multiplies the count, as an inner join does.
+    """
+    counts = orders.groupBy("userId").agg(F.count("orderId").alias("_n"))
+    return counts.join(_repeats(users), "userId").select("userId", (F.col("_n") * F.col("_repeats")).alias("order_count"))
+
+
+def page_counts_per_user(users: DataFrame, logs: DataFrame) -> DataFrame:
+    """O2 without the lists: one row (userId, visit_count, page_count) per user, reduced before the join."""
+    counts = logs.groupBy("userId").agg(F.count("landing_url").alias("_n"), F.count_distinct("landing_url").alias("page_count"))
+    joined = counts.join(_repeats(users), "userId")
+    return joined.select("userId", (F.col("_n") * F.col("_repeats")).alias("visit_count"), "page_count")
+
+
 def pages_per_user(
     users: DataFrame,
     logs: DataFrame,
@@ -66,7 +88,8 @@ def pages_per_user(
     of visits is needed. The running offset window sees one row per distinct
     URL of a user. Users proven to have at most one page of visits (bounded
     pre-pass) skip the runs: one ``collect_list`` each. A user whose pages
-    are all null stays, with counts 0 and an empty list.
+    are all null stays, with counts 0 and an empty list. Counts stand on page 0 only;
+    ``page_counts_per_user`` gives them alone.
     """
     joined = _with_known_users(logs.select("userId", "landing_url"), users, max_broadcast_rows)
     visits = joined.withColumn("_uk", F.struct(F.col("userId").alias("u")))
@@ -115,8 +138,8 @@ def _pages_from_runs(visits: DataFrame, page_size: int) -> DataFrame:
     spans = spans.withColumn("_copies", (hi - lo).cast("int"))
     pages = spans.groupBy("userId", F.col("page").cast("int").alias("page")).agg(
         F.array_sort(F.collect_list(F.struct("landing_url", "_copies"))).alias("_runs"),
-        F.max("_total").cast("bigint").alias("visit_count"),
-        F.max("_distinct").cast("bigint").alias("page_count"),
+        F.max(F.when(F.col("page") == 0, F.col("_total"))).cast("bigint").alias("visit_count"),
+        F.max(F.when(F.col("page") == 0, F.col("_distinct"))).cast("bigint").alias("page_count"),
     )
     visited = F.flatten(F.transform("_runs", lambda r: F.array_repeat(r["landing_url"], r["_copies"])))
     return pages.select("userId", "page", visited.alias("pages_visited"), "visit_count", "page_count")

@@ -8,10 +8,10 @@ tables are derived with the same expressions as ``visitlake.sources.testdata``.
 
 from __future__ import annotations
 
+from visitlake.operators.pages import DEFAULT_PAGE_SIZE as PAGE
 from visitlake.plans import registry as R
 
 _LOCAL_ZONE = R.ZONE
-PAGE = 10_000  # same as visitlake.operators.pages.DEFAULT_PAGE_SIZE
 
 BASE = """
 t_users AS (SELECT CAST(c_custkey AS BIGINT) AS userId FROM customer),
@@ -89,10 +89,13 @@ def _paths(named_cte: str) -> str:
     ) + f"""SELECT {PATH_KEYS}, {_page()} AS page,
   list_sort(list(struct_pack("timestamp" := "timestamp", source_id := source_id, referrer := referrer,
                              landing_url := landing_url, campaign_name := campaign_name, userId := userId))) AS full_session,
-  CAST(max(total) AS BIGINT) AS entries_count, max(last_ts) AS "timestamp"
+  CAST(max(total) FILTER (rn <= {PAGE}) AS BIGINT) AS entries_count, max(last_ts) AS "timestamp"
 FROM ranked GROUP BY {PATH_KEYS}, {_page()}"""
 
 
+PATH_SUMMARY = f"""SELECT {PATH_KEYS}, CAST(count(*) AS BIGINT) AS entries_count, max("timestamp") AS "timestamp"
+FROM named GROUP BY {PATH_KEYS}"""
+
 NAMED_CAMPAIGN = """named AS (
   SELECT l."timestamp", l.source_id, l.userId, l.referrer, l.landing_url,
          coalesce(c.description, 'Unknown') AS campaign_name
@@ -148,9 +151,9 @@ conv AS (
   FROM latest l JOIN chosen c ON l.userId = c.userId LEFT JOIN t_sources s ON l.source_id = s.source_id)"""
 
 ORDERS_PER_USER_BODY = f"""SELECT userId, page, coalesce(list_sort(list(orderId) FILTER (orderId IS NOT NULL)), []) AS order_ids,
-       CAST(max(total) AS BIGINT) AS order_count
+       CAST(max(total) FILTER (rn <= {PAGE}) AS BIGINT) AS order_count
 FROM (
-  SELECT userId, orderId, total, CASE WHEN total = 0 THEN 0 ELSE {_page()} END AS page
+  SELECT userId, orderId, total, rn, CASE WHEN total = 0 THEN 0 ELSE {_page()} END AS page
   FROM (
     SELECT o.userId, o.orderId,
            row_number() OVER (PARTITION BY o.userId ORDER BY o.orderId NULLS LAST) AS rn,
@@ -168,8 +171,8 @@ SQL: dict[str, str] = {
     )
     + f"""SELECT p.*, d.page_count FROM (
   SELECT userId, page, coalesce(list_sort(list(landing_url) FILTER (landing_url IS NOT NULL)), []) AS pages_visited,
-         CAST(max(total) AS BIGINT) AS visit_count
-  FROM (SELECT userId, landing_url, total, CASE WHEN total = 0 THEN 0 ELSE {_page()} END AS page
+         CAST(max(total) FILTER (rn <= {PAGE}) AS BIGINT) AS visit_count
+  FROM (SELECT userId, landing_url, total, rn, CASE WHEN total = 0 THEN 0 ELSE {_page()} END AS page
         FROM (SELECT userId, landing_url,
                      row_number() OVER (PARTITION BY userId ORDER BY landing_url NULLS LAST) AS rn,
                      count(landing_url) OVER (PARTITION BY userId) AS total
@@ -212,7 +215,7 @@ FROM conv GROUP BY date_time, source_name""",
     )
     + f"""SELECT date_only, source_name, {_page()} AS page,
        list_sort(list(struct_pack(date_time := date_time, source_name := source_name, orderId := orderId))) AS conversions,
-       CAST(max(total) AS BIGINT) AS conversion_count
+       CAST(max(total) FILTER (rn <= {PAGE}) AS BIGINT) AS conversion_count
 FROM ranked GROUP BY date_only, source_name, {_page()}""",
     "local_time_range": _with()
     + f"""SELECT userId, "timestamp", source_id, local_ts FROM (
@@ -247,7 +250,34 @@ FROM outer_rows""",
     + """SELECT to_json(struct_pack(userId := userId, page := page, order_count := order_count, order_ids := order_ids)) AS json
 FROM o1""",
     "load_tables": _with()
-    + """SELECT "timestamp", source_id, userId, referrer, landing_url, utm_source FROM t_logs""",
+    + """SELECT 'users' AS table_name, userId AS key, CAST(NULL AS BIGINT) AS other_key, CAST(NULL AS TIMESTAMP) AS "timestamp",
+       CAST(NULL AS VARCHAR) AS text1, CAST(NULL AS VARCHAR) AS text2, CAST(NULL AS VARCHAR) AS text3 FROM t_users
+UNION ALL SELECT 'orders', userId, orderId, "timestamp", NULL, NULL, NULL FROM t_orders
+UNION ALL SELECT 'logs', userId, source_id, "timestamp", referrer, landing_url, utm_source FROM t_logs
+UNION ALL SELECT 'sources', source_id, NULL, NULL, source_name, NULL, NULL FROM t_sources
+UNION ALL SELECT 'campaigns', uuid, NULL, NULL, type, description, params FROM t_campaigns""",
+    "order_counts_per_user": _with()
+    + """SELECT o.userId, CAST(count(o.orderId) AS BIGINT) AS order_count
+FROM t_orders o JOIN t_users u ON o.userId = u.userId GROUP BY o.userId""",
+    "page_counts_per_user": _with()
+    + """SELECT l.userId, CAST(count(l.landing_url) AS BIGINT) AS visit_count, CAST(count(DISTINCT l.landing_url) AS BIGINT) AS page_count
+FROM t_logs l JOIN t_users u ON l.userId = u.userId GROUP BY l.userId""",
+    "path_summary_by_campaign": _with(NAMED_CAMPAIGN) + PATH_SUMMARY,
+    "path_summary_by_utm": _with(NAMED_UTM) + PATH_SUMMARY,
+    "path_summary_by_url_params": _with(NAMED_PARAMS) + PATH_SUMMARY,
+    "conversion_counts_by_date": _with(CONV)
+    + """SELECT date_only, source_name, CAST(count(*) AS BIGINT) AS conversion_count FROM conv GROUP BY date_only, source_name""",
+    "json_log_paths": _with(
+        NAMED_CAMPAIGN,
+        f"""ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY {PATH_KEYS} ORDER BY "timestamp") AS rn,
+         count(*) OVER (PARTITION BY {PATH_KEYS}) AS total
+  FROM named)""",
+    )
+    + f"""SELECT '{{"userId":' || userId || ',"page":' || {_page()} || coalesce(',"entries_count":' || max(total) FILTER (rn <= {PAGE}), '')
+  || ',"Campaign name":' || to_json(campaign_name) || ',"full_session":['
+  || string_agg('{{"Campaign name":' || to_json(campaign_name) || coalesce(',"landing_url":' || to_json(landing_url), '') || '}}', ',') || ']}}' AS json
+FROM ranked GROUP BY {PATH_KEYS}, {_page()}""",
     "visitors_once_per_session": _with(
         f"""recent AS (
   SELECT userId, "timestamp", source_id FROM t_logs WHERE userId IS NOT NULL AND {YEAR})""",
@@ -288,7 +318,7 @@ FROM sess GROUP BY userId, session_id""",
     )
     + f"""SELECT userId, session_id, {_page()} AS page,
        list_sort(list(struct_pack("timestamp" := "timestamp", landing_url := landing_url))) AS path,
-       CAST(max(total) AS BIGINT) AS entries
+       CAST(max(total) FILTER (rn <= {PAGE}) AS BIGINT) AS entries
 FROM ranked GROUP BY userId, session_id, {_page()}""",
 }
 
@@ -318,7 +348,7 @@ FROM t_logs l LEFT JOIN t_sources s ON l.source_id = s.source_id""",
     + """SELECT source_id, CAST(count(*) AS BIGINT) AS entries, CAST(count(DISTINCT userId) AS BIGINT) AS users
 FROM t_logs GROUP BY source_id""",
     "agg_collect_sorted": _with()
-    + f"""SELECT source_id, {_page()} AS page, list_sort(list(landing_url)) AS urls, CAST(max(total) AS BIGINT) AS url_count
+    + f"""SELECT source_id, {_page()} AS page, list_sort(list(landing_url)) AS urls, CAST(max(total) FILTER (rn <= {PAGE}) AS BIGINT) AS url_count
 FROM (SELECT source_id, landing_url,
              row_number() OVER (PARTITION BY source_id ORDER BY landing_url) AS rn,
              count(*) OVER (PARTITION BY source_id) AS total

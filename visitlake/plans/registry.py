@@ -1,4 +1,4 @@
-"""Registered queries: each takes (spark, sf_dir) and returns a lazy DataFrame.
+"""Registered queries: each takes (spark, sf_dir) and returns a DataFrame; building some runs bounded probe jobs.
 
 They run the operators over the tables derived from the shared test parquet
 (``visitlake.sources.testdata``), whole tables, with fixed parameters that
@@ -8,15 +8,17 @@ match ``visitlake.plans.oracle``.
 from __future__ import annotations
 
 from typing import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visitlake.fixed import REPORT_ZONE, UNKNOWN_CAMPAIGN
-from visitlake.operators.paths import flatten_entries, named_by_campaign
+from visitlake.operators.paths import flatten_entries
 from visitlake.functions import local_time_range, optional_column, trailing_year
 from visitlake.operators import (
     campaign_by_url_params,
+    conversion_counts_by_date,
     conversions_by_date,
     conversions_by_datetime,
     filter_outer_timestamp,
@@ -26,8 +28,14 @@ from visitlake.operators import (
     latest_per_key,
     log_paths_by_campaign,
     log_paths_by_utm,
+    named_by_campaign,
+    named_by_url_params,
+    named_by_utm,
+    order_counts_per_user,
     orders_per_user,
+    page_counts_per_user,
     pages_per_user,
+    path_summary,
     rebuild_sessions,
     session_paths,
     session_summary,
@@ -37,7 +45,9 @@ from visitlake.operators import (
     visitors_once_per_session,
     visits_by_user_source_date,
 )
-from visitlake.sources import json_records, testdata
+from visitlake.session import ensure_checkpoint_dir
+from visitlake.sources import json_records, load_tables, testdata
+from visitlake.sources.tables import SCHEMAS
 
 # Fixed parameters of the registered queries (the oracle SQL uses the same).
 AS_OF = "2024-02-01"
@@ -167,7 +177,69 @@ def q_json_records(spark, sf_dir):
 
 
 def q_load_tables(spark, sf_dir):
-    return _t(spark, sf_dir).logs
+    """All five tables written as a foreign source (text keys, times with an offset; JSON and Parquet), loaded back."""
+    t = _t(spark, sf_dir)
+    root = f"{ensure_checkpoint_dir(spark)}/load-{uuid4().hex}"
+    for name in SCHEMAS:
+        frame = getattr(t, name)
+        foreign = frame.select(*[
+            F.concat(F.col(f.name).cast("string"), F.lit("Z" if f.name == "timestamp" else "")).alias(f.name) for f in frame.schema.fields
+        ])
+        foreign.write.format("json" if name in ("logs", "campaigns") else "parquet").save(f"{root}/{name}")
+    formats = {name: "parquet" for name in ("users", "orders", "sources")}
+    got = load_tables(spark, "json", {name: f"{root}/{name}" for name in SCHEMAS}, formats=formats)
+    none, text, time = F.lit(None).cast("bigint"), F.lit(None).cast("string"), F.lit(None).cast("timestamp_ntz")
+
+    def part(name: str, key, other, at, *texts) -> DataFrame:
+        texts = [*texts, *[text] * (3 - len(texts))]
+        named = [t.alias(f"text{i}") for i, t in enumerate(texts, 1)]
+        return getattr(got, name).select(F.lit(name).alias("table_name"), key.alias("key"), other.alias("other_key"), at.alias("timestamp"), *named)
+
+    c = F.col
+    return (
+        part("users", c("userId"), none, time)
+        .unionByName(part("orders", c("userId"), c("orderId"), c("timestamp")))
+        .unionByName(part("logs", c("userId"), c("source_id"), c("timestamp"), c("referrer"), c("landing_url"), c("utm_source")))
+        .unionByName(part("sources", c("source_id"), none, time, c("source_name")))
+        .unionByName(part("campaigns", c("uuid"), none, time, c("type"), c("description"), c("params")))
+    )
+
+
+def q_order_counts_per_user(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return order_counts_per_user(t.users, t.orders)
+
+
+def q_page_counts_per_user(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return page_counts_per_user(t.users, t.logs)
+
+
+def q_path_summary_by_campaign(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return path_summary(named_by_campaign(t.logs, t.campaigns))
+
+
+def q_path_summary_by_utm(spark, sf_dir):
+    return path_summary(named_by_utm(_t(spark, sf_dir).logs))
+
+
+def q_path_summary_by_url_params(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return path_summary(named_by_url_params(t.logs, t.campaigns))
+
+
+def q_conversion_counts_by_date(spark, sf_dir):
+    t = _t(spark, sf_dir, purchases=True)
+    return conversion_counts_by_date(t.logs, t.orders, t.sources, RANGE_START, RANGE_END, ZONE)
+
+
+def q_json_log_paths(spark, sf_dir):
+    """Log paths as JSON text, ``Campaign name`` spelled as the service does at both levels."""
+    return json_records(q_log_paths_by_campaign(spark, sf_dir).select(
+        "userId", "page", "entries_count", "campaign_name",
+        F.transform("full_session", lambda e: F.struct(e["campaign_name"].alias("campaign_name"), e["landing_url"].alias("landing_url"))).alias("full_session"),
+    ))
 
 
 def q_visitors_once_per_session(spark, sf_dir):
@@ -224,4 +296,11 @@ QUERIES: dict[str, Query] = {
     "last_touch_conversions": q_last_touch_conversions,        # I2 (report)
     "session_summary": q_session_summary,                      # I3
     "session_paths": q_session_paths,                          # I3 (paths)
+    "order_counts_per_user": q_order_counts_per_user,          # O1 (summary)
+    "page_counts_per_user": q_page_counts_per_user,            # O2 (summary)
+    "path_summary_by_campaign": q_path_summary_by_campaign,    # O8 (summary)
+    "path_summary_by_utm": q_path_summary_by_utm,              # O9 (summary)
+    "path_summary_by_url_params": q_path_summary_by_url_params,  # O10 (summary)
+    "conversion_counts_by_date": q_conversion_counts_by_date,  # O12 (summary)
+    "json_log_paths": q_json_log_paths,                        # O20 (nested)
 }
