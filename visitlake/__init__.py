@@ -1,7 +1,7 @@
-"""visitlake — visitor, order and campaign analytics as lazy Spark DataFrame operators.
+"""visitlake — visitor, order and campaign analytics as Spark DataFrame operators.
 
 Every public operator takes DataFrames (plus explicit parameters) and returns a
-DataFrame; nothing is collected. See README.md for the operator list.
+DataFrame. Building some runs bounded probe jobs, which fetch row sizes and key hashes only. See README.md for the operator list.
 """
 
 from visitlake.sources.tables import Tables, load_tables

@@ -1,7 +1,7 @@
 """The reference service's five endpoints as DataFrame functions (no web server).
 
 Each takes the ``Tables`` catalog and the endpoint's request parameters and
-returns a lazy DataFrame; ``as_json=True`` gives the endpoint's JSON records
+returns a DataFrame (building some runs bounded probe jobs); ``as_json=True`` gives the endpoint's JSON records
 (one ``json`` text column, null fields omitted, ``Campaign name`` spelled as
 the service spells it). ``as_of=None`` means the query's current date.
 """
