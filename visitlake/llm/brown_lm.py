@@ -1,20 +1,21 @@
 """Scores of a Brown class-based bigram model.
 
 Each word belongs to one class; the probability of a word after another is that of its class after
-the other's class times that of the word within its class, both smoothed. The ``CLUSTERED`` most
-frequent words are assigned by exchange clustering: from the class of its frequency rank, each word moves
-to the class that raises the likelihood of the class bigrams most; every round half of the
-words (by hash) move against the others' classes. All other words, and unseen ones, belong to one of
+the other's class times that of the word within its class, both smoothed. Every word that the training
+texts hold ``LEAST`` times or more is assigned by exchange clustering: from a class by its frequency rank (by its
+hash outside the head), each word moves to the class that raises the likelihood of the class bigrams most; every
+round half of the words (by hash) move against the others' classes. Rarer words, and unseen ones, belong to one of
 ``ENDINGS`` classes by their last two bytes, so every word has a class without a lookup.
 
-Counts cover all training texts. Word counts are aggregated by Spark; the ``HEAD`` most frequent words'
-counts and the class tables (both bounded) go to the tasks, the other words' counts meet their documents in a join,
-where no word is frequent.
+Counts cover all training texts and all pairs of neighbours. The ``HEAD`` most frequent words' counts and classes and
+the class tables (both bounded) go to the tasks. The other words, however many there are, are a table: they meet
+their pairs and their documents in joins by hash, where no training word is frequent, and choose their classes in tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +23,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visitlake.llm.common import ship, stored, text_of
-from visitlake.llm.wordhash import blank_class, blocks, word_hashes
+from visitlake.llm.wordhash import blank_class, blocks, mix, word_hashes
 
-CLUSTERED, CLASSES, ENDINGS, ROUNDS = 4096, 32, 64, 6
+CLASSES, ENDINGS, ROUNDS = 32, 64, 6
+#: A word that the training texts hold so often is clustered.
+LEAST = 3
 HEAD = 200_000
 GROUPS = CLASSES + ENDINGS + 1
 END_CLASS = GROUPS - 1
 END = np.uint64(0xE703_7ED1_A0B4_28DB)
+#: Codes: a head word's rank, HEAD + class for the ending classes, MATRIX + class for the class bigrams, below 0 a word by 63 bits of its hash.
+MATRIX = HEAD + GROUPS
+_LOW = (1 << 63) - 1
+#: Entries of one step of the choice, and rows of pairs that are named at once.
+STEP, ROWS = 1 << 14, 1 << 19
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -52,24 +60,20 @@ def tokens(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
         yield np.insert(value, cuts, END), np.insert(group, cuts, END_CLASS), np.insert(which, cuts, np.arange(b - a)), a, b
 
 
-class Classes:
-    """Class of every token: by table for the clustered words, by ending for the others."""
+class Places:
+    """Ranks of the head words."""
 
-    def __init__(self, words: np.ndarray, classes: np.ndarray):
+    def __init__(self, words: np.ndarray):
         order = np.argsort(words)
-        self.words, self.rank, self.classes = words[order], order, classes
+        self.words, self.rank = words[order], order
 
-    def places(self, value: np.ndarray) -> np.ndarray:
-        """Rank of each token among the clustered words, or -1."""
+    def of(self, value: np.ndarray) -> np.ndarray:
+        """Rank of each token among the head words, or -1."""
         if not len(self.words):
             return np.full(len(value), -1)
         at = np.minimum(np.searchsorted(self.words, value), len(self.words) - 1)
         return np.where(self.words[at] == value, self.rank[at], -1)
 
-    def of(self, value: np.ndarray, group: np.ndarray) -> np.ndarray:
-        at = self.places(value)
-        return np.where(at >= 0, self.classes[np.maximum(at, 0)], group) if len(self.classes) else group
-
 
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), text_of().alias("text"), held_out(F.col("doc_id")).alias("held_out"))
@@ -88,28 +92,104 @@ def word_counts(train: DataFrame) -> DataFrame:
     return stored(found.groupBy("word").agg(F.first("group").alias("group"), F.sum("n").alias("n")), "brown-words")
 
 
-def pair_counts(train: DataFrame, words: np.ndarray) -> DataFrame:
-    """(a, b, n) of neighbouring tokens; clustered words by rank, others by CLUSTERED + ending class."""
-    known = train.sparkSession.sparkContext.broadcast(Classes(words, np.zeros(0, np.int64)))
-    size = CLUSTERED + GROUPS
+def _code(word: Column) -> Column:
+    return F.bitwise_not(word.bitwiseAND(F.lit(_LOW)))
+
+
+def _met(pairs: DataFrame, side: str, tail: DataFrame) -> DataFrame:
+    """``pairs`` with the tail's columns for the words below 0 of that side (null for others); head words, the frequent ones, stay out of the join."""
+    others = [c for c in tail.columns if c != "w"]
+    named = tail.select(F.col("w").alias("_w"), *[F.col(c).alias(f"{c}{side}") for c in others])
+    met = pairs.where(F.col(side) < 0).join(named, F.col(side) == F.col("_w"), "left").drop("_w")
+    nulls = [F.lit(None).cast(tail.schema[c].dataType).alias(f"{c}{side}") for c in others]
+    return pairs.where(F.col(side) >= 0).select("*", *nulls).unionByName(met)
+
+
+def pair_counts(train: DataFrame, words: np.ndarray, clustered: int, tail: DataFrame | None) -> DataFrame:
+    """(a, b, n) of neighbouring tokens by their codes; the first ``clustered`` head words have a code of their own."""
+    known = train.sparkSession.sparkContext.broadcast(Places(words))
+    outside = tail is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for value, group, _, _, _ in tokens(batch.column("text").to_pylist()):
-                at = known.value.places(value)
-                at = np.where(at >= 0, at, CLUSTERED + group)
-                before = np.concatenate([[CLUSTERED + END_CLASS], at[:-1]])
-                pairs, n = np.unique(before * size + at, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], names=["p", "n"])
+                at = known.value.of(value)
+                code = np.where((at >= 0) & (at < clustered), at, HEAD + group)
+                if outside:
+                    code = np.where((at < 0) & (group != END_CLASS), ~(value & np.uint64(_LOW)).view(np.int64), code)
+                unique, which = np.unique(code, return_inverse=True)
+                before = np.concatenate([[np.searchsorted(unique, HEAD + END_CLASS)], which[:-1]])
+                found, n = np.unique(before * len(unique) + which, return_counts=True)
+                ending = np.zeros(len(unique), np.int16)
+                ending[which] = group
+                a, b = found // len(unique), found % len(unique)
+                columns = [unique[a], unique[b], *([ending[a], ending[b]] if outside else []), n]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", *(["ga", "gb"] if outside else []), "n"])
+
+    if tail is None:
+        found = train.select("text").mapInArrow(run, "a long, b long, n long")
+        return stored(found.groupBy("a", "b").agg(F.sum("n").alias("n")), "brown-pairs")
+    found = train.select("text").mapInArrow(run, "a long, b long, ga short, gb short, n long")
+    found = stored(found.groupBy("a", "b").agg(F.first("ga").alias("ga"), F.first("gb").alias("gb"), F.sum("n").alias("n")), "brown-all-pairs")
+    there = tail.select("w", F.lit(True).alias("is"))
+    for side in ("a", "b"):  # words below LEAST have their ending's code
+        rare = (F.col(side) < 0) & F.col(f"is{side}").isNull()
+        found = _met(found, side, there).withColumn(side, F.when(rare, F.lit(HEAD) + F.col(f"g{side}")).otherwise(F.col(side)).cast("long"))
+    return stored(found.groupBy("a", "b").agg(F.sum("n").alias("n")), "brown-pairs")
+
+
+def _moves(code: np.ndarray, k: int) -> np.ndarray:
+    """Whether the words of the codes move in round ``k``."""
+    return ((mix(code.view(np.uint64)) >> np.uint64(32)) & np.uint64(1) == np.uint64(k % 2)) & ((code < 0) | (code < HEAD))
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= ROWS:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def neighbours(pairs: DataFrame, tail: DataFrame | None, classes: np.ndarray, k: int | None) -> DataFrame:
+    """(w, e, n): counts of the words that move in round ``k`` before (e = class) and after (e = 128 + class) each class; and the class bigrams."""
+    by_code = np.concatenate([classes, np.zeros(HEAD - len(classes), np.int64), np.arange(GROUPS)]).astype(np.int16)
+    told = pairs.sparkSession.sparkContext.broadcast(by_code)
+    named = pairs
+    if tail is not None:
+        for side in ("a", "b"):
+            named = _met(named, side, tail.select("w", "c"))
 
-    found = train.select("text").mapInArrow(run, "p long, n long").groupBy("p").agg(F.sum("n").alias("n"))
-    return stored(found.select((F.col("p") / size).cast("int").alias("a"), (F.col("p") % size).cast("int").alias("b"), "n"), "brown-pairs")
-
-
-def _matrix(named: DataFrame) -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _joined(batches):
+            code = [rows.column(x).to_numpy() for x in ("a", "b")]
+            n = rows.column("n").to_numpy()
+            c = [told.value[np.maximum(x, 0)].astype(np.int64) for x in code]
+            if "ca" in rows.column_names:
+                c = [np.where(x < 0, rows.column(f"c{s}").fill_null(0).to_numpy(), y) for s, x, y in zip("ab", code, c, strict=True)]
+            w, e, m = [MATRIX + c[0]], [c[1]], [n]
+            if k is not None:
+                for mine, other, at in ((0, 1, 0), (1, 0, 128)):
+                    moves = _moves(code[mine], k)
+                    w, e, m = [*w, code[mine][moves]], [*e, c[other][moves] + at], [*m, n[moves]]
+            w, e, m = (np.concatenate(x) for x in (w, e, m))
+            inside = w >= 0
+            key, which = np.unique(w[inside] * 256 + e[inside], return_inverse=True)
+            total = np.zeros(len(key), np.int64)
+            np.add.at(total, which, m[inside])
+            out = [np.concatenate(x) for x in ((key >> 8, w[~inside]), (key & 255, e[~inside]), (total, m[~inside]))]
+            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1].astype(np.int16)), pa.array(out[2])], names=["w", "e", "n"])
+
+    return named.mapInArrow(run, "w long, e short, n long").groupBy("w", "e").agg(F.sum("n").alias("n"))
+
+
+def _matrix(found: DataFrame) -> np.ndarray:
     out = np.zeros((GROUPS, GROUPS))
-    for r in named.groupBy("ca", "cb").agg(F.sum("n").alias("n")).collect():  # at most GROUPS^2 rows
-        out[r["ca"], r["cb"]] = r["n"]
+    rows = found.where(F.col("w") >= MATRIX).toArrow()  # at most GROUPS^2 rows
+    out[rows.column("w").to_numpy() - MATRIX, rows.column("e").to_numpy()] = rows.column("n").to_numpy()
     return out
 
 
@@ -117,66 +197,83 @@ def _phi(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def best_class(matrix: np.ndarray, own: int, left: np.ndarray, right: np.ndarray) -> int:
-    """The class whose bigram likelihood gains most by the word; its own on a tie.
+def best_classes(matrix: np.ndarray, own: np.ndarray, which: np.ndarray, entry: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each word the class whose bigram likelihood gains most by the word; its own on a tie.
 
-    ``left`` and ``right``: the word's counts after and before each class.
+    ``n[i]``: the count of word ``which[i]`` (ascending) before class ``entry[i]``, or after class ``entry[i] - 128``.
     """
-    m = matrix.copy()
-    m[own] -= right
-    m[:, own] -= left
-    m = np.maximum(m, 0)
-    total_l, total_r = left.sum(), right.sum()
-    row, column = m[:CLASSES], m[:, :CLASSES].T
-    gain = (_phi(row + right) - _phi(row)).sum(axis=1) + (_phi(column + left) - _phi(column)).sum(axis=1)
-    rows, columns = row.sum(axis=1), column.sum(axis=1)
-    gain -= _phi(rows + total_r) - _phi(rows) + _phi(columns + total_l) - _phi(columns)
-    return int(np.argmax(gain)) if gain.max() > gain[own] + 1e-9 else own
-
-
-def exchange(pairs: DataFrame, words: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of the clustered words (by rank) and the class bigram matrix."""
-    spark = pairs.sparkSession
-    classes = np.arange(words) % CLASSES
+    right, left = (np.zeros((len(own), GROUPS)) for _ in range(2))
+    after = entry < 128
+    np.add.at(right, (which[after], entry[after]), n[after])
+    np.add.at(left, (which[~after], entry[~after] - 128), n[~after])
+    words = np.arange(len(own))
+    gain = np.zeros((len(own), CLASSES))
+    # without the word: its row and column leave its own class
+    for mine, other, m in ((right, left, matrix), (left, right, matrix.T)):
+        w, j = np.nonzero(mine)
+        x = mine[w, j]
+        for a in range(0, len(w), STEP):
+            i, at, count = w[a : a + STEP], j[a : a + STEP], x[a : a + STEP]
+            cell = m[:CLASSES, at].T.copy()
+            cell[np.arange(len(i)), own[i]] -= count
+            cell -= np.where((at == own[i])[:, None], other[i, :CLASSES], 0)
+            cell = np.maximum(cell, 0)
+            add = _phi(cell + count[:, None]) - _phi(cell)
+            starts = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+            gain[i[starts]] += np.add.reduceat(add, starts, axis=0)
+        size = m[:CLASSES].sum(axis=1) - other[:, :CLASSES]
+        both = matrix[own, own] - right[words, own] - left[words, own]
+        size[words, own] += np.maximum(0, -both) - mine.sum(axis=1)
+        gain -= _phi(size + mine.sum(axis=1)[:, None]) - _phi(size)
+    best = gain.argmax(axis=1)
+    return np.where(gain[words, best] > gain[words, own] + 1e-9, best, own)
 
-    def named() -> DataFrame:
-        table = spark.createDataFrame([(i, int(c)) for i, c in enumerate(classes)], "w int, c int")
 
-        def of(name: str) -> DataFrame:
-            return F.broadcast(table.select(F.col("w").alias(f"w{name}"), F.col("c").alias(f"t{name}")))
+def best_class(matrix: np.ndarray, own: int, left: np.ndarray, right: np.ndarray) -> int:
+    """``best_classes`` of one word; ``left`` and ``right``: its counts after and before each class."""
+    entry = np.concatenate([np.arange(GROUPS), 128 + np.arange(GROUPS)])
+    return int(best_classes(matrix, np.array([own]), np.zeros(len(entry), np.int64), entry, np.concatenate([right, left]))[0])
 
-        out = pairs.join(of("a"), F.col("a") == F.col("wa"), "left").join(of("b"), F.col("b") == F.col("wb"), "left")
-        return out.select("a", "b", "n", F.coalesce("ta", F.col("a") - CLUSTERED).alias("ca"), F.coalesce("tb", F.col("b") - CLUSTERED).alias("cb"))
 
+def exchange(pairs: DataFrame, words: int, tail: DataFrame | None, rounds: int = ROUNDS) -> tuple[np.ndarray, DataFrame | None, np.ndarray]:
+    """Classes of the clustered head words (by rank), the tail with its classes, and the class bigram matrix."""
+    classes = np.arange(words) % CLASSES
     for k in range(rounds if words else 0):
-        now = named()
-        matrix, held = _matrix(now), classes.copy()
-        after = now.where(F.col("a") < CLUSTERED).groupBy(F.col("a").alias("w"), F.col("cb").alias("c")).agg(F.sum("n").alias("n")).withColumn("side", F.lit(1))
-        prior = now.where(F.col("b") < CLUSTERED).groupBy(F.col("b").alias("w"), F.col("ca").alias("c")).agg(F.sum("n").alias("n")).withColumn("side", F.lit(0))
+        found = stored(neighbours(pairs, tail, classes, k), "brown-neighbours")
+        matrix, held = _matrix(found), classes.copy()
         # at most 2 * GROUPS entries a word
-        around = after.unionByName(prior).where(F.pmod(F.xxhash64("w"), F.lit(2)) == k % 2).groupBy("w").agg(F.collect_list(F.struct("side", "c", "n")).alias("e"))
+        around = found.where(F.col("w") < HEAD).groupBy("w").agg(F.collect_list(F.struct("e", "n")).alias("es"))
 
         def choose(batches: Iterator[pa.RecordBatch], matrix: np.ndarray = matrix, held: np.ndarray = held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out = []
-                for w, entries in zip(batch.column("w").to_pylist(), batch.column("e").to_pylist(), strict=True):
-                    sides = np.zeros((2, GROUPS))
-                    for e in entries:
-                        sides[e["side"], e["c"]] += e["n"]
-                    out.append(best_class(matrix, int(held[w]), sides[0], sides[1]))
-                yield pa.RecordBatch.from_arrays([batch.column("w"), pa.array(out, pa.int32())], names=["w", "c"])
-
-        for r in around.mapInArrow(choose, "w int, c int").collect():  # at most CLUSTERED rows
-            classes[r["w"]] = r["c"]
-    return classes, _matrix(named())
-
-
-def brown_scores(docs: DataFrame) -> DataFrame:
+            for batch in chain.from_iterable(b.to_batches(1024) for b in map(lambda x: pa.Table.from_batches([x]), batches)):
+                w = batch.column("w").to_numpy()
+                own = batch.column("c").to_numpy().astype(np.int64) if "c" in batch.schema.names else held[w]
+                es = batch.column("es")
+                sizes = es.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+                flat = es.flatten()
+                entry, n = flat.field("e").to_numpy().astype(np.int64), flat.field("n").to_numpy().astype(float)
+                best = best_classes(matrix, own, np.repeat(np.arange(len(w)), sizes), entry, n)
+                columns = [pa.array(best.astype(np.int32)) if name == "c" else batch.column(name) for name in batch.schema.names if name != "es"]
+                names = [name for name in batch.schema.names if name != "es"]
+                if "c" not in names:
+                    columns, names = [*columns, pa.array(best.astype(np.int32))], [*names, "c"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+        chosen = around.where(F.col("w") >= 0).mapInArrow(choose, "w long, c int").toArrow()  # at most HEAD rows
+        classes[chosen.column("w").to_numpy()] = chosen.column("c").to_numpy()
+        if tail is not None:
+            met = tail.join(around.where(F.col("w") < 0).withColumnRenamed("w", "_w"), F.col("w") == F.col("_w"), "left").drop("_w")
+            tail = stored(met.mapInArrow(choose, tail.schema), "brown-tail")
+    return classes, tail, _matrix(neighbours(pairs, tail, classes, None))
+
+
+def brown_scores(docs: DataFrame, head: int = HEAD) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     The model learns from the rows that are not ``held_out``. Null counts as empty; an empty text is one
     end token. Repeated rows count and are scored each. Without training rows all counts are 0 and only the
-    smoothing remains. Words are told apart by a 64-bit hash. Other columns are ignored.
+    smoothing remains. Words are told apart by a 64-bit hash, by 63 bits of it among the neighbours of words outside
+    the head. ``head``, at most ``HEAD``: words that go to the tasks; it changes first classes only. Other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -185,63 +282,116 @@ def brown_scores(docs: DataFrame) -> DataFrame:
     counts = word_counts(train)
     total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = int(total["n"] or 0), int(total["v"])
-    # both lists are bounded by a parameter
-    head = counts.where(F.col("word") != int(END.view(np.int64))).orderBy(F.desc("n"), "word").limit(HEAD).select("word", "group", "n").collect()
-    end_count = int(counts.where(F.col("word") == int(END.view(np.int64))).agg(F.sum("n")).first()[0] or 0)
-    words = np.array([r["word"] for r in head], np.int64).view(np.uint64)
-    top = words[:CLUSTERED]
-    classes, matrix = exchange(pair_counts(train, top), len(top))
+    end = int(END.view(np.int64))
+    only = counts.where(F.col("word") != end)
+    # bounded by a parameter
+    first = only.orderBy(F.desc("n"), "word").limit(min(head, HEAD)).select("word", "group", "n").toArrow()
+    end_count = int(counts.where(F.col("word") == end).agg(F.sum("n")).first()[0] or 0)
+    signed, groups, seen = (first.column(c).to_numpy() for c in ("word", "group", "n"))
+    order = np.lexsort((signed, -seen))
+    words, groups, seen = signed[order].view(np.uint64), groups[order].astype(np.int64), seen[order]
+    clustered = int((seen >= LEAST).sum())
+    beyond = tail = None
+    if len(words) and v > len(words) + 1:
+        last_n, last = int(seen[-1]), int(signed[order[-1]])
+        beyond = only.where((F.col("n") < last_n) | ((F.col("n") == last_n) & (F.col("word") > last)))
+        if last_n >= LEAST:
+            tail = stored(beyond.where(F.col("n") >= LEAST).select(
+                _code(F.col("word")).alias("w"), "word", "group", "n", F.pmod("word", F.lit(CLASSES)).cast("int").alias("c")), "brown-tail")
+    classes, tail, matrix = exchange(pair_counts(train, words, clustered, tail), clustered, tail)
     # sizes of the classes: tokens and distinct words
     tokens_in, words_in = matrix.sum(axis=0), np.zeros(GROUPS)
     for r in counts.groupBy("group").agg(F.count(F.lit(1)).alias("v")).collect():
         words_in[r["group"]] += r["v"]
-    for r, c in zip(head[:CLUSTERED], classes, strict=True):
-        words_in[r["group"]] -= 1
-        words_in[c] += 1
+    words_in -= np.bincount(groups[:clustered], minlength=GROUPS)
+    words_in += np.bincount(classes, minlength=GROUPS)
+    for r in tail.groupBy("group", "c").agg(F.count(F.lit(1)).alias("v")).collect() if tail is not None else []:
+        words_in[r["group"]] -= r["v"]
+        words_in[r["c"]] += r["v"]
     prior = (tokens_in + 1) / (tokens_in.sum() + GROUPS)
     move = np.log10((matrix + prior) / (matrix.sum(axis=1, keepdims=True) + 1))
     inside = np.log10(tokens_in + words_in + 1)
     base = float(np.log10(n + v + 1))
-    by_word = np.argsort(words)
-    model = spark.sparkContext.broadcast(
-        (Classes(top, classes), words[by_word], np.array([r["n"] for r in head], float)[by_word], move, inside)
-    )
+    class_of = np.concatenate([classes, groups[clustered:]])
+    model = spark.sparkContext.broadcast((Places(words), seen.astype(float), class_of, move, inside))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, hashes, seen, move, inside = model.value
+        places, seen, class_of, move, inside = model.value
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base_score", "score", "rest")}
+            out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base_score", "score", "words", "ends", "times", "steps")}
             for value, group, which, a, b in tokens(batch.column("text").to_pylist()):
-                c = known.of(value, group)
+                at = places.of(value)
+                told, is_end = at >= 0, group == END_CLASS
+                count, c = np.zeros(len(value)), group.copy()
+                count[told], c[told] = seen[at[told]], class_of[at[told]]
+                count[is_end] = end_count
                 before = np.concatenate([[END_CLASS], c[:-1]])
-                at = np.minimum(np.searchsorted(hashes, value), max(0, len(hashes) - 1))
-                told = hashes[at] == value if len(hashes) else np.zeros(len(value), bool)
-                count = np.where(told, seen[at], 0.0) if len(hashes) else np.zeros(len(value))
-                is_end = group == END_CLASS
-                count = np.where(is_end, end_count, count)
-                gain = np.log10(count + 1)
+                # words outside the head, and steps from or to one, wait for the join
+                open_ = ~told & ~is_end
+                waits = open_ | np.concatenate([[False], open_[:-1]])
                 k = b - a
+                gain = np.where(open_, 0.0, np.log10(count + 1) - inside[c])
                 out["n_tokens"].append(np.bincount(which, minlength=k))
                 out["n_known"].append(np.bincount(which, count > 0, minlength=k).astype(np.int64))
-                out["base_score"].append(np.bincount(which, gain - base, minlength=k))
-                out["score"].append(np.bincount(which, gain - inside[c] + move[before, c], minlength=k))
-                open_ = ~told & ~is_end
-                rest = np.split(value[open_].view(np.int64), np.searchsorted(which[open_], np.arange(1, k)))
-                out["rest"].extend(rest)
+                out["base_score"].append(np.bincount(which, np.log10(count + 1) - base, minlength=k))
+                out["score"].append(np.bincount(which, gain + np.where(waits, 0.0, move[before, c]), minlength=k))
+                cuts = np.searchsorted(which, np.arange(k + 1))
+                for i in range(k):
+                    part = slice(cuts[i], cuts[i + 1])
+                    mine = open_[part]
+                    found, first, place, times = np.unique(value[part][mine], return_index=True, return_inverse=True, return_counts=True)
+                    code = c[part].copy()
+                    code[mine] = GROUPS + place
+                    steps = (np.concatenate([[END_CLASS], code[:-1]]) << 32 | code)[waits[part]]
+                    out["words"].append(found.view(np.int64))
+                    out["ends"].append(group[part][mine][first])
+                    out["times"].append(times)
+                    out["steps"].append(steps)
+            names = ["doc_id", "held_out", *out]
             arrays = [pa.array(np.concatenate(out[k])) if out[k] else pa.array([], pa.int64()) for k in ("n_tokens", "n_known")]
             arrays += [pa.array(np.concatenate(out[k])) if out[k] else pa.array([], pa.float64()) for k in ("base_score", "score")]
-            names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rest"]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *arrays, pa.array(out["rest"], pa.list_(pa.int64()))], names=names)
+            arrays += [pa.array(out[k], pa.list_(pa.int64())) for k in ("words", "ends", "times", "steps")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *arrays], names=names)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    part = rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rest array<long>")
+    lists = ", ".join(f"{k} array<long>" for k in ("words", "ends", "times", "steps"))
+    sums = "n_tokens long, n_known long, base_score double, score double"
+    part = rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, {sums}, {lists}")
     part = stored(part.withColumn("row", F.monotonically_increasing_id()), "brown-parts")
-    # words outside the head: none of them is frequent, so no key of this join is hot
-    rest = part.select("row", F.explode("rest").alias("word"))
-    more = rest.join(counts.select("word", F.col("n").alias("c")), "word").groupBy("row").agg(F.count(F.lit(1)).alias("k"), F.sum(F.log10(F.col("c") + 1)).alias("g"))
-    gain, length = F.coalesce("g", F.lit(0.0)), F.col("n_tokens")
-    scored = part.drop("rest").join(more, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base_score") + gain).alias("base_score"), (F.col("score") + gain).alias("score"),
+    if beyond is not None:
+        # words outside the head, once a document: no training word is frequent here
+        told = beyond.select("word", "n", F.col("group").cast("int").alias("c"))
+        if tail is not None:
+            told = told.where(F.col("n") < LEAST).unionByName(tail.select("word", "n", "c"))
+        rest = part.select("row", F.posexplode("words").alias("j", "word"))
+        more = rest.join(told, "word").groupBy("row").agg(F.collect_list(F.struct("j", "n", "c")).alias("told"))
+        part = part.drop("words").join(more, "row", "left")
+    else:
+        part = part.drop("words").withColumn("told", F.lit(None).cast("array<struct<j:int,n:bigint,c:int>>"))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, _, _, move, inside = model.value
+        for batch in batches:
+            sums = {k: batch.column(k).to_numpy().copy() for k in ("n_known", "base_score", "score")}
+            lists = {k: batch.column(k) for k in ("ends", "times", "steps", "told")}
+            for i in range(batch.num_rows):
+                ends, times, steps = (lists[k][i].values.to_numpy() for k in ("ends", "times", "steps"))
+                if not len(ends):
+                    continue
+                c, count = ends.copy(), np.zeros(len(ends))
+                found = lists["told"][i].values
+                if found is not None:
+                    j = found.field("j").to_numpy()
+                    c[j], count[j] = found.field("c").to_numpy(), found.field("n").to_numpy()
+                gain, code = np.log10(count + 1), np.concatenate([np.arange(GROUPS), c])
+                sums["n_known"][i] += int(times[count > 0].sum())
+                sums["base_score"][i] += float((times * gain).sum())
+                sums["score"][i] += float((times * (gain - inside[c])).sum() + move[code[steps >> 32], code[steps & 0xFFFFFFFF]].sum())
+            columns = [pa.array(sums[k]) if k in sums else batch.column(k) for k in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    scored = part.select("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "ends", "times", "steps", "told").mapInArrow(finish, f"doc_id {kind}, held_out boolean, {sums}")
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score",
+        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
     )
-    return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / length))
