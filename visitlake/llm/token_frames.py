@@ -95,14 +95,15 @@ class ByteBpe:
     """Ids of texts by a byte-level BPE file of the tokenizers library.
 
     The pre-tokenizer never joins a non-blank with white space after it, so a text is cut
-    there and a word's ids are computed once per worker.
+    there and a word's ids are computed once per worker. The string of a special token in a text is
+    ordinary text, or with ``specials`` that token, as in the library's own call.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, specials: bool = False):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self._tokenizer.encode_special_tokens = not specials
         self.width = 2 if self._tokenizer.get_vocab_size() <= 1 << 16 else 4
         self._type = "H" if self.width == 2 else "I"
         self._plain, self._spaced, self._broken = (_Chunks(self._ids, lead) for lead in ("", " ", "\n"))
@@ -228,9 +229,10 @@ class FrameReader:
             yield (None if self.null[i] else int(self.doc_ids[i])), int(first[i]), ids
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, folder: str, frame_bytes: int = FRAME_BYTES) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, folder: str, frame_bytes: int = FRAME_BYTES, specials: bool = False) -> DataFrame:
     """Encode ``docs`` (doc_id, text) into files of ``folder``; returns the stored manifest, one row per file.
 
+    ``specials``: strings of special tokens in a text are these tokens, as the library's default has it, else ordinary text.
     Every document's ids are followed by ``END_ID``; a null or empty text is that id alone.
     Documents are in ascending doc_id order (null first) over all files, as the
     manifest's ``first`` order gives it; rows with equal ids are ordered by the text's hash.
@@ -249,7 +251,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, frame_bytes:
         if head is None:
             return
         part = TaskContext.get().partitionId()
-        bpe = _bpe(tokenizer)
+        bpe = _bpe(tokenizer, specials)
         end = np.array([END_ID], f"<u{bpe.width}").tobytes()
         with new_file(folder, f"tokens-{part:06d}", ".zst") as (name, out):
             writer = FrameWriter(out, bpe.width, frame_bytes)
@@ -268,14 +270,14 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, frame_bytes:
     return stored(ranged.mapInArrow(write, f"part int, {MANIFEST}"), "token-manifest")
 
 
-_LOADED: dict[str, ByteBpe] = {}
+_LOADED: dict[tuple[str, bool], ByteBpe] = {}
 
 
-def _bpe(path: str) -> ByteBpe:
+def _bpe(path: str, specials: bool) -> ByteBpe:
     """The tokenizer of this Python worker; workers serve many tasks."""
-    if path not in _LOADED:
-        _LOADED[path] = ByteBpe(path)
-    return _LOADED[path]
+    if (path, specials) not in _LOADED:
+        _LOADED[path, specials] = ByteBpe(path, specials)
+    return _LOADED[path, specials]
 
 
 def read_token_files(manifest: DataFrame, folder: str, doc_ids: DataFrame | None = None) -> DataFrame:
@@ -313,6 +315,9 @@ def read_token_files(manifest: DataFrame, folder: str, doc_ids: DataFrame | None
 
 
 def token_files(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Write ``docs`` as token files under the shared folder and read them back, one row per document."""
+    """Write ``docs`` as token files under the shared folder and read them back, one row per document.
+
+    Ids are those of the tokenizers library with ``add_special_tokens=False`` and no other setting.
+    """
     folder = shared_folder(docs.sparkSession, "token-files")
-    return read_token_files(write_token_files(docs, tokenizer, folder), folder)
+    return read_token_files(write_token_files(docs, tokenizer, folder, specials=True), folder)
