@@ -7,9 +7,10 @@ whole in some window, and item and window are of like size. That bounds their
 resemblance from below wherever containment holds, which a MinHash of the document as a whole
 would not. Items and windows that agree in one of ``HASHES`` minima are
 candidates, and each is verified by the exact share of the item's shingles in the whole document.
+Items of up to ``DIRECT`` shingles are candidates wherever one of their shingles is, without MinHash: none is missed.
 
-At containment 0.8 the resemblance with the best window is 0.19 at least, so a
-contiguous passage is missed with probability below 0.81^64 = 2e-6; an item that is scattered over
+At containment 0.8 a longer item's resemblance with the best window is 0.19 at least, so a
+contiguous passage of it is missed with probability below 0.81^64 = 2e-6; an item that is scattered over
 the document gives candidates from every window that holds some of it.
 
 The items are the stated query set: they are taken in blocks of ``BLOCK`` items, each
@@ -32,6 +33,8 @@ from visitlake.llm.wordhash import mix, shingles, words_by_text
 WORDS = 5
 CONTAINMENT = 0.8
 HASHES = 64
+#: Items of so many shingles or fewer are looked up by their shingles.
+DIRECT = 8
 #: Items searched in one pass over the documents.
 BLOCK = 20_000
 FOUND = "doc_id long, item_id long, containment double, item_shingles int, hits int"
@@ -55,6 +58,24 @@ def _sieve(keys: np.ndarray) -> np.ndarray:
     return ((keys >> np.uint64(6)) & np.uint64((1 << _SIEVE_BITS) - 1)).astype(np.int64)
 
 
+def _index(keys: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys, their item numbers, and the sieve of the keys."""
+    order = np.argsort(keys, kind="stable")
+    sieve = np.zeros(1 << _SIEVE_BITS, bool)
+    sieve[_sieve(keys)] = True
+    return keys[order], which[order], sieve
+
+
+def _looked_up(index: tuple[np.ndarray, np.ndarray, np.ndarray], at: np.ndarray) -> Iterator[int]:
+    """Item numbers of the keys among ``at``."""
+    keys, which, sieve = index
+    at = at[sieve[_sieve(at)]]
+    low = np.searchsorted(keys, at)
+    low[low == len(keys)] = 0
+    for key in np.unique(at[keys[low] == at]):
+        yield from which[np.searchsorted(keys, key) : np.searchsorted(keys, key, side="right")].tolist()
+
+
 class Items:
     """The search structure of one block of items."""
 
@@ -67,15 +88,13 @@ class Items:
         self.shingles = np.unique(np.concatenate([s for _, s in kept])) if kept else np.zeros(0, np.uint64)
         self.places = [np.searchsorted(self.shingles, s) for _, s in kept]
         self.partitions: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        level = np.array([max(3, int(n - 1).bit_length()) for n in self.sizes], np.int64)
-        for k in sorted(set(level.tolist())):
+        short = np.flatnonzero(self.sizes <= DIRECT)
+        self.direct = _index(np.concatenate([kept[j][1] for j in short]), np.repeat(short, self.sizes[short])) if len(short) else None
+        level = np.array([int(n - 1).bit_length() for n in self.sizes], np.int64)
+        for k in sorted(set(level[self.sizes > DIRECT].tolist())):
             mine = np.flatnonzero(level == k)
             keys = np.stack([_tagged(_minima(kept[j][1], None)[:, 0]) for j in mine])
-            flat = keys.ravel()
-            order = np.argsort(flat, kind="stable")
-            sieve = np.zeros(1 << _SIEVE_BITS, bool)
-            sieve[_sieve(flat)] = True
-            self.partitions[k] = (flat[order], np.repeat(mine, HASHES)[order], sieve)
+            self.partitions[k] = _index(keys.ravel(), np.repeat(mine, HASHES))
 
     def search(self, found: np.ndarray) -> list[tuple[int, int]]:
         """(item number, shingles of it that the document holds) of the candidates for one document's shingles."""
@@ -83,7 +102,9 @@ class Items:
             return []
         candidates: set[int] = set()
         cells: dict[int, np.ndarray] = {}
-        for k, (keys, which, sieve) in self.partitions.items():
+        if self.direct is not None:
+            candidates.update(_looked_up(self.direct, found))
+        for k, index in self.partitions.items():
             step = 1 << k
             finer = max((j for j in cells), default=None)
             if finer is None:
@@ -92,12 +113,7 @@ class Items:
                 mins = np.minimum.reduceat(cells[finer], np.arange(0, cells[finer].shape[1], step >> finer), axis=1)
             cells[k] = mins
             windows = np.minimum(mins[:, :-1], mins[:, 1:]) if mins.shape[1] > 1 else mins
-            at = _tagged(windows.T).ravel()
-            at = at[sieve[_sieve(at)]]
-            low = np.searchsorted(keys, at)
-            low[low == len(keys)] = 0
-            for key in np.unique(at[keys[low] == at]):
-                candidates.update(which[np.searchsorted(keys, key) : np.searchsorted(keys, key, side="right")].tolist())
+            candidates.update(_looked_up(index, _tagged(windows.T).ravel()))
         if not candidates:
             return []
         place = np.searchsorted(self.shingles, found)
