@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitlake.llm import brown_lm, dart_minhash, decontaminate, exact_dedup, line_dedup, prefix_bpe, quality_cnn, sharding, token_frames, warc
+from visitlake.llm import (
+    brown_lm, capture_fim, chunk_bpe, dart_minhash, decontaminate, exact_dedup, line_dedup, prefix_bpe, quality_cnn, sharding,
+    table_kmeans, token_frames, warc,
+)
 from visitlake.llm.common import table, text_of
 
 SHARDS = 24
 PIECE_MODEL = "piece_bpe_32k.model"
 BYTE_MODEL = "byte_bpe_50k.json"
+MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def tokenizer_path(name: str) -> str:
@@ -83,6 +87,32 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "class_size", "kept")
 
 
+def op11_capture_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = capture_fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    return done.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(capture_fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op12_table_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table_kmeans.clusters(table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.array_join("centroid", ","), 256).alias("centroid_sha256")
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest)
+
+
+def op13_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = tokenizer_path(MULTI_RANKS)
+    encoded = chunk_bpe.encode_texts(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    decoded = chunk_bpe.decode_ids(encoded, ranks, public_tokenizers.PATTERN)
+    return decoded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_hypergeometric_shards": op2_hypergeometric_shards,
@@ -94,4 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_token_frames": op9_token_frames,
     "op10_dart_minhash": op10_dart_minhash,
+    "op11_capture_fim": op11_capture_fim,
+    "op12_table_kmeans": op12_table_kmeans,
+    "op13_chunk_bpe": op13_chunk_bpe,
 }
