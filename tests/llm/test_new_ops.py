@@ -147,7 +147,6 @@ def test_merges_and_classes(library):
     for text in [every, "'".join(every[:5000]), *texts(2000, 2, 30), "a" * 5000, "ab" * 4000, " " * 999, "\n" * 50 + "x", "hello'", "'s're've", "it'S"]:
         ids = np.frombuffer(own.encode(text), "<u4").tolist()
         assert ids == encoding.encode_ordinary(text)
-        assert own.decode(np.array(ids, "<u4").tobytes()) == text.encode("utf-8")
 
 
 @pytest.mark.parametrize("chunk,overlap", [(1 << 15, 1 << 10), (16, 8), (16, 16), (64, 12), (7, 5)])
@@ -157,14 +156,14 @@ def test_chunks(spark, library, chunk, overlap):
     rows = [r for r in SOME if chunk > 1000 or len(r[1] or "") < 4000]
     path = tokenizer_path(MULTI_RANKS)
     encoded = chunk_bpe.encode_texts(documents(spark, rows), path, pattern, chunk, overlap)
-    got = chunk_bpe.decode_ids(encoded, path, pattern).collect()
+    got = chunk_bpe.decode_ids(encoded, path).collect()
     want = [(i, np.array(encoding.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode("utf-8")) for i, t in rows]
     assert sorted(((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in got), key=str) == sorted(want, key=str)
 
 
 def test_chunks_odd_tables(spark, library):
     path, pattern = tokenizer_path(MULTI_RANKS), library[2]
-    assert chunk_bpe.decode_ids(chunk_bpe.encode_texts(documents(spark, []), path, pattern), path, pattern).count() == 0
+    assert chunk_bpe.decode_ids(chunk_bpe.encode_texts(documents(spark, []), path, pattern), path).count() == 0
     with pytest.raises(ValueError, match="overlap"):
         chunk_bpe.encode_texts(documents(spark, []), path, pattern, 8, 2)
     with pytest.raises(Exception, match="leaves a part"):

@@ -38,8 +38,8 @@ CHUNK, OVERLAP = 1 << 15, 1 << 10
 #: pattern looks one code point past a match, and three past its start.
 GUARD = 4
 #: Pieces whose ids a worker keeps at most, and the longest that it keeps (bytes).
-CACHE, KEPT_BYTES = 1_000_000, 64
-#: Rows of chunks that are worked on at once.
+CACHE, KEPT_BYTES = 1 << 19, 64
+#: Rows that are worked on at once.
 STEP = 64
 
 
@@ -153,18 +153,14 @@ class Merges(dict):
 
 
 class Vocabulary:
-    """What the tasks need: pre-tokens, merges, and the bytes of every id."""
+    """What the encoding tasks need: pre-tokens and merges."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, odd: str, swap: dict[int, int]):
         self.pre, self.merges = PreTokens(pattern, odd, swap), Merges(ranks)
-        self.raw = {i: b for b, i in ranks.items()}
 
     def encode(self, text: str) -> bytes:
         return self.merges.encode(self.pre.pieces(text))
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
 
 _LOADED: dict[str, Vocabulary] = {}
 _DIFFERENCES: dict[str, tuple[str, dict[int, int]]] = {}
@@ -197,7 +193,7 @@ def _whole(texts: DataFrame, told: _Told) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = told()
-        for batch in batches:
+        for batch in (b for whole in batches for b in _steps(whole)):
             ids = [vocabulary.encode(t.as_py()) for t in batch.column("text")]
             others = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in others], pa.array(ids, pa.binary())], names=[*others, "ids"])
@@ -310,14 +306,16 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, o
     return short.unionByName(_long_ids(rows.where(F.length("text") > chunk), told, chunk, overlap))
 
 
-def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` (with packed ``ids``) and the bytes ``decoded``: the tokens' own, one after the other. Null ids are none."""
-    told = _Told(encoded, path, pattern)
+    ship(encoded.sparkSession)
+    sent = encoded.sparkSession.sparkContext.broadcast(read_ranks(path))  # bounded by the file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = told()
-        for batch in batches:
-            decoded = [vocabulary.decode(i.as_py() or b"") for i in batch.column("ids")]
+        raw = {i: b for b, i in sent.value.items()}.__getitem__
+        for batch in (b for whole in batches for b in _steps(whole)):
+            ids = (np.frombuffer(i.as_py() or b"", "<u4").tolist() for i in batch.column("ids"))
+            decoded = [b"".join(map(raw, i)) for i in ids]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     rows = encoded.drop("decoded")

@@ -106,7 +106,7 @@ def op13_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = tokenizer_path(MULTI_RANKS)
     encoded = chunk_bpe.encode_texts(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    decoded = chunk_bpe.decode_ids(encoded, ranks, public_tokenizers.PATTERN)
+    decoded = chunk_bpe.decode_ids(encoded, ranks)
     return decoded.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
