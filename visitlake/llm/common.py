@@ -50,14 +50,16 @@ def split_join(left: DataFrame, groups: DataFrame, key: str, count: str, total:
     are dealt out by ``spread``; all other keys meet in a shuffle join where no key is hot.
     """
     limit = max(HOT_FLOOR, -(-total // HOT_KEYS))
-    packed = groups.select(F.col(key).alias("_key"), F.col(count).alias("_n"), F.struct(*groups.columns).alias("_g"))
+    packed = groups.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(count).alias("_n"), F.struct(*groups.columns).alias("_g"))
     hot = packed.where(F.col("_n") > limit).select(F.col("_key").alias("_hk"), F.col("_g").alias("_hg"))
-    cold = packed.where(F.col("_n") <= limit).select("_key", F.lit(0).alias("_salt"), F.col("_g").alias("_cg"))
+    # one struct as the key: a literal salt as a key of its own would be folded into the condition, and the key dealt alone
+    cold = packed.where(F.col("_n") <= limit).select(F.struct(F.col("_key").alias("k"), F.lit(0).alias("s")).alias("_at"), F.col("_g").alias("_cg"))
     tagged = left.join(F.broadcast(hot), left[key] == F.col("_hk"), "left")
     salted = tagged.withColumn(
         "_salt", F.when(F.col("_hk").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(SALTS))).cast("int")
     )
-    joined = salted.join(cold, (F.col(key) == F.col("_key")) & (salted["_salt"] == cold["_salt"]), "left")
+    dealt = salted.withColumn("_to", F.struct(F.col(key).alias("k"), F.col("_salt").alias("s")))
+    joined = dealt.join(cold, F.col("_to") == F.col("_at"), "left")
     return joined.select(*[left[c] for c in left.columns], F.coalesce("_hg", "_cg").alias("group"))
 
 
