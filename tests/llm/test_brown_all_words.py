@@ -21,18 +21,14 @@ def rows():
 def model(spark, df, head):
     """Class of each clustered word by its hash, and the class bigrams, from the module's own steps."""
     train = df.where(~b.held_out(F.col("doc_id"))).select("doc_id", b.text_of().alias("text"))
-    counts = b.word_counts(train).where(F.col("word") != int(b.END.view(np.int64)))
-    top = sorted(((-r.n, r.word) for r in counts.collect()))
-    words = np.array([w for _, w in top[:head]], np.int64).view(np.uint64)
-    clustered = sum(-n >= b.LEAST for n, _ in top[:head])
-    tail = None
-    if len(top) > head and -top[head - 1][0] >= b.LEAST:
-        rest = [(~(w & b._LOW), w, w % b.CLASSES) for n, w in top[head:] if -n >= b.LEAST]
-        tail = spark.createDataFrame(rest, "w long, word long, c int")
-    classes, tail, matrix = b.exchange(b.pair_counts(train, words, clustered, tail), clustered, tail)
-    found = {int(w): int(c) for w, c in zip(words[:clustered].view(np.int64), classes, strict=True)}
-    found |= {r.word: r.c for r in tail.collect()} if tail is not None else {}
-    return found, matrix
+    ranked = b.ranked_words(b.word_counts(train))
+    top = sorted(ranked.collect(), key=lambda r: r.id)
+    assert [r.id for r in top] == list(range(len(top))) and top == sorted(top, key=lambda r: (-r.n, r.word))
+    words = np.array([r.word for r in top[:head]], np.int64).view(np.uint64)
+    clustered = sum(r.n >= b.LEAST for r in top)
+    beyond = ranked.where((F.col("id") >= head) & (F.col("n") >= b.LEAST)) if len(top) > head else None
+    classes, matrix = b.exchange(b.pair_counts(train, words, clustered, beyond), clustered)
+    return {top[r.id].word: r.c for r in b.class_rows(classes, clustered).collect()}, matrix
 
 
 @pytest.mark.parametrize("head", [40, b.HEAD])
@@ -76,3 +72,48 @@ def test_every_word_is_clustered(spark, head):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(counts[w] > 0 for w, _ in t), n)
         assert r.base_score == pytest.approx(sum(math.log10(counts[w] + 1) - math.log10(n + v + 1) for w, _ in t))
         assert r.score == pytest.approx(score) and r.perplexity == pytest.approx(10 ** (-score / len(t)))
+
+
+def test_what_is_broadcast_changes_no_score(spark, monkeypatch):
+    """A small head gives the scores of the usual one; most words leave their first class."""
+    df = spark.createDataFrame(rows(), "doc_id long, text string").repartition(3)
+    want = sorted(b.brown_scores(df).collect(), key=str)
+    for got, r in zip(sorted(b.brown_scores(df, head=40).collect(), key=str), want, strict=True):
+        assert got[:5] == r[:5] and got[5:] == pytest.approx(r[5:])
+    train = df.select(b.text_of().alias("text"))
+    ranked = b.ranked_words(b.word_counts(train))
+    words = np.array([r.word for r in sorted(ranked.collect(), key=lambda r: r.id)], np.int64).view(np.uint64)
+    clustered = ranked.where(F.col("n") >= b.LEAST).count()
+    pairs = b.pair_counts(train, words, clustered, None)
+    classes, matrix = b.exchange(pairs, clustered)
+    assert clustered > 1000
+    found = {r.id: r.c for r in b.class_rows(classes, clustered).collect()}
+    start = {i: i % b.CLASSES for i in range(clustered)}
+    assert set(found) == set(start) and sum(found[i] != start[i] for i in found) > clustered / 2
+
+
+def test_exchange_follows_a_plain_one(spark):
+    """The classes after every round are those of one word after the other against the round's matrix."""
+    df = spark.createDataFrame(rows()[:150], "doc_id long, text string").repartition(2)
+    train = df.select(b.text_of().alias("text"))
+    ranked = b.ranked_words(b.word_counts(train))
+    words = np.array([r.word for r in sorted(ranked.collect(), key=lambda r: r.id)], np.int64).view(np.uint64)
+    clustered = ranked.where(F.col("n") >= b.LEAST).count()
+    pairs = b.pair_counts(train, words, clustered, None)
+    plain = [(r.a, r.b, r.n) for r in pairs.collect()]
+    c = {i: i % b.CLASSES for i in range(clustered)}
+
+    def name(x):
+        return c[x] if x >= 0 else -1 - x
+
+    for k in range(2):
+        matrix = np.zeros((b.GROUPS, b.GROUPS))
+        right, left = (collections.defaultdict(lambda: np.zeros(b.GROUPS)) for _ in range(2))
+        for x, y, n in plain:
+            matrix[name(x), name(y)] += n
+            right[x][name(y)] += n
+            left[y][name(x)] += n
+        moves = b._moves(0, 1, k)
+        c = {i: b.best_class(matrix, c[i], left[i], right[i]) if moves[i] else c[i] for i in c}
+        classes, _ = b.exchange(pairs, clustered, k + 1)
+        assert {r.id: r.c for r in b.class_rows(classes, clustered).collect()} == c

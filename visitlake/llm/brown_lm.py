@@ -2,41 +2,50 @@
 
 Each word belongs to one class; the probability of a word after another is that of its class after
 the other's class times that of the word within its class, both smoothed. Every word that the training
-texts hold ``LEAST`` times or more is assigned by exchange clustering: from a class by its frequency rank (by its
-hash outside the head), each word moves to the class that raises the likelihood of the class bigrams most; every
-round half of the words (by hash) move against the others' classes. Rarer words, and unseen ones, belong to one of
+texts hold ``LEAST`` times or more is assigned by exchange clustering: from the class of its frequency rank modulo
+``CLASSES``, each word moves to the class that raises the likelihood of the class bigrams most; every
+round half of the words (by their rank's hash) move against the others' classes. Rarer words, and unseen ones, belong to one of
 ``ENDINGS`` classes by their last two bytes, so every word has a class without a lookup.
 
-Counts cover all training texts and all pairs of neighbours. The ``HEAD`` most frequent words' counts and classes and
-the class tables (both bounded) go to the tasks. The other words, however many there are, are a table: they meet
-their pairs and their documents in joins by hash, where no training word is frequent, and choose their classes in tasks.
+Counts cover all training texts and all pairs of neighbours. The ranks of the ``HEAD`` most frequent words (bounded) go to
+the tasks; the other words, however many there are, meet their pairs and their documents in joins by hash, where no
+training word is frequent. What is broadcast changes no result.
+
+The pairs are turned, once, into neighbour lists: words are dealt into buckets by their rank, and a bucket's packed lists lie
+together, split by the neighbour's group of buckets. A pass reads the lists where they lie, names the neighbours by
+the class file of their group (16 MB at most in a task), and adds up the words' counts beside each class; only these
+sums travel, by bucket, to where the words choose.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as dataset
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visitlake.llm.common import ship, stored, text_of
+from visitlake.llm.common import _filesystem, ship, shared_folder, spark_partitions, stored, text_of
 from visitlake.llm.wordhash import blank_class, blocks, mix, word_hashes
 
 CLASSES, ENDINGS, ROUNDS = 32, 64, 6
 #: A word that the training texts hold so often is clustered.
 LEAST = 3
-HEAD = 200_000
+HEAD = 1 << 20
 GROUPS = CLASSES + ENDINGS + 1
 END_CLASS = GROUPS - 1
 END = np.uint64(0xE703_7ED1_A0B4_28DB)
-#: Codes: a head word's rank, HEAD + class for the ending classes, MATRIX + class for the class bigrams, below 0 a word by 63 bits of its hash.
-MATRIX = HEAD + GROUPS
-_LOW = (1 << 63) - 1
-#: Entries of one step of the choice, and rows of pairs that are named at once.
-STEP, ROWS = 1 << 14, 1 << 19
+#: Words of a bucket, and buckets of a group.
+BUCKET, SPAN = 1 << 14, 1 << 10
+#: A neighbour in a list: its place in its group, or FIXED + ending class. A code of a pair: a rank, or -1 - ending class, or
+#: from OPEN down a word by 62 bits of its hash.
+FIXED, OPEN = BUCKET * SPAN, -(1 << 62)
+#: Entries of one step of the choice, entries that are added up at once, and rows of pairs that are packed at once.
+STEP, ENTRIES, ROWS = 1 << 14, 1 << 21, 1 << 19
+CELLS = GROUPS * GROUPS
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -92,55 +101,84 @@ def word_counts(train: DataFrame) -> DataFrame:
     return stored(found.groupBy("word").agg(F.first("group").alias("group"), F.sum("n").alias("n")), "brown-words")
 
 
-def _code(word: Column) -> Column:
-    return F.bitwise_not(word.bitwiseAND(F.lit(_LOW)))
+def ranked_words(counts: DataFrame) -> DataFrame:
+    """(id, word, group, n) of every training word but the end: id 0 is the most frequent one, ties by hash."""
+    order = [F.desc("n"), F.asc("word")]
+    only = counts.where(F.col("word") != int(END.view(np.int64)))
+    placed = only.repartitionByRange(spark_partitions(counts.sparkSession), *order).sortWithinPartitions(*order)
+    placed = stored(placed.withColumn("_number", F.monotonically_increasing_id()), "brown-ranks")
+    part = F.shiftright("_number", 33)
+    sizes = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row a partition
+    before, starts = 0, []
+    for r in sorted(sizes):
+        starts.append((r["part"], before))
+        before += r["n"]
+    start = F.broadcast(counts.sparkSession.createDataFrame(starts, "_part long, _start long"))
+    at = F.col("_number").bitwiseAND((1 << 33) - 1)
+    return placed.join(start, part == F.col("_part")).select((F.col("_start") + at).alias("id"), "word", "group", "n")
+
+
+def _open_code(word: Column) -> Column:
+    return F.bitwise_not(word.bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
 
 
-def _met(pairs: DataFrame, side: str, tail: DataFrame) -> DataFrame:
-    """``pairs`` with the tail's columns for the words below 0 of that side (null for others); head words, the frequent ones, stay out of the join."""
-    others = [c for c in tail.columns if c != "w"]
-    named = tail.select(F.col("w").alias("_w"), *[F.col(c).alias(f"{c}{side}") for c in others])
-    met = pairs.where(F.col(side) < 0).join(named, F.col(side) == F.col("_w"), "left").drop("_w")
-    nulls = [F.lit(None).cast(tail.schema[c].dataType).alias(f"{c}{side}") for c in others]
-    return pairs.where(F.col(side) >= 0).select("*", *nulls).unionByName(met)
+def _pairs_of(code: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, n) of the neighbours in a sequence that begins after ``first``."""
+    before = np.concatenate([[first], code[:-1]])
+    if code.min() > -(1 << 7) and code.max() < 1 << 31:
+        found, n = np.unique((before + 128) << 32 | (code + 128), return_counts=True)
+        return (found >> 32) - 128, (found & 0xFFFFFFFF) - 128, n
+    unique, which = np.unique(np.concatenate([[first], code]), return_inverse=True)
+    found, n = np.unique(which[:-1] * len(unique) + which[1:], return_counts=True)
+    return unique[found // len(unique)], unique[found % len(unique)], n
 
 
-def pair_counts(train: DataFrame, words: np.ndarray, clustered: int, tail: DataFrame | None) -> DataFrame:
-    """(a, b, n) of neighbouring tokens by their codes; the first ``clustered`` head words have a code of their own."""
+def pair_counts(train: DataFrame, words: np.ndarray, clustered: int, beyond: DataFrame | None) -> DataFrame:
+    """(a, b, n) of neighbouring tokens by their codes: the ranks of clustered words, -1 - class for others.
+
+    ``words``: the head by rank; ``beyond``: the (id, word) of clustered words outside it, None if the head holds all words.
+    """
     known = train.sparkSession.sparkContext.broadcast(Places(words))
-    outside = tail is not None
+    outside = beyond is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, end = known.value, -1 - END_CLASS
         for batch in batches:
             for value, group, _, _, _ in tokens(batch.column("text").to_pylist()):
-                at = known.value.of(value)
-                code = np.where((at >= 0) & (at < clustered), at, HEAD + group)
-                if outside:
-                    code = np.where((at < 0) & (group != END_CLASS), ~(value & np.uint64(_LOW)).view(np.int64), code)
-                unique, which = np.unique(code, return_inverse=True)
-                before = np.concatenate([[np.searchsorted(unique, HEAD + END_CLASS)], which[:-1]])
-                found, n = np.unique(before * len(unique) + which, return_counts=True)
-                ending = np.zeros(len(unique), np.int16)
-                ending[which] = group
-                a, b = found // len(unique), found % len(unique)
-                columns = [unique[a], unique[b], *([ending[a], ending[b]] if outside else []), n]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", *(["ga", "gb"] if outside else []), "n"])
-
-    if tail is None:
-        found = train.select("text").mapInArrow(run, "a long, b long, n long")
-        return stored(found.groupBy("a", "b").agg(F.sum("n").alias("n")), "brown-pairs")
+                at = places.of(value)
+                code = np.where((at >= 0) & (at < clustered), at, -1 - group)
+                if not outside:
+                    a, b, n = _pairs_of(code, end)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, n)], names=["a", "b", "n"])
+                    continue
+                waits = (at < 0) & (group != END_CLASS)
+                short = ~(waits | np.concatenate([[False], waits[:-1]]))
+                before = np.concatenate([[end], code[:-1]])
+                found, n = np.unique(((before + 128) << 32 | (code + 128))[short], return_counts=True)
+                hashed = np.where(waits, ~((value & np.uint64((1 << 62) - 1) | np.uint64(1 << 62)).view(np.int64)), code)
+                ending = np.where(waits, group, 0)
+                late = np.flatnonzero(~short)
+                prior = np.concatenate([[end], hashed[:-1]])[late]
+                columns = [
+                    np.concatenate([(found >> 32) - 128, prior]), np.concatenate([(found & 0xFFFFFFFF) - 128, hashed[late]]),
+                    np.concatenate([np.zeros(len(found), np.int64), np.concatenate([[0], ending[:-1]])[late]]).astype(np.int16),
+                    np.concatenate([np.zeros(len(found), np.int64), ending[late]]).astype(np.int16),
+                    np.concatenate([n, np.ones(len(late), np.int64)]),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "ga", "gb", "n"])
+
+    if not outside:
+        return train.select("text").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
     found = train.select("text").mapInArrow(run, "a long, b long, ga short, gb short, n long")
-    found = stored(found.groupBy("a", "b").agg(F.first("ga").alias("ga"), F.first("gb").alias("gb"), F.sum("n").alias("n")), "brown-all-pairs")
-    there = tail.select("w", F.lit(True).alias("is"))
-    for side in ("a", "b"):  # words below LEAST have their ending's code
-        rare = (F.col(side) < 0) & F.col(f"is{side}").isNull()
-        found = _met(found, side, there).withColumn(side, F.when(rare, F.lit(HEAD) + F.col(f"g{side}")).otherwise(F.col(side)).cast("long"))
-    return stored(found.groupBy("a", "b").agg(F.sum("n").alias("n")), "brown-pairs")
-
-
-def _moves(code: np.ndarray, k: int) -> np.ndarray:
-    """Whether the words of the codes move in round ``k``."""
-    return ((mix(code.view(np.uint64)) >> np.uint64(32)) & np.uint64(1) == np.uint64(k % 2)) & ((code < 0) | (code < HEAD))
+    found = found.groupBy("a", "b", "ga", "gb").agg(F.sum("n").alias("n"))
+    named = beyond.select(_open_code(F.col("word")).alias("_w"), F.col("id").alias("_id"))
+    waits = (F.col("a") <= OPEN) | (F.col("b") <= OPEN)
+    late = found.where(waits)
+    for side in ("a", "b"):  # no training word that waits is frequent; those below LEAST are in no list and have their ending's code
+        there = late.where(F.col(side) <= OPEN).join(named, F.col(side) == F.col("_w"), "left")
+        there = there.withColumn(side, F.coalesce(F.col("_id"), -1 - F.col(f"g{side}").cast("long"))).drop("_w", "_id")
+        late = late.where(F.col(side) > OPEN).unionByName(there)
+    return found.where(~waits).select("a", "b", "n").unionByName(late.select("a", "b", "n")).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -154,43 +192,153 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def neighbours(pairs: DataFrame, tail: DataFrame | None, classes: np.ndarray, k: int | None) -> DataFrame:
-    """(w, e, n): counts of the words that move in round ``k`` before (e = class) and after (e = 128 + class) each class; and the class bigrams."""
-    by_code = np.concatenate([classes, np.zeros(HEAD - len(classes), np.int64), np.arange(GROUPS)]).astype(np.int16)
-    told = pairs.sparkSession.sparkContext.broadcast(by_code)
-    named = pairs
-    if tail is not None:
-        for side in ("a", "b"):
-            named = _met(named, side, tail.select("w", "c"))
+def neighbour_lists(pairs: DataFrame, buckets: int) -> DataFrame:
+    """Rows (part, bucket, side, data): packed (word, neighbour, n) of one bucket and group; and (i, j, n) of pairs without a clustered word.
 
+    Side 0 lists what follows the bucket's words, side 1 what goes before. A word's lists have at most one entry for each other
+    word, so no bucket is much longer than others.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
         for rows in _joined(batches):
-            code = [rows.column(x).to_numpy() for x in ("a", "b")]
-            n = rows.column("n").to_numpy()
-            c = [told.value[np.maximum(x, 0)].astype(np.int64) for x in code]
-            if "ca" in rows.column_names:
-                c = [np.where(x < 0, rows.column(f"c{s}").fill_null(0).to_numpy(), y) for s, x, y in zip("ab", code, c, strict=True)]
-            w, e, m = [MATRIX + c[0]], [c[1]], [n]
-            if k is not None:
-                for mine, other, at in ((0, 1, 0), (1, 0, 128)):
-                    moves = _moves(code[mine], k)
-                    w, e, m = [*w, code[mine][moves]], [*e, c[other][moves] + at], [*m, n[moves]]
-            w, e, m = (np.concatenate(x) for x in (w, e, m))
-            inside = w >= 0
-            key, which = np.unique(w[inside] * 256 + e[inside], return_inverse=True)
-            total = np.zeros(len(key), np.int64)
-            np.add.at(total, which, m[inside])
-            out = [np.concatenate(x) for x in ((key >> 8, w[~inside]), (key & 255, e[~inside]), (total, m[~inside]))]
-            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1].astype(np.int16)), pa.array(out[2])], names=["w", "e", "n"])
-
-    return named.mapInArrow(run, "w long, e short, n long").groupBy("w", "e").agg(F.sum("n").alias("n"))
+            a, b, n = (rows.column(x).to_numpy() for x in ("a", "b", "n"))
+            out: dict[str, list] = {k: [] for k in ("part", "bucket", "side", "data", "i", "j", "n")}
+            for mine, other, side in ((a, b, 0), (b, a, 1)):
+                here = mine >= 0
+                w, e, m = mine[here], other[here], n[here]
+                place = e % buckets
+                part = np.where(e < 0, 0, place // SPAN)
+                code = np.where(e < 0, FIXED - 1 - e, place % SPAN * BUCKET + e // buckets)
+                list_of, local = part * buckets + w % buckets, w // buckets
+                order = np.argsort(list_of * BUCKET + local, kind="stable")
+                list_of, local, code, m = list_of[order], local[order].astype("<u2"), code[order].astype("<u4"), m[order].astype("<i8")
+                cuts = np.flatnonzero(np.diff(list_of, prepend=-1, append=-1)) if len(list_of) else np.zeros(1, np.int64)
+                for x, y in zip(cuts.tolist(), cuts[1:].tolist()):
+                    out["part"].append(int(list_of[x]) // buckets)
+                    out["bucket"].append(int(list_of[x]) % buckets)
+                    out["side"].append(side)
+                    out["data"].append(pack(b"".join((local[x:y].tobytes(), code[x:y].tobytes(), m[x:y].tobytes()))))
+            made = len(out["data"])
+            both = (a < 0) & (b < 0)
+            cell, which = np.unique((-1 - a[both]) * GROUPS + (-1 - b[both]), return_inverse=True)
+            total = np.zeros(len(cell), np.int64)
+            np.add.at(total, which, n[both])
+            for k in ("part", "side", "data"):
+                out[k] += [None] * len(cell)
+            out["bucket"] += (-1 - cell).tolist()  # spread like the lists
+            out["i"], out["j"], out["n"] = ([None] * made + x.tolist() for x in (cell // GROUPS, cell % GROUPS, total))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
+
+    packed = pairs.mapInArrow(run, "part long, bucket long, side int, data binary, i int, j int, n long")
+    return stored(packed.repartition("part", "bucket").sortWithinPartitions("part", "bucket"), "brown-lists")
+
+
+class _Classes:
+    """Classes of the words of a group of buckets, read from the shared class file; keeps two groups."""
+
+    def __init__(self, folder: str):
+        self._folder, self._kept = folder, {}
+
+    def group(self, part: int) -> np.ndarray:
+        """Class by a neighbour's place in the list."""
+        if part not in self._kept:
+            store, path = _filesystem(self._folder)
+            rows = dataset.dataset(path, filesystem=store, format="parquet").to_table(filter=dataset.field("part") == part)
+            found = np.zeros(FIXED + GROUPS, np.uint8)
+            found[FIXED:] = np.arange(GROUPS)
+            for bucket, classes in zip(rows.column("bucket").to_pylist(), rows.column("classes").to_pylist(), strict=True):
+                found[bucket % SPAN * BUCKET :][: len(classes)] = np.frombuffer(classes, np.uint8)
+            while len(self._kept) > 1:
+                del self._kept[next(iter(self._kept))]
+            self._kept[part] = found
+        return self._kept[part]
+
+    def own(self, bucket: int) -> np.ndarray:
+        at = bucket % SPAN * BUCKET
+        return self.group(bucket // SPAN)[at : at + BUCKET]
+
+
+_READ: dict[str, _Classes] = {}
+
+
+def _classes_of(folder: str) -> _Classes:
+    """One reader per worker and class file; the files of earlier rounds are forgotten."""
+    if folder not in _READ:
+        _READ.clear()
+        _READ[folder] = _Classes(folder)
+    return _READ[folder]
+
+
+def _class_file(rows: DataFrame) -> str:
+    """The folder of the stored (part, bucket, classes); one file a group."""
+    folder = shared_folder(rows.sparkSession, "brown-classes")
+    rows.repartition("part").write.parquet(folder)
+    return folder
+
+
+def _moves(bucket: int, buckets: int, k: int) -> np.ndarray:
+    """Whether the words of the bucket move in round ``k``."""
+    rank = np.arange(BUCKET, dtype=np.uint64) * np.uint64(buckets) + np.uint64(bucket)
+    return (mix(rank) >> np.uint64(32)) & np.uint64(1) == np.uint64(k % 2)
+
+
+def neighbours(lists: DataFrame, folder: str, buckets: int, k: int | None) -> DataFrame:
+    """Rows (bucket, data): packed counts of the words that move in round ``k`` beside each class; and class bigrams (cells)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told, matrix = _classes_of(folder), np.zeros((GROUPS, GROUPS), np.int64)
+        unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
+        names = ["bucket", "data", "cells"]
+        kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()))
+
+        def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+            at, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            return np.bincount(at, n, 2 * BUCKET * GROUPS)
+
+        def closed(bucket: int, total: np.ndarray) -> pa.RecordBatch:
+            own, total = told.own(bucket), total.reshape(2, BUCKET, GROUPS)
+            for c in range(CLASSES):
+                mine = own == c
+                matrix[c] += total[0, mine].sum(axis=0).astype(np.int64)
+                matrix[CLASSES:, c] += total[1, mine, CLASSES:].sum(axis=0).astype(np.int64)
+            data = None
+            if k is not None:
+                total[:, ~_moves(bucket, buckets, k)] = 0
+                at = np.flatnonzero(total)
+                data = pack(at.astype("<u4").tobytes() + total.reshape(-1)[at].astype("<i8").tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((bucket, data, None), kinds, strict=True)], names=names)
 
-def _matrix(found: DataFrame) -> np.ndarray:
-    out = np.zeros((GROUPS, GROUPS))
-    rows = found.where(F.col("w") >= MATRIX).toArrow()  # at most GROUPS^2 rows
-    out[rows.column("w").to_numpy() - MATRIX, rows.column("e").to_numpy()] = rows.column("n").to_numpy()
-    return out
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        now, size, total = None, 0, None
+        for batch in batches:
+            for part, bucket, side, data in zip(*(batch.column(x) for x in ("part", "bucket", "side", "data")), strict=True):
+                part, bucket, raw = part.as_py(), bucket.as_py(), unpack(data.as_py())
+                if now is not None and (bucket != now or size > ENTRIES):
+                    total = summed(held) if total is None else total + summed(held)
+                    held, size = [], 0
+                    if bucket != now:
+                        yield closed(now, total)
+                        total = None
+                now, n = bucket, len(raw) // 14
+                local, code = np.frombuffer(raw, "<u2", n), np.frombuffer(raw, "<u4", n, 2 * n)
+                at = (local.astype(np.int64) + side.as_py() * BUCKET) * GROUPS + told.group(part)[code]
+                held.append((at, np.frombuffer(raw, "<i8", n, 6 * n)))
+                size += n
+        if now is not None:
+            yield closed(now, summed(held) if total is None else total + summed(held))
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, None, matrix.reshape(-1).tolist()), kinds, strict=True)], names=names)
+
+    return lists.where("data is not null").select("part", "bucket", "side", "data").mapInArrow(run, "bucket long, data binary, cells array<long>")
+
+
+def _matrix(found: DataFrame, fixed: np.ndarray) -> np.ndarray:
+    """The class bigrams: the sum of the passes' cells and of the pairs without a clustered word."""
+    out = fixed.copy().reshape(-1)
+    cells = found.where("cells is not null").select(F.posexplode("cells").alias("at", "n")).where("n > 0")
+    rows = cells.groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most GROUPS^2 rows
+    out[rows.column("at").to_numpy()] += rows.column("n").to_numpy()
+    return out.reshape(GROUPS, GROUPS)
 
 
 def _phi(x: np.ndarray) -> np.ndarray:
@@ -206,6 +354,11 @@ def best_classes(matrix: np.ndarray, own: np.ndarray, which: np.ndarray, entry:
     after = entry < 128
     np.add.at(right, (which[after], entry[after]), n[after])
     np.add.at(left, (which[~after], entry[~after] - 128), n[~after])
+    return _best(matrix, own, right, left)
+
+
+def _best(matrix: np.ndarray, own: np.ndarray, right: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """``best_classes`` by the words' whole counts before (``right``) and after (``left``) each class."""
     words = np.arange(len(own))
     gain = np.zeros((len(own), CLASSES))
     # without the word: its row and column leave its own class
@@ -235,36 +388,70 @@ def best_class(matrix: np.ndarray, own: int, left: np.ndarray, right: np.ndarray
     return int(best_classes(matrix, np.array([own]), np.zeros(len(entry), np.int64), entry, np.concatenate([right, left]))[0])
 
 
-def exchange(pairs: DataFrame, words: int, tail: DataFrame | None, rounds: int = ROUNDS) -> tuple[np.ndarray, DataFrame | None, np.ndarray]:
-    """Classes of the clustered head words (by rank), the tail with its classes, and the class bigram matrix."""
-    classes = np.arange(words) % CLASSES
-    for k in range(rounds if words else 0):
-        found = stored(neighbours(pairs, tail, classes, k), "brown-neighbours")
-        matrix, held = _matrix(found), classes.copy()
-        # at most 2 * GROUPS entries a word
-        around = found.where(F.col("w") < HEAD).groupBy("w").agg(F.collect_list(F.struct("e", "n")).alias("es"))
-
-        def choose(batches: Iterator[pa.RecordBatch], matrix: np.ndarray = matrix, held: np.ndarray = held) -> Iterator[pa.RecordBatch]:
-            for batch in chain.from_iterable(b.to_batches(1024) for b in map(lambda x: pa.Table.from_batches([x]), batches)):
-                w = batch.column("w").to_numpy()
-                own = batch.column("c").to_numpy().astype(np.int64) if "c" in batch.schema.names else held[w]
-                es = batch.column("es")
-                sizes = es.value_lengths().fill_null(0).to_numpy().astype(np.int64)
-                flat = es.flatten()
-                entry, n = flat.field("e").to_numpy().astype(np.int64), flat.field("n").to_numpy().astype(float)
-                best = best_classes(matrix, own, np.repeat(np.arange(len(w)), sizes), entry, n)
-                columns = [pa.array(best.astype(np.int32)) if name == "c" else batch.column(name) for name in batch.schema.names if name != "es"]
-                names = [name for name in batch.schema.names if name != "es"]
-                if "c" not in names:
-                    columns, names = [*columns, pa.array(best.astype(np.int32))], [*names, "c"]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-        chosen = around.where(F.col("w") >= 0).mapInArrow(choose, "w long, c int").toArrow()  # at most HEAD rows
-        classes[chosen.column("w").to_numpy()] = chosen.column("c").to_numpy()
-        if tail is not None:
-            met = tail.join(around.where(F.col("w") < 0).withColumnRenamed("w", "_w"), F.col("w") == F.col("_w"), "left").drop("_w")
-            tail = stored(met.mapInArrow(choose, tail.schema), "brown-tail")
-    return classes, tail, _matrix(neighbours(pairs, tail, classes, None))
+def exchange(pairs: DataFrame, clustered: int, rounds: int = ROUNDS) -> tuple[DataFrame, np.ndarray]:
+    """The stored (part, bucket, classes) of ``clustered`` words, and the class bigram matrix."""
+    spark = pairs.sparkSession
+    buckets = max(1, -(-clustered // BUCKET))
+    lists = neighbour_lists(pairs, buckets)
+    schema = "part long, bucket long, classes binary"
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket = batch.column("id").to_numpy()
+            classes = [((np.arange(BUCKET) * buckets + x) % CLASSES).astype(np.uint8).tobytes() for x in bucket]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket // SPAN), batch.column("id"), pa.array(classes, pa.binary())], names=["part", "bucket", "classes"])
+
+    folder = _class_file(spark.range(buckets).mapInArrow(start, schema))
+    fixed = np.zeros((GROUPS, GROUPS))
+    for r in lists.where("data is null").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():  # at most ENDINGS^2 rows
+        fixed[r["i"], r["j"]] = r["n"]
+    for k in range(rounds if clustered else 0):
+        found = stored(neighbours(lists, folder, buckets, k), "brown-neighbours")
+        matrix = _matrix(found, fixed)
+
+        def choose(batches: Iterator[pa.RecordBatch], matrix: np.ndarray = matrix, folder: str = folder, k: int = k) -> Iterator[pa.RecordBatch]:
+            told, unpack = _classes_of(folder), zstandard.ZstdDecompressor().decompress
+
+            def chosen(bucket: int, total: np.ndarray) -> pa.RecordBatch:
+                classes = told.own(bucket).copy()
+                right, left = total.reshape(2, BUCKET, GROUPS)
+                seen = np.flatnonzero(right.any(axis=1))  # the words that move: each is followed by something
+                for a in range(0, len(seen), STEP // 4):
+                    w = seen[a : a + STEP // 4]
+                    classes[w] = _best(matrix, classes[w].astype(np.int64), right[w], left[w])
+                return pa.RecordBatch.from_arrays([pa.array([bucket // SPAN]), pa.array([bucket]), pa.array([classes.tobytes()], pa.binary())], names=["part", "bucket", "classes"])
+
+            now, total = None, np.zeros(2 * BUCKET * GROUPS)
+            for batch in batches:
+                for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                    if now is not None and bucket != now:
+                        yield chosen(now, total)
+                        total[:] = 0
+                    now, raw = bucket, unpack(data)
+                    n = len(raw) // 12
+                    total[np.frombuffer(raw, "<u4", n)] += np.frombuffer(raw, "<i8", n, 4 * n)
+            if now is not None:
+                yield chosen(now, total)
+
+        by_bucket = found.where("data is not null").select("bucket", "data").repartition("bucket").sortWithinPartitions("bucket")
+        folder = _class_file(by_bucket.mapInArrow(choose, schema))
+    matrix = _matrix(stored(neighbours(lists, folder, buckets, None), "brown-neighbours"), fixed)
+    return spark.read.schema(schema).parquet(folder), matrix
+
+
+def class_rows(classes: DataFrame, clustered: int, first: int = 0) -> DataFrame:
+    """(id, c) of the clustered words from rank ``first`` on."""
+    buckets = max(1, -(-clustered // BUCKET))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, row in zip(batch.column("bucket").to_pylist(), batch.column("classes").to_pylist(), strict=True):
+                rank = np.arange(BUCKET) * buckets + bucket
+                here = (rank >= first) & (rank < clustered)
+                c = np.frombuffer(row, np.uint8)[here].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(rank[here]), pa.array(c)], names=["id", "c"])
+
+    return classes.select("bucket", "classes").mapInArrow(run, "id long, c int")
 
 
 def brown_scores(docs: DataFrame, head: int = HEAD) -> DataFrame:
@@ -272,8 +459,8 @@ def brown_scores(docs: DataFrame, head: int = HEAD) -> DataFrame:
 
     The model learns from the rows that are not ``held_out``. Null counts as empty; an empty text is one
     end token. Repeated rows count and are scored each. Without training rows all counts are 0 and only the
-    smoothing remains. Words are told apart by a 64-bit hash, by 63 bits of it among the neighbours of words outside
-    the head. ``head``, at most ``HEAD``: words that go to the tasks; it changes first classes only. Other columns are ignored.
+    smoothing remains. Words are told apart by a 64-bit hash, by 62 bits of it among the neighbours of words outside
+    the head. ``head``, at most ``HEAD``: words that go to the tasks; it changes no result. Other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -282,37 +469,29 @@ def brown_scores(docs: DataFrame, head: int = HEAD) -> DataFrame:
     counts = word_counts(train)
     total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = int(total["n"] or 0), int(total["v"])
-    end = int(END.view(np.int64))
-    only = counts.where(F.col("word") != end)
+    end_count = int(counts.where(F.col("word") == int(END.view(np.int64))).agg(F.sum("n")).first()[0] or 0)
+    ranked = ranked_words(counts)
+    clustered = ranked.where(F.col("n") >= LEAST).count()
     # bounded by a parameter
-    first = only.orderBy(F.desc("n"), "word").limit(min(head, HEAD)).select("word", "group", "n").toArrow()
-    end_count = int(counts.where(F.col("word") == end).agg(F.sum("n")).first()[0] or 0)
-    signed, groups, seen = (first.column(c).to_numpy() for c in ("word", "group", "n"))
-    order = np.lexsort((signed, -seen))
-    words, groups, seen = signed[order].view(np.uint64), groups[order].astype(np.int64), seen[order]
-    clustered = int((seen >= LEAST).sum())
-    beyond = tail = None
-    if len(words) and v > len(words) + 1:
-        last_n, last = int(seen[-1]), int(signed[order[-1]])
-        beyond = only.where((F.col("n") < last_n) | ((F.col("n") == last_n) & (F.col("word") > last)))
-        if last_n >= LEAST:
-            tail = stored(beyond.where(F.col("n") >= LEAST).select(
-                _code(F.col("word")).alias("w"), "word", "group", "n", F.pmod("word", F.lit(CLASSES)).cast("int").alias("c")), "brown-tail")
-    classes, tail, matrix = exchange(pair_counts(train, words, clustered, tail), clustered, tail)
+    first = ranked.where(F.col("id") < min(head, HEAD)).select("id", "word", "group", "n").toArrow().sort_by("id")
+    words = first.column("word").to_numpy().view(np.uint64)
+    groups, seen = first.column("group").to_numpy().astype(np.int64), first.column("n").to_numpy()
+    beyond = ranked.where(F.col("id") >= len(words)) if v > len(words) + 1 else None
+    pairs = pair_counts(train, words, clustered, None if beyond is None else beyond.where(F.col("n") >= LEAST))
+    classes, matrix = exchange(pairs, clustered)
+    class_of = groups.copy()
+    top = class_rows(classes, clustered).where(F.col("id") < len(words)).toArrow()  # no more than the head
+    class_of[top.column("id").to_numpy()] = top.column("c").to_numpy()
     # sizes of the classes: tokens and distinct words
     tokens_in, words_in = matrix.sum(axis=0), np.zeros(GROUPS)
-    for r in counts.groupBy("group").agg(F.count(F.lit(1)).alias("v")).collect():
+    clear = ranked.groupBy("group").agg(F.count(F.when(F.col("n") < LEAST, 1)).alias("v"))
+    for r in [*clear.collect(), *class_rows(classes, clustered).groupBy(F.col("c").alias("group")).agg(F.count(F.lit(1)).alias("v")).collect()]:
         words_in[r["group"]] += r["v"]
-    words_in -= np.bincount(groups[:clustered], minlength=GROUPS)
-    words_in += np.bincount(classes, minlength=GROUPS)
-    for r in tail.groupBy("group", "c").agg(F.count(F.lit(1)).alias("v")).collect() if tail is not None else []:
-        words_in[r["group"]] -= r["v"]
-        words_in[r["c"]] += r["v"]
+    words_in[END_CLASS] += end_count > 0
     prior = (tokens_in + 1) / (tokens_in.sum() + GROUPS)
     move = np.log10((matrix + prior) / (matrix.sum(axis=1, keepdims=True) + 1))
     inside = np.log10(tokens_in + words_in + 1)
     base = float(np.log10(n + v + 1))
-    class_of = np.concatenate([classes, groups[clustered:]])
     model = spark.sparkContext.broadcast((Places(words), seen.astype(float), class_of, move, inside))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,9 +539,9 @@ def brown_scores(docs: DataFrame, head: int = HEAD) -> DataFrame:
     part = stored(part.withColumn("row", F.monotonically_increasing_id()), "brown-parts")
     if beyond is not None:
         # words outside the head, once a document: no training word is frequent here
-        told = beyond.select("word", "n", F.col("group").cast("int").alias("c"))
-        if tail is not None:
-            told = told.where(F.col("n") < LEAST).unionByName(tail.select("word", "n", "c"))
+        met = beyond.where(F.col("n") >= LEAST).join(class_rows(classes, clustered, len(words)), "id")
+        rare = beyond.where(F.col("n") < LEAST).select("word", "n", F.col("group").cast("int").alias("c"))
+        told = met.select("word", "n", "c").unionByName(rare)
         rest = part.select("row", F.posexplode("words").alias("j", "word"))
         more = rest.join(told, "word").groupBy("row").agg(F.collect_list(F.struct("j", "n", "c")).alias("told"))
         part = part.drop("words").join(more, "row", "left")
