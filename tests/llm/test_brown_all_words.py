@@ -27,7 +27,7 @@ def model(spark, df, head):
     words = np.array([r.word for r in top[:head]], np.int64).view(np.uint64)
     clustered = sum(r.n >= b.LEAST for r in top)
     beyond = ranked.where((F.col("id") >= head) & (F.col("n") >= b.LEAST)) if len(top) > head else None
-    classes, matrix = b.exchange(b.pair_counts(train, words, clustered, beyond), clustered)
+    classes, matrix = b.exchange(b.neighbour_lists(train, words, clustered, beyond, b.buckets_of(clustered)), clustered)
     return {top[r.id].word: r.c for r in b.class_rows(classes, clustered).collect()}, matrix
 
 
@@ -84,8 +84,7 @@ def test_what_is_broadcast_changes_no_score(spark, monkeypatch):
     ranked = b.ranked_words(b.word_counts(train))
     words = np.array([r.word for r in sorted(ranked.collect(), key=lambda r: r.id)], np.int64).view(np.uint64)
     clustered = ranked.where(F.col("n") >= b.LEAST).count()
-    pairs = b.pair_counts(train, words, clustered, None)
-    classes, matrix = b.exchange(pairs, clustered)
+    classes, matrix = b.exchange(b.neighbour_lists(train, words, clustered, None, 1), clustered)
     assert clustered > 1000
     found = {r.id: r.c for r in b.class_rows(classes, clustered).collect()}
     start = {i: i % b.CLASSES for i in range(clustered)}
@@ -99,8 +98,13 @@ def test_exchange_follows_a_plain_one(spark):
     ranked = b.ranked_words(b.word_counts(train))
     words = np.array([r.word for r in sorted(ranked.collect(), key=lambda r: r.id)], np.int64).view(np.uint64)
     clustered = ranked.where(F.col("n") >= b.LEAST).count()
-    pairs = b.pair_counts(train, words, clustered, None)
-    plain = [(r.a, r.b, r.n) for r in pairs.collect()]
+    lists = b.neighbour_lists(train, words, clustered, None, 1)
+    rank = {int(w): i for i, w in enumerate(words[:clustered].view(np.int64))}
+    plain = collections.Counter()
+    for r in train.collect():
+        value, group, _, _, _ = next(b.tokens([r.text]))
+        code = [rank.get(w, -1 - g) for w, g in zip(value.view(np.int64).tolist(), group.tolist(), strict=True)]
+        plain.update(zip([-1 - b.END_CLASS, *code[:-1]], code, strict=True))
     c = {i: i % b.CLASSES for i in range(clustered)}
 
     def name(x):
@@ -109,11 +113,11 @@ def test_exchange_follows_a_plain_one(spark):
     for k in range(2):
         matrix = np.zeros((b.GROUPS, b.GROUPS))
         right, left = (collections.defaultdict(lambda: np.zeros(b.GROUPS)) for _ in range(2))
-        for x, y, n in plain:
+        for (x, y), n in plain.items():
             matrix[name(x), name(y)] += n
             right[x][name(y)] += n
             left[y][name(x)] += n
         moves = b._moves(0, 1, k)
         c = {i: b.best_class(matrix, c[i], left[i], right[i]) if moves[i] else c[i] for i in c}
-        classes, _ = b.exchange(pairs, clustered, k + 1)
+        classes, _ = b.exchange(lists, clustered, k + 1)
         assert {r.id: r.c for r in b.class_rows(classes, clustered).collect()} == c

@@ -43,9 +43,10 @@ BUCKET, SPAN = 1 << 14, 1 << 10
 #: A neighbour in a list: its place in its group, or FIXED + ending class. A code of a pair: a rank, or -1 - ending class, or
 #: from OPEN down a word by 62 bits of its hash.
 FIXED, OPEN = BUCKET * SPAN, -(1 << 62)
-#: Entries of one step of the choice, entries that are added up at once, and rows of pairs that are packed at once.
-STEP, ENTRIES, ROWS = 1 << 14, 1 << 21, 1 << 19
-CELLS = GROUPS * GROUPS
+#: Bits of a neighbour in an entry of a list: side, word's place in its bucket, neighbour.
+CODE = 25
+#: Entries of one step of the choice, entries that are added up at once, tokens that are counted at once.
+STEP, ENTRIES, TOKENS = 1 << 14, 1 << 21, 1 << 21
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -88,14 +89,26 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), text_of().alias("text"), held_out(F.col("doc_id")).alias("held_out"))
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes and ending classes of about ``TOKENS`` tokens of whole texts at once."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        for value, group, _, _, _ in tokens(batch.column("text").to_pylist()):
+            held.append((value, group))
+            if sum(len(v) for v, _ in held) >= TOKENS:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held = []
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 def word_counts(train: DataFrame) -> DataFrame:
     """(word, group, n): count and ending class of every training token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for value, group, _, _, _ in tokens(batch.column("text").to_pylist()):
-                words, first, n = np.unique(value, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(group[first].astype(np.int32)), pa.array(n)], names=["word", "group", "n"])
+        for value, group in _gathered(batches):
+            words, first, n = np.unique(value, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(group[first].astype(np.int32)), pa.array(n)], names=["word", "group", "n"])
 
     found = train.select("text").mapInArrow(run, "word long, group int, n long")
     return stored(found.groupBy("word").agg(F.first("group").alias("group"), F.sum("n").alias("n")), "brown-words")
@@ -122,116 +135,137 @@ def _open_code(word: Column) -> Column:
     return F.bitwise_not(word.bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
 
 
-def _pairs_of(code: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, n) of the neighbours in a sequence that begins after ``first``."""
-    before = np.concatenate([[first], code[:-1]])
-    if code.min() > -(1 << 7) and code.max() < 1 << 31:
-        found, n = np.unique((before + 128) << 32 | (code + 128), return_counts=True)
-        return (found >> 32) - 128, (found & 0xFFFFFFFF) - 128, n
-    unique, which = np.unique(np.concatenate([[first], code]), return_inverse=True)
-    found, n = np.unique(which[:-1] * len(unique) + which[1:], return_counts=True)
-    return unique[found // len(unique)], unique[found % len(unique)], n
+def _pack(key: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending keys and their counts: steps and counts, byte by byte of their 64 bits, compressed."""
+    planes = [np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes() for x in (np.diff(key, prepend=0), n)]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(2, 8, -1)
+    steps, n = (np.ascontiguousarray(x.T).view("<i8").reshape(-1) for x in raw)
+    return np.cumsum(steps), n
+
+
+def _added(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, ascending, and the sums of their counts."""
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1)) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(n, first) if len(first) else n
+
+
+LISTS = "part long, bucket long, data binary, i int, j int, n long"
+
+
+def _listed(a: np.ndarray, b: np.ndarray, n: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Rows ``LISTS`` of distinct pairs (a, b): packed entries of one bucket and group, and counts of pairs without a clustered word."""
+    out: dict[str, list] = {k: [] for k in ("part", "bucket", "data", "i", "j", "n")}
+    keys, counts = [], []
+    for mine, other, side in ((a, b, 0), (b, a, 1)):
+        here = mine >= 0
+        w, e = mine[here], other[here]
+        place = e % buckets
+        part = np.where(e < 0, 0, place // SPAN)
+        code = np.where(e < 0, FIXED - 1 - e, place % SPAN * BUCKET + e // buckets)
+        keys.append((part * buckets + w % buckets, (side * BUCKET + w // buckets) << CODE | code))
+        counts.append(n[here])
+    (list_of, key), m = (np.concatenate(x) for x in zip(*keys, strict=True)), np.concatenate(counts)
+    order = np.lexsort((key, list_of))
+    list_of, key, m = list_of[order], key[order], m[order]
+    cuts = np.flatnonzero(np.diff(list_of, prepend=-1, append=-1)).tolist() if len(list_of) else [0]
+    for x, y in zip(cuts, cuts[1:]):
+        out["part"].append(int(list_of[x]) // buckets)
+        out["bucket"].append(int(list_of[x]) % buckets)
+        out["data"].append(_pack(key[x:y], m[x:y]))
+    made, both = len(out["data"]), (a < 0) & (b < 0)
+    cell, total = _added((-1 - a[both]) * GROUPS + (-1 - b[both]), n[both])
+    out["part"] += [None] * len(cell)
+    out["bucket"] += (-1 - cell).tolist()  # spread like the lists
+    out["data"] += [None] * len(cell)
+    out["i"], out["j"], out["n"] = ([None] * made + x.tolist() for x in (cell // GROUPS, cell % GROUPS, total))
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
+
+
+def _codes(places: Places, clustered: int, value: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of a sequence of tokens by the head alone, and which words are outside it."""
+    at = places.of(value)
+    return np.where((at >= 0) & (at < clustered), at, -1 - group), (at < 0) & (group != END_CLASS)
 
 
-def pair_counts(train: DataFrame, words: np.ndarray, clustered: int, beyond: DataFrame | None) -> DataFrame:
-    """(a, b, n) of neighbouring tokens by their codes: the ranks of clustered words, -1 - class for others.
+def _after(x: np.ndarray, first: int) -> np.ndarray:
+    return np.concatenate([[first], x[:-1]])
 
-    ``words``: the head by rank; ``beyond``: the (id, word) of clustered words outside it, None if the head holds all words.
+
+def neighbour_lists(train: DataFrame, words: np.ndarray, clustered: int, beyond: DataFrame | None, buckets: int) -> DataFrame:
+    """Rows ``LISTS`` of all pairs of neighbouring tokens of the training texts, an end before the first and after each.
+
+    ``words``: the head by rank; ``beyond``: (id, word) of clustered words outside it, None if the head holds all words. An entry
+    is a word, what follows it (side 0) or goes before (side 1), and a count; a word has one entry for each other word and side
+    in a row, so no bucket is much longer than others.
     """
     known = train.sparkSession.sparkContext.broadcast(Places(words))
     outside = beyond is not None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, end = known.value, -1 - END_CLASS
+    def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for value, group in _gathered(batches):
+            code, waits = _codes(known.value, clustered, value, group)
+            key = (_after(code, -1 - END_CLASS) + 128) << 32 | (code + 128)
+            if outside:
+                key = key[~(waits | _after(waits, False))]
+            found, n = np.unique(key, return_counts=True)
+            yield _listed((found >> 32) - 128, (found & 0xFFFFFFFF) - 128, n, buckets)
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for value, group in _gathered(batches):
+            code, waits = _codes(known.value, clustered, value, group)
+            code = np.where(waits, ~((value & np.uint64((1 << 62) - 1) | np.uint64(1 << 62)).view(np.int64)), code)
+            late = np.flatnonzero(waits | _after(waits, False))
+            columns = [_after(code, -1 - END_CLASS)[late], code[late], _after(group, END_CLASS)[late], group[late]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "ga", "gb"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for value, group, _, _, _ in tokens(batch.column("text").to_pylist()):
-                at = places.of(value)
-                code = np.where((at >= 0) & (at < clustered), at, -1 - group)
-                if not outside:
-                    a, b, n = _pairs_of(code, end)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, n)], names=["a", "b", "n"])
-                    continue
-                waits = (at < 0) & (group != END_CLASS)
-                short = ~(waits | np.concatenate([[False], waits[:-1]]))
-                before = np.concatenate([[end], code[:-1]])
-                found, n = np.unique(((before + 128) << 32 | (code + 128))[short], return_counts=True)
-                hashed = np.where(waits, ~((value & np.uint64((1 << 62) - 1) | np.uint64(1 << 62)).view(np.int64)), code)
-                ending = np.where(waits, group, 0)
-                late = np.flatnonzero(~short)
-                prior = np.concatenate([[end], hashed[:-1]])[late]
-                columns = [
-                    np.concatenate([(found >> 32) - 128, prior]), np.concatenate([(found & 0xFFFFFFFF) - 128, hashed[late]]),
-                    np.concatenate([np.zeros(len(found), np.int64), np.concatenate([[0], ending[:-1]])[late]]).astype(np.int16),
-                    np.concatenate([np.zeros(len(found), np.int64), ending[late]]).astype(np.int16),
-                    np.concatenate([n, np.ones(len(late), np.int64)]),
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "ga", "gb", "n"])
-
-    if not outside:
-        return train.select("text").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    found = train.select("text").mapInArrow(run, "a long, b long, ga short, gb short, n long")
-    found = found.groupBy("a", "b", "ga", "gb").agg(F.sum("n").alias("n"))
-    named = beyond.select(_open_code(F.col("word")).alias("_w"), F.col("id").alias("_id"))
-    waits = (F.col("a") <= OPEN) | (F.col("b") <= OPEN)
-    late = found.where(waits)
-    for side in ("a", "b"):  # no training word that waits is frequent; those below LEAST are in no list and have their ending's code
-        there = late.where(F.col(side) <= OPEN).join(named, F.col(side) == F.col("_w"), "left")
-        there = there.withColumn(side, F.coalesce(F.col("_id"), -1 - F.col(f"g{side}").cast("long"))).drop("_w", "_id")
-        late = late.where(F.col(side) > OPEN).unionByName(there)
-    return found.where(~waits).select("a", "b", "n").unionByName(late.select("a", "b", "n")).groupBy("a", "b").agg(F.sum("n").alias("n"))
-
-
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) >= ROWS:
-            yield pa.Table.from_batches(held)
-            held = []
-    if held:
-        yield pa.Table.from_batches(held)
+            yield _listed(*(batch.column(x).to_numpy() for x in ("a", "b", "n")), buckets)
+
+    packed = train.select("text").mapInArrow(head, LISTS)
+    if outside:
+        # no training word outside the head is frequent; those below LEAST are in no list and have their ending's code
+        named = beyond.select(_open_code(F.col("word")).alias("_w"), F.col("id").alias("_id"))
+        late = stored(train.select("text").mapInArrow(rest, "a long, b long, ga long, gb long"), "brown-late")
+        for side in ("a", "b"):
+            met = late.where(F.col(side) <= OPEN).join(named, F.col(side) == F.col("_w"), "left")
+            met = met.withColumn(side, F.coalesce(F.col("_id"), -1 - F.col(f"g{side}"))).drop("_w", "_id")
+            late = late.where(F.col(side) > OPEN).unionByName(met)
+        packed = packed.unionByName(late.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).mapInArrow(pack, LISTS))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        now, size = None, 0
 
+        def closed() -> pa.RecordBatch:
+            key, n = _added(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            return pa.RecordBatch.from_pylist([{"part": now[0], "bucket": now[1], "data": _pack(key, n)}], schema=batch.schema)
 
-def neighbour_lists(pairs: DataFrame, buckets: int) -> DataFrame:
-    """Rows (part, bucket, side, data): packed (word, neighbour, n) of one bucket and group; and (i, j, n) of pairs without a clustered word.
+        for batch in batches:
+            plain = batch.filter(batch.column("data").is_null())
+            if plain.num_rows:
+                yield plain
+            batch = batch.filter(batch.column("data").is_valid())
+            for part, bucket, data in zip(*(batch.column(x) for x in ("part", "bucket", "data")), strict=True):
+                at = (part.as_py(), bucket.as_py())
+                if held and (at != now or size > ENTRIES):
+                    yield closed()
+                    held, size = [], 0
+                now = at
+                held.append(_unpack(data.as_py()))
+                size += len(held[-1][0])
+        if held:
+            yield closed()
 
-    Side 0 lists what follows the bucket's words, side 1 what goes before. A word's lists have at most one entry for each other
-    word, so no bucket is much longer than others.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
-        for rows in _joined(batches):
-            a, b, n = (rows.column(x).to_numpy() for x in ("a", "b", "n"))
-            out: dict[str, list] = {k: [] for k in ("part", "bucket", "side", "data", "i", "j", "n")}
-            for mine, other, side in ((a, b, 0), (b, a, 1)):
-                here = mine >= 0
-                w, e, m = mine[here], other[here], n[here]
-                place = e % buckets
-                part = np.where(e < 0, 0, place // SPAN)
-                code = np.where(e < 0, FIXED - 1 - e, place % SPAN * BUCKET + e // buckets)
-                list_of, local = part * buckets + w % buckets, w // buckets
-                order = np.argsort(list_of * BUCKET + local, kind="stable")
-                list_of, local, code, m = list_of[order], local[order].astype("<u2"), code[order].astype("<u4"), m[order].astype("<i8")
-                cuts = np.flatnonzero(np.diff(list_of, prepend=-1, append=-1)) if len(list_of) else np.zeros(1, np.int64)
-                for x, y in zip(cuts.tolist(), cuts[1:].tolist()):
-                    out["part"].append(int(list_of[x]) // buckets)
-                    out["bucket"].append(int(list_of[x]) % buckets)
-                    out["side"].append(side)
-                    out["data"].append(pack(b"".join((local[x:y].tobytes(), code[x:y].tobytes(), m[x:y].tobytes()))))
-            made = len(out["data"])
-            both = (a < 0) & (b < 0)
-            cell, which = np.unique((-1 - a[both]) * GROUPS + (-1 - b[both]), return_inverse=True)
-            total = np.zeros(len(cell), np.int64)
-            np.add.at(total, which, n[both])
-            for k in ("part", "side", "data"):
-                out[k] += [None] * len(cell)
-            out["bucket"] += (-1 - cell).tolist()  # spread like the lists
-            out["i"], out["j"], out["n"] = ([None] * made + x.tolist() for x in (cell // GROUPS, cell % GROUPS, total))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
-
-    packed = pairs.mapInArrow(run, "part long, bucket long, side int, data binary, i int, j int, n long")
-    return stored(packed.repartition("part", "bucket").sortWithinPartitions("part", "bucket"), "brown-lists")
+    by_bucket = packed.repartition("part", "bucket").sortWithinPartitions("part", "bucket")
+    return stored(by_bucket.mapInArrow(merge, LISTS), "brown-lists")
 
 
 class _Classes:
@@ -288,7 +322,6 @@ def neighbours(lists: DataFrame, folder: str, buckets: int, k: int | None) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told, matrix = _classes_of(folder), np.zeros((GROUPS, GROUPS), np.int64)
-        unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
         names = ["bucket", "data", "cells"]
         kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()))
 
@@ -306,30 +339,28 @@ def neighbours(lists: DataFrame, folder: str, buckets: int, k: int | None) -> Da
             if k is not None:
                 total[:, ~_moves(bucket, buckets, k)] = 0
                 at = np.flatnonzero(total)
-                data = pack(at.astype("<u4").tobytes() + total.reshape(-1)[at].astype("<i8").tobytes())
+                data = _pack(at, total.reshape(-1)[at])
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((bucket, data, None), kinds, strict=True)], names=names)
 
         held: list[tuple[np.ndarray, np.ndarray]] = []
         now, size, total = None, 0, None
         for batch in batches:
-            for part, bucket, side, data in zip(*(batch.column(x) for x in ("part", "bucket", "side", "data")), strict=True):
-                part, bucket, raw = part.as_py(), bucket.as_py(), unpack(data.as_py())
+            for part, bucket, data in zip(*(batch.column(x) for x in ("part", "bucket", "data")), strict=True):
+                part, bucket = part.as_py(), bucket.as_py()
                 if now is not None and (bucket != now or size > ENTRIES):
                     total = summed(held) if total is None else total + summed(held)
                     held, size = [], 0
                     if bucket != now:
                         yield closed(now, total)
                         total = None
-                now, n = bucket, len(raw) // 14
-                local, code = np.frombuffer(raw, "<u2", n), np.frombuffer(raw, "<u4", n, 2 * n)
-                at = (local.astype(np.int64) + side.as_py() * BUCKET) * GROUPS + told.group(part)[code]
-                held.append((at, np.frombuffer(raw, "<i8", n, 6 * n)))
-                size += n
+                now, (key, n) = bucket, _unpack(data.as_py())
+                held.append(((key >> CODE) * GROUPS + told.group(part)[key & ((1 << CODE) - 1)], n))
+                size += len(n)
         if now is not None:
             yield closed(now, summed(held) if total is None else total + summed(held))
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, None, matrix.reshape(-1).tolist()), kinds, strict=True)], names=names)
 
-    return lists.where("data is not null").select("part", "bucket", "side", "data").mapInArrow(run, "bucket long, data binary, cells array<long>")
+    return lists.where("data is not null").select("part", "bucket", "data").mapInArrow(run, "bucket long, data binary, cells array<long>")
 
 
 def _matrix(found: DataFrame, fixed: np.ndarray) -> np.ndarray:
@@ -388,11 +419,13 @@ def best_class(matrix: np.ndarray, own: int, left: np.ndarray, right: np.ndarray
     return int(best_classes(matrix, np.array([own]), np.zeros(len(entry), np.int64), entry, np.concatenate([right, left]))[0])
 
 
-def exchange(pairs: DataFrame, clustered: int, rounds: int = ROUNDS) -> tuple[DataFrame, np.ndarray]:
+def buckets_of(clustered: int) -> int:
+    return max(1, -(-clustered // BUCKET))
+
+
+def exchange(lists: DataFrame, clustered: int, rounds: int = ROUNDS) -> tuple[DataFrame, np.ndarray]:
     """The stored (part, bucket, classes) of ``clustered`` words, and the class bigram matrix."""
-    spark = pairs.sparkSession
-    buckets = max(1, -(-clustered // BUCKET))
-    lists = neighbour_lists(pairs, buckets)
+    spark, buckets = lists.sparkSession, buckets_of(clustered)
     schema = "part long, bucket long, classes binary"
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,7 +443,7 @@ def exchange(pairs: DataFrame, clustered: int, rounds: int = ROUNDS) -> tuple[Da
         matrix = _matrix(found, fixed)
 
         def choose(batches: Iterator[pa.RecordBatch], matrix: np.ndarray = matrix, folder: str = folder, k: int = k) -> Iterator[pa.RecordBatch]:
-            told, unpack = _classes_of(folder), zstandard.ZstdDecompressor().decompress
+            told = _classes_of(folder)
 
             def chosen(bucket: int, total: np.ndarray) -> pa.RecordBatch:
                 classes = told.own(bucket).copy()
@@ -427,9 +460,8 @@ def exchange(pairs: DataFrame, clustered: int, rounds: int = ROUNDS) -> tuple[Da
                     if now is not None and bucket != now:
                         yield chosen(now, total)
                         total[:] = 0
-                    now, raw = bucket, unpack(data)
-                    n = len(raw) // 12
-                    total[np.frombuffer(raw, "<u4", n)] += np.frombuffer(raw, "<i8", n, 4 * n)
+                    now, (at, n) = bucket, _unpack(data)
+                    total[at] += n
             if now is not None:
                 yield chosen(now, total)
 
@@ -441,7 +473,7 @@ def exchange(pairs: DataFrame, clustered: int, rounds: int = ROUNDS) -> tuple[Da
 
 def class_rows(classes: DataFrame, clustered: int, first: int = 0) -> DataFrame:
     """(id, c) of the clustered words from rank ``first`` on."""
-    buckets = max(1, -(-clustered // BUCKET))
+    buckets = buckets_of(clustered)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -477,8 +509,9 @@ def brown_scores(docs: DataFrame, head: int = HEAD) -> DataFrame:
     words = first.column("word").to_numpy().view(np.uint64)
     groups, seen = first.column("group").to_numpy().astype(np.int64), first.column("n").to_numpy()
     beyond = ranked.where(F.col("id") >= len(words)) if v > len(words) + 1 else None
-    pairs = pair_counts(train, words, clustered, None if beyond is None else beyond.where(F.col("n") >= LEAST))
-    classes, matrix = exchange(pairs, clustered)
+    met = None if beyond is None else beyond.where(F.col("n") >= LEAST)
+    lists = neighbour_lists(train, words, clustered, met, buckets_of(clustered))
+    classes, matrix = exchange(lists, clustered)
     class_of = groups.copy()
     top = class_rows(classes, clustered).where(F.col("id") < len(words)).toArrow()  # no more than the head
     class_of[top.column("id").to_numpy()] = top.column("c").to_numpy()
