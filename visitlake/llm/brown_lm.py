@@ -45,8 +45,10 @@ BUCKET, SPAN = 1 << 14, 1 << 10
 FIXED, OPEN = BUCKET * SPAN, -(1 << 62)
 #: Bits of a neighbour in an entry of a list: side, word's place in its bucket, neighbour.
 CODE = 25
-#: Entries of one step of the choice, entries that are added up at once, tokens that are counted at once.
-STEP, ENTRIES, TOKENS = 1 << 14, 1 << 21, 1 << 21
+#: Entries of one step of the choice, entries that are added up at once.
+STEP, ENTRIES = 1 << 14, 1 << 20
+#: Tokens whose words, and whose pairs, are counted at once.
+COUNTED, PAIRED = 1 << 21, 1 << 19
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -89,13 +91,13 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), text_of().alias("text"), held_out(F.col("doc_id")).alias("held_out"))
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Hashes and ending classes of about ``TOKENS`` tokens of whole texts at once."""
+def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes and ending classes of about ``most`` tokens of whole texts at once."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
         for value, group, _, _, _ in tokens(batch.column("text").to_pylist()):
             held.append((value, group))
-            if sum(len(v) for v, _ in held) >= TOKENS:
+            if sum(len(v) for v, _ in held) >= most:
                 yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
                 held = []
     if held:
@@ -106,7 +108,7 @@ def word_counts(train: DataFrame) -> DataFrame:
     """(word, group, n): count and ending class of every training token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for value, group in _gathered(batches):
+        for value, group in _gathered(batches, COUNTED):
             words, first, n = np.unique(value, return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(group[first].astype(np.int32)), pa.array(n)], names=["word", "group", "n"])
 
@@ -209,7 +211,7 @@ def neighbour_lists(train: DataFrame, words: np.ndarray, clustered: int, beyond:
     outside = beyond is not None
 
     def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for value, group in _gathered(batches):
+        for value, group in _gathered(batches, PAIRED):
             code, waits = _codes(known.value, clustered, value, group)
             key = (_after(code, -1 - END_CLASS) + 128) << 32 | (code + 128)
             if outside:
@@ -218,7 +220,7 @@ def neighbour_lists(train: DataFrame, words: np.ndarray, clustered: int, beyond:
             yield _listed((found >> 32) - 128, (found & 0xFFFFFFFF) - 128, n, buckets)
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for value, group in _gathered(batches):
+        for value, group in _gathered(batches, PAIRED):
             code, waits = _codes(known.value, clustered, value, group)
             code = np.where(waits, ~((value & np.uint64((1 << 62) - 1) | np.uint64(1 << 62)).view(np.int64)), code)
             late = np.flatnonzero(waits | _after(waits, False))
