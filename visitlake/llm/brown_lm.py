@@ -39,16 +39,20 @@ GROUPS = CLASSES + ENDINGS + 1
 END_CLASS = GROUPS - 1
 END = np.uint64(0xE703_7ED1_A0B4_28DB)
 #: Words of a bucket, and buckets of a group.
-BUCKET, SPAN = 1 << 14, 1 << 10
-#: A neighbour in a list: its place in its group, or FIXED + ending class. A code of a pair: a rank, or -1 - ending class, or
+BUCKET, SPAN = 1 << 13, 1 << 11
+#: A neighbour in a list: an ending class, or PLACED + its place in its group. A code of a pair: a rank, or -1 - ending class, or
 #: from OPEN down a word by 62 bits of its hash.
-FIXED, OPEN = BUCKET * SPAN, -(1 << 62)
+PLACED, OPEN = 1 << 7, -(1 << 62)
 #: Bits of a neighbour in an entry of a list: side, word's place in its bucket, neighbour.
 CODE = 25
 #: Entries of one step of the choice, entries that are added up at once.
-STEP, ENTRIES = 1 << 14, 1 << 20
+STEP, ENTRIES = 1 << 13, 1 << 20
+#: Counts below this are looked up in the choice.
+COMMON = 1 << 6
 #: Tokens whose words, and whose pairs, are counted at once.
-COUNTED, PAIRED = 1 << 21, 1 << 19
+COUNTED, PAIRED = 1 << 20, 1 << 19
+#: Texts that are cut into tokens at once.
+TEXTS = 512
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -77,7 +81,7 @@ class Places:
 
     def __init__(self, words: np.ndarray):
         order = np.argsort(words)
-        self.words, self.rank = words[order], order
+        self.words, self.rank = words[order], order.astype(np.int32)
 
     def of(self, value: np.ndarray) -> np.ndarray:
         """Rank of each token among the head words, or -1."""
@@ -91,10 +95,16 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), text_of().alias("text"), held_out(F.col("doc_id")).alias("held_out"))
 
 
+def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(a, TEXTS)
+
+
 def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Hashes and ending classes of about ``most`` tokens of whole texts at once."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
-    for batch in batches:
+    for batch in _some(batches):
         for value, group, _, _, _ in tokens(batch.column("text").to_pylist()):
             held.append((value, group))
             if sum(len(v) for v, _ in held) >= most:
@@ -169,7 +179,7 @@ def _listed(a: np.ndarray, b: np.ndarray, n: np.ndarray, buckets: int) -> pa.Rec
         w, e = mine[here], other[here]
         place = e % buckets
         part = np.where(e < 0, 0, place // SPAN)
-        code = np.where(e < 0, FIXED - 1 - e, place % SPAN * BUCKET + e // buckets)
+        code = np.where(e < 0, -1 - e, PLACED + place % SPAN * BUCKET + e // buckets)
         keys.append((part * buckets + w % buckets, (side * BUCKET + w // buckets) << CODE | code))
         counts.append(n[here])
     (list_of, key), m = (np.concatenate(x) for x in zip(*keys, strict=True)), np.concatenate(counts)
@@ -281,17 +291,17 @@ class _Classes:
         if part not in self._kept:
             store, path = _filesystem(self._folder)
             rows = dataset.dataset(path, filesystem=store, format="parquet").to_table(filter=dataset.field("part") == part)
-            found = np.zeros(FIXED + GROUPS, np.uint8)
-            found[FIXED:] = np.arange(GROUPS)
+            found = np.zeros(PLACED + rows.num_rows * BUCKET, np.uint8)
+            found[:GROUPS] = np.arange(GROUPS)
             for bucket, classes in zip(rows.column("bucket").to_pylist(), rows.column("classes").to_pylist(), strict=True):
-                found[bucket % SPAN * BUCKET :][: len(classes)] = np.frombuffer(classes, np.uint8)
+                found[PLACED + bucket % SPAN * BUCKET :][:BUCKET] = np.frombuffer(classes, np.uint8)
             while len(self._kept) > 1:
                 del self._kept[next(iter(self._kept))]
             self._kept[part] = found
         return self._kept[part]
 
     def own(self, bucket: int) -> np.ndarray:
-        at = bucket % SPAN * BUCKET
+        at = PLACED + bucket % SPAN * BUCKET
         return self.group(bucket // SPAN)[at : at + BUCKET]
 
 
@@ -396,15 +406,23 @@ def _best(matrix: np.ndarray, own: np.ndarray, right: np.ndarray, left: np.ndarr
     gain = np.zeros((len(own), CLASSES))
     # without the word: its row and column leave its own class
     for mine, other, m in ((right, left, matrix), (left, right, matrix.T)):
+        cells = np.ascontiguousarray(m[:CLASSES].T)
+        # what so many tokens more add to each cell
+        more = _phi(cells[None] + np.arange(COMMON)[:, None, None]) - _phi(cells)[None]
         w, j = np.nonzero(mine)
         x = mine[w, j]
         for a in range(0, len(w), STEP):
             i, at, count = w[a : a + STEP], j[a : a + STEP], x[a : a + STEP]
-            cell = m[:CLASSES, at].T.copy()
-            cell[np.arange(len(i)), own[i]] -= count
-            cell -= np.where((at == own[i])[:, None], other[i, :CLASSES], 0)
+            add = more[np.minimum(count, COMMON - 1).astype(np.int64), at]
+            here = own[i]
+            kept = np.maximum(cells[at, here] - count, 0)
+            add[np.arange(len(i)), here] = _phi(kept + count) - _phi(kept)
+            odd = np.flatnonzero((at == here) | (count >= COMMON))
+            cell = cells[at[odd]]
+            cell[np.arange(len(odd)), here[odd]] -= count[odd]
+            cell -= np.where((at == here)[odd, None], other[i[odd], :CLASSES], 0)
             cell = np.maximum(cell, 0)
-            add = _phi(cell + count[:, None]) - _phi(cell)
+            add[odd] = _phi(cell + count[odd, None]) - _phi(cell)
             starts = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
             gain[i[starts]] += np.add.reduceat(add, starts, axis=0)
         size = m[:CLASSES].sum(axis=1) - other[:, :CLASSES]
@@ -451,8 +469,8 @@ def exchange(lists: DataFrame, clustered: int, rounds: int = ROUNDS) -> tuple[Da
                 classes = told.own(bucket).copy()
                 right, left = total.reshape(2, BUCKET, GROUPS)
                 seen = np.flatnonzero(right.any(axis=1))  # the words that move: each is followed by something
-                for a in range(0, len(seen), STEP // 4):
-                    w = seen[a : a + STEP // 4]
+                for a in range(0, len(seen), STEP // 2):
+                    w = seen[a : a + STEP // 2]
                     classes[w] = _best(matrix, classes[w].astype(np.int64), right[w], left[w])
                 return pa.RecordBatch.from_arrays([pa.array([bucket // SPAN]), pa.array([bucket]), pa.array([classes.tobytes()], pa.binary())], names=["part", "bucket", "classes"])
 
@@ -527,11 +545,11 @@ def brown_scores(docs: DataFrame, head: int = HEAD) -> DataFrame:
     move = np.log10((matrix + prior) / (matrix.sum(axis=1, keepdims=True) + 1))
     inside = np.log10(tokens_in + words_in + 1)
     base = float(np.log10(n + v + 1))
-    model = spark.sparkContext.broadcast((Places(words), seen.astype(float), class_of, move, inside))
+    model = spark.sparkContext.broadcast((Places(words), seen, class_of.astype(np.uint8), move, inside))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, seen, class_of, move, inside = model.value
-        for batch in batches:
+        for batch in _some(batches):
             out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base_score", "score", "words", "ends", "times", "steps")}
             for value, group, which, a, b in tokens(batch.column("text").to_pylist()):
                 at = places.of(value)
