@@ -18,12 +18,26 @@ def rows():
     return [(i, " ".join(rng.choice(words, rng.integers(0, 60), p=weight))) for i in range(400)] + [(900, None), (901, "never seen never"), (None, "w1 W1")]
 
 
-def model(spark, df, head):
+def train_tokens(df):
+    return sum(len(next(b.tokens([r.text or ""]))[0]) for r in df.where(~b.held_out(F.col("doc_id"))).collect())
+
+
+def test_places():
+    rng = np.random.default_rng(2)
+    for words in (np.zeros(0, np.uint64), np.array([0, (1 << 64) - 1, 5], np.uint64), rng.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2)):
+        asked = np.concatenate([words, words + np.uint64(1), np.array([0, 1, (1 << 64) - 1], np.uint64)])
+        rank = {int(w): i for i, w in enumerate(words)}
+        assert b.Places(words).of(asked).tolist() == [rank.get(int(w), -1) for w in asked]
+
+
+def model(spark, df, share):
     """Class of each clustered word by its hash, and the class bigrams, from the module's own steps."""
     train = df.where(~b.held_out(F.col("doc_id"))).select("doc_id", b.text_of().alias("text"))
     ranked = b.ranked_words(b.word_counts(train))
     top = sorted(ranked.collect(), key=lambda r: r.id)
     assert [r.id for r in top] == list(range(len(top))) and top == sorted(top, key=lambda r: (-r.n, r.word))
+    total = train_tokens(df)
+    head = sum(r.n * share >= total for r in top)
     words = np.array([r.word for r in top[:head]], np.int64).view(np.uint64)
     clustered = sum(r.n >= b.LEAST for r in top)
     beyond = ranked.where((F.col("id") >= head) & (F.col("n") >= b.LEAST)) if len(top) > head else None
@@ -31,8 +45,8 @@ def model(spark, df, head):
     return {top[r.id].word: r.c for r in b.class_rows(classes, clustered).collect()}, matrix
 
 
-@pytest.mark.parametrize("head", [40, b.HEAD])
-def test_every_word_is_clustered(spark, head):
+@pytest.mark.parametrize("share", [100, b.SHARE])
+def test_every_word_is_clustered(spark, share):
     data = rows()
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
     held = {r.doc_id: r.h for r in df.select("doc_id", b.held_out(F.col("doc_id")).alias("h")).collect()}
@@ -42,7 +56,7 @@ def test_every_word_is_clustered(spark, head):
         cut[i] = list(zip(value.view(np.int64).tolist(), group.tolist(), strict=True))
     counts = collections.Counter(w for i, t in cut.items() if not held[i] for w, _ in t)
     end = int(b.END.view(np.int64))
-    classes, matrix = model(spark, df, head)
+    classes, matrix = model(spark, df, share)
     assert set(classes) == {w for w, n in counts.items() if n >= b.LEAST and w != end} and len(classes) > 10 * 40
 
     def of(token):
@@ -61,7 +75,7 @@ def test_every_word_is_clustered(spark, head):
         size[of((w, ending[w]))] += 1
     prior = (inside + 1) / (inside.sum() + b.GROUPS)
     move = (want + prior) / (want.sum(axis=1, keepdims=True) + 1)
-    got = b.brown_scores(df, head=head).collect()
+    got = b.brown_scores(df, share).collect()
     assert len(got) == len(data)
     for r in got:
         t = cut[r.doc_id]
@@ -78,7 +92,7 @@ def test_what_is_broadcast_changes_no_score(spark, monkeypatch):
     """A small head gives the scores of the usual one; most words leave their first class."""
     df = spark.createDataFrame(rows(), "doc_id long, text string").repartition(3)
     want = sorted(b.brown_scores(df).collect(), key=str)
-    for got, r in zip(sorted(b.brown_scores(df, head=40).collect(), key=str), want, strict=True):
+    for got, r in zip(sorted(b.brown_scores(df, 100).collect(), key=str), want, strict=True):
         assert got[:5] == r[:5] and got[5:] == pytest.approx(r[5:])
     train = df.select(b.text_of().alias("text"))
     ranked = b.ranked_words(b.word_counts(train))

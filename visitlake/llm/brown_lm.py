@@ -7,9 +7,9 @@ texts hold ``LEAST`` times or more is assigned by exchange clustering: from the
 round half of the words (by their rank's hash) move against the others' classes. Rarer words, and unseen ones, belong to one of
 ``ENDINGS`` classes by their last two bytes, so every word has a class without a lookup.
 
-Counts cover all training texts and all pairs of neighbours. The ranks of the ``HEAD`` most frequent words (bounded) go to
-the tasks; the other words, however many there are, meet their pairs and their documents in joins by hash, where no
-training word is frequent. What is broadcast changes no result.
+Counts cover all training texts and all pairs of neighbours. The ranks of the frequent words, the head, go to the tasks: those
+that make up one in ``SHARE`` tokens or more, so there are at most ``SHARE``. The other words, however many there are, meet
+their pairs and their documents in joins by hash, where none of them is frequent. What is in the head changes no result.
 
 The pairs are turned, once, into neighbour lists: words are dealt into buckets by their rank, and a bucket's packed lists lie
 together, split by the neighbour's group of buckets. A pass reads the lists where they lie, names the neighbours by
@@ -34,7 +34,8 @@ from visitlake.llm.wordhash import blank_class, blocks, mix, word_hashes
 CLASSES, ENDINGS, ROUNDS = 32, 64, 6
 #: A word that the training texts hold so often is clustered.
 LEAST = 3
-HEAD = 1 << 20
+#: Words that make up at least one in SHARE of the training tokens (no more than SHARE words) go to the tasks.
+SHARE = 1 << 22
 GROUPS = CLASSES + ENDINGS + 1
 END_CLASS = GROUPS - 1
 END = np.uint64(0xE703_7ED1_A0B4_28DB)
@@ -77,18 +78,26 @@ def tokens(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 class Places:
-    """Ranks of the head words."""
+    """Ranks of the head words, looked up by the first bits of their hashes."""
 
     def __init__(self, words: np.ndarray):
         order = np.argsort(words)
-        self.words, self.rank = words[order], order.astype(np.int32)
+        self.words, self.rank = np.append(words[order], np.uint64((1 << 64) - 1)), order.astype(np.int32)
+        self.shift = np.uint64(64 - max(1, len(words).bit_length()))
+        first = np.arange(1 << int(np.uint64(64) - self.shift), dtype=np.uint64) << self.shift
+        self.start = np.searchsorted(words[order], first).astype(np.int32)
 
     def of(self, value: np.ndarray) -> np.ndarray:
         """Rank of each token among the head words, or -1."""
-        if not len(self.words):
-            return np.full(len(value), -1)
-        at = np.minimum(np.searchsorted(self.words, value), len(self.words) - 1)
-        return np.where(self.words[at] == value, self.rank[at], -1)
+        at = self.start[(value >> self.shift).astype(np.int64)]
+        before = np.flatnonzero(self.words[at] < value)
+        while len(before):
+            at[before] += 1
+            before = before[self.words[at[before]] < value[before]]
+        found = (self.words[at] == value) & (at < len(self.rank))
+        out = np.full(len(value), -1)
+        out[found] = self.rank[at[found]]
+        return out
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -200,12 +209,6 @@ def _listed(a: np.ndarray, b: np.ndarray, n: np.ndarray, buckets: int) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
 
-def _codes(places: Places, clustered: int, value: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of a sequence of tokens by the head alone, and which words are outside it."""
-    at = places.of(value)
-    return np.where((at >= 0) & (at < clustered), at, -1 - group), (at < 0) & (group != END_CLASS)
-
-
 def _after(x: np.ndarray, first: int) -> np.ndarray:
     return np.concatenate([[first], x[:-1]])
 
@@ -219,38 +222,43 @@ def neighbour_lists(train: DataFrame, words: np.ndarray, clustered: int, beyond:
     """
     known = train.sparkSession.sparkContext.broadcast(Places(words))
     outside = beyond is not None
+    waiting = ("a", "b", "ga", "gb")
 
-    def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for value, group in _gathered(batches, PAIRED):
-            code, waits = _codes(known.value, clustered, value, group)
+            at = known.value.of(value)
+            code = np.where((at >= 0) & (at < clustered), at, -1 - group)
             key = (_after(code, -1 - END_CLASS) + 128) << 32 | (code + 128)
-            if outside:
-                key = key[~(waits | _after(waits, False))]
-            found, n = np.unique(key, return_counts=True)
-            yield _listed((found >> 32) - 128, (found & 0xFFFFFFFF) - 128, n, buckets)
-
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for value, group in _gathered(batches, PAIRED):
-            code, waits = _codes(known.value, clustered, value, group)
+            waits = (at < 0) & (group != END_CLASS) & outside
+            open_ = waits | _after(waits, False)
+            found, n = np.unique(key[~open_], return_counts=True)
+            lists = _listed((found >> 32) - 128, (found & 0xFFFFFFFF) - 128, n, buckets)
+            if not outside:
+                yield lists
+                continue
+            nothing = [pa.nulls(lists.num_rows, pa.int64())] * 4
+            yield pa.RecordBatch.from_arrays([*lists.columns, *nothing], names=[*lists.schema.names, *waiting])
             code = np.where(waits, ~((value & np.uint64((1 << 62) - 1) | np.uint64(1 << 62)).view(np.int64)), code)
-            late = np.flatnonzero(waits | _after(waits, False))
-            columns = [_after(code, -1 - END_CLASS)[late], code[late], _after(group, END_CLASS)[late], group[late]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "ga", "gb"])
+            late = np.flatnonzero(open_)
+            columns = [pa.array(x[late]) for x in (_after(code, -1 - END_CLASS), code, _after(group, END_CLASS), group)]
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(late), f.type) for f in lists.schema], *columns], names=[*lists.schema.names, *waiting])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield _listed(*(batch.column(x).to_numpy() for x in ("a", "b", "n")), buckets)
 
-    packed = train.select("text").mapInArrow(head, LISTS)
+    packed = train.select("text").mapInArrow(count, LISTS + (", a long, b long, ga long, gb long" if outside else ""))
     if outside:
-        # no training word outside the head is frequent; those below LEAST are in no list and have their ending's code
+        # none of these words is frequent; those below LEAST are in no list and have their ending's code
         named = beyond.select(_open_code(F.col("word")).alias("_w"), F.col("id").alias("_id"))
-        late = stored(train.select("text").mapInArrow(rest, "a long, b long, ga long, gb long"), "brown-late")
+        packed = stored(packed, "brown-counted")
+        late = packed.where("a is not null").select(*waiting)
         for side in ("a", "b"):
             met = late.where(F.col(side) <= OPEN).join(named, F.col(side) == F.col("_w"), "left")
             met = met.withColumn(side, F.coalesce(F.col("_id"), -1 - F.col(f"g{side}"))).drop("_w", "_id")
             late = late.where(F.col(side) > OPEN).unionByName(met)
-        packed = packed.unionByName(late.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).mapInArrow(pack, LISTS))
+        late = late.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).mapInArrow(pack, LISTS)
+        packed = packed.where("a is null").drop(*waiting).unionByName(late)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -506,13 +514,13 @@ def class_rows(classes: DataFrame, clustered: int, first: int = 0) -> DataFrame:
     return classes.select("bucket", "classes").mapInArrow(run, "id long, c int")
 
 
-def brown_scores(docs: DataFrame, head: int = HEAD) -> DataFrame:
+def brown_scores(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     The model learns from the rows that are not ``held_out``. Null counts as empty; an empty text is one
     end token. Repeated rows count and are scored each. Without training rows all counts are 0 and only the
     smoothing remains. Words are told apart by a 64-bit hash, by 62 bits of it among the neighbours of words outside
-    the head. ``head``, at most ``HEAD``: words that go to the tasks; it changes no result. Other columns are ignored.
+    the head. ``share`` bounds the words that go to the tasks; it changes no result. Other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -524,8 +532,8 @@ def brown_scores(docs: DataFrame, head: int = HEAD) -> DataFrame:
     end_count = int(counts.where(F.col("word") == int(END.view(np.int64))).agg(F.sum("n")).first()[0] or 0)
     ranked = ranked_words(counts)
     clustered = ranked.where(F.col("n") >= LEAST).count()
-    # bounded by a parameter
-    first = ranked.where(F.col("id") < min(head, HEAD)).select("id", "word", "group", "n").toArrow().sort_by("id")
+    # no more than ``share`` words
+    first = ranked.where(F.col("n") >= -(-n // share)).select("id", "word", "group", "n").toArrow().sort_by("id")
     words = first.column("word").to_numpy().view(np.uint64)
     groups, seen = first.column("group").to_numpy().astype(np.int64), first.column("n").to_numpy()
     beyond = ranked.where(F.col("id") >= len(words)) if v > len(words) + 1 else None
