@@ -34,8 +34,8 @@ from visitlake.llm.wordhash import blank_class, blocks, mix, word_hashes
 CLASSES, ENDINGS, ROUNDS = 32, 64, 6
 #: A word that the training texts hold so often is clustered.
 LEAST = 3
-#: Words that make up at least one in SHARE of the training tokens (no more than SHARE words) go to the tasks.
-SHARE = 1 << 22
+#: Words that make up at least one in SHARE of the training tokens (at most SHARE words, 21 bytes each) go to the tasks.
+SHARE = 1 << 24
 GROUPS = CLASSES + ENDINGS + 1
 END_CLASS = GROUPS - 1
 END = np.uint64(0xE703_7ED1_A0B4_28DB)
