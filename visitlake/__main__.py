@@ -31,6 +31,9 @@ def parse(argv=None) -> argparse.Namespace:
     p.add_argument("--key-type", choices=("bigint", "string"), default="bigint", help="type of the join keys")
     p.add_argument("--date-from")
     p.add_argument("--date-to")
+    p.add_argument("--condition", action="append", default=[], metavar="FROM/TO", help="time range of the logs endpoint (repeatable; an end may be empty)")
+    p.add_argument("--operator", choices=("OR", "AND"), default="OR", help="how the conditions combine")
+    p.add_argument("--corrupt", choices=("fail", "drop"), default="fail", help="what becomes of malformed JSON records")
     p.add_argument("--as-of", help="end of the visitor report's trailing year (default: today)")
     p.add_argument("--zone", default=None, help="time zone of the conversion report")
     p.add_argument("--out", required=True, help="output folder (JSON lines)")
@@ -47,12 +50,14 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         key, value = pair.split("=", 1)
         options.setdefault(name, {})[key] = value
     common = dict(item.split("=", 1) for item in args.option)
-    t = load_tables(spark, args.format, paths, options=options, common_options=common, key_type=args.key_type)
+    t = load_tables(spark, args.format, paths, options=options, common_options=common, key_type=args.key_type, corrupt=args.corrupt)
     if args.endpoint == "visitors":
         df = api.visitors(t, args.date_from, args.date_to, as_of=args.as_of)
     elif args.endpoint == "conversions":
         kw = {"zone": args.zone} if args.zone else {}
         df = api.conversions(t, args.date_from, args.date_to, **kw)
+    elif args.endpoint == "logs" and args.condition:
+        df = api.logs(t, [[x or None for x in c.split("/", 1)] for c in args.condition], args.operator)
     else:
         df = getattr(api, args.endpoint)(t)
     write_json(df, args.out, mode=args.mode)

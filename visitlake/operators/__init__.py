@@ -10,6 +10,7 @@ from visitlake.operators.conversions import (
     recent_source_conversions,
 )
 from visitlake.operators.dims import join_dimension, salted_join
+from visitlake.operators.intervals import filter_time_condition_table
 from visitlake.operators.pages import paged_sorted_list
 from visitlake.operators.paths import (
     campaign_by_url_params,
@@ -41,6 +42,7 @@ __all__ = [
     "conversions_by_date",
     "conversions_by_datetime",
     "filter_outer_timestamp",
+    "filter_time_condition_table",
     "filter_time_conditions",
     "flatten_sessions",
     "join_dimension",

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from visitlake.operators.dims import DEFAULT_MAX_BROADCAST_ROWS, join_dimension
 from visitlake.operators.pages import DEFAULT_PAGE_SIZE, paged_sorted_list, prefix_bucket
+from visitlake.operators.ranks import sorted_list_with_repeats
 from visitlake.operators.skew import DEFAULT_MAX_HOT_KEYS, heavy_keys, split_keys
 
 # Order ids are bucketed in ranges of this width for paging (ids are unique,
@@ -85,8 +86,8 @@ def pages_per_user(
     list with repeats is a sequence of runs, so it is paged from per
     (user, url) counts -- a partial aggregate, however hot the user or the
     URL -- and rebuilt with ``array_repeat``; no per-visit window or shuffle
-    of visits is needed. The running offset window sees one row per distinct
-    URL of a user. Users proven to have at most one page of visits (bounded
+    of visits is needed. Offsets come from range partitions of (user, URL) (``ranks``), so no
+    task holds all URLs of a user. Users proven to have at most one page of visits (bounded
     pre-pass) skip the runs: one ``collect_list`` each. A user whose pages
     are all null stays, with counts 0 and an empty list. Counts stand on page 0 only;
     ``page_counts_per_user`` gives them alone.
@@ -116,30 +117,5 @@ def _pages_one_list(visits: DataFrame) -> DataFrame:
 
 
 def _pages_from_runs(visits: DataFrame, page_size: int) -> DataFrame:
-    runs = visits.groupBy("userId", "landing_url").agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    by_user = Window.partitionBy("userId")
-    before = F.sum("_n").over(by_user.orderBy("landing_url").rowsBetween(Window.unboundedPreceding, -1))
-    runs = runs.select(
-        "userId",
-        "landing_url",
-        "_n",
-        F.coalesce(before, F.lit(0)).alias("_before"),
-        F.sum("_n").over(by_user).alias("_total"),
-        F.count(F.lit(1)).over(by_user).alias("_distinct"),
-    )
-    ps = F.lit(page_size)
-    first_page = F.floor(F.col("_before") / ps)
-    last_page = F.floor((F.col("_before") + F.col("_n") - 1) / ps)
-    spans = runs.withColumn("page", F.explode(F.sequence(first_page, last_page)))
-    lo = F.greatest(F.col("_before"), F.col("page") * ps)
-    hi = F.least(F.col("_before") + F.col("_n"), (F.col("page") + 1) * ps)
-    spans = spans.withColumn("_copies", (hi - lo).cast("int"))
-    pages = spans.groupBy("userId", F.col("page").cast("int").alias("page")).agg(
-        F.array_sort(F.collect_list(F.struct("landing_url", "_copies"))).alias("_runs"),
-        F.max(F.when(F.col("page") == 0, F.col("_total"))).cast("bigint").alias("visit_count"),
-        F.max(F.when(F.col("page") == 0, F.col("_distinct"))).cast("bigint").alias("page_count"),
-    )
-    visited = F.flatten(F.transform("_runs", lambda r: F.array_repeat(r["landing_url"], r["_copies"])))
-    return pages.select("userId", "page", visited.alias("pages_visited"), "visit_count", "page_count")
+    out = sorted_list_with_repeats(visits, ["userId"], F.col("landing_url"), "pages_visited", page_size, "visit_count", "page_count")
+    return out.select("userId", "page", "pages_visited", "visit_count", "page_count")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from visitlake.operators.pages import DEFAULT_PAGE_SIZE as PAGE
 from visitlake.plans import registry as R
+from visitlake.plans.primitives import REPEATS_PAGE
 
 _LOCAL_ZONE = R.ZONE
 
@@ -236,6 +237,19 @@ WHERE ("timestamp" >= TIMESTAMP '2024-01-05' AND "timestamp" <= TIMESTAMP '2024-
     + """SELECT DISTINCT * FROM flat
 WHERE ("timestamp" >= TIMESTAMP '2024-01-05' AND "timestamp" <= TIMESTAMP '2024-01-08')
   AND ("timestamp" >= TIMESTAMP '2024-01-07' AND "timestamp" <= TIMESTAMP '2024-01-10')""",
+    "filter_time_condition_table": _with(NAMED_CAMPAIGN, FLAT)
+    + f"""SELECT DISTINCT f.* FROM flat f
+WHERE EXISTS (SELECT 1 FROM t_purchases p WHERE f."timestamp" >= p."timestamp" AND f."timestamp" <= p."timestamp" + INTERVAL {R.AFTER_SECONDS} SECOND)""",
+    "filter_time_condition_table_and": _with(
+        NAMED_CAMPAIGN,
+        FLAT,
+        """spans AS (SELECT min("timestamp") AS lo, max("timestamp") AS hi FROM t_purchases WHERE userId IS NOT NULL GROUP BY userId
+  HAVING min("timestamp") < TIMESTAMP '2024-01-10' AND max("timestamp") > TIMESTAMP '2024-01-20')""",
+    )
+    + """SELECT DISTINCT * FROM flat
+WHERE "timestamp" >= (SELECT max(lo) FROM spans) AND "timestamp" <= (SELECT min(hi) FROM spans)""",
+    "load_sampled_schema": _with() + """SELECT "timestamp", source_id, userId, referrer, landing_url, utm_source FROM t_logs""",
+    "variant_log_paths_by_utm": _paths(NAMED_UTM),
     "filter_outer_timestamp": _with(NAMED_CAMPAIGN, FLAT, OUTER) + "SELECT * FROM outer_rows",
     "rebuild_sessions": _with(NAMED_CAMPAIGN, FLAT, OUTER)
     + """SELECT campaign_name,
@@ -366,13 +380,17 @@ WHERE rn = 1""",
     + f"""SELECT userId, "timestamp", CAST({_local('"timestamp"')} AS DATE) AS local_date FROM t_logs""",
     "date_format_second": _with()
     + f"""SELECT userId, "timestamp", strftime({_local('"timestamp"')}, '%Y-%m-%d %H:%M:%S') AS date_time FROM t_logs""",
-    "struct_last_element": _with(
-        NAMED_CAMPAIGN,
-        f"""ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY {PATH_KEYS} ORDER BY "timestamp") AS rn FROM named)""",
-    )
-    + f"""SELECT {PATH_KEYS}, {_page()} AS page, max("timestamp") AS last_entry_ts
-FROM ranked GROUP BY {PATH_KEYS}, {_page()}""",
+    "struct_last_element": _with(NAMED_CAMPAIGN)
+    + f"""SELECT {PATH_KEYS}, list_sort(list("timestamp"))[-1] AS last_entry_ts FROM named GROUP BY {PATH_KEYS}""",
+    "agg_collect_repeats_paged": _with()
+    + f"""SELECT source_id, referrer, CAST((rn - 1) // {REPEATS_PAGE} AS INTEGER) AS page, list(landing_url ORDER BY landing_url) AS urls,
+       CAST(max(total) FILTER (rn <= {REPEATS_PAGE}) AS BIGINT) AS url_count, CAST(max(d) FILTER (rn <= {REPEATS_PAGE}) AS BIGINT) AS distinct_urls
+FROM (SELECT source_id, referrer, landing_url,
+             row_number() OVER (PARTITION BY source_id, referrer ORDER BY landing_url) AS rn,
+             count(*) OVER (PARTITION BY source_id, referrer) AS total,
+             count(DISTINCT landing_url) OVER (PARTITION BY source_id, referrer) AS d
+      FROM t_logs WHERE landing_url IS NOT NULL)
+GROUP BY 1, 2, 3""",
     "url_list_explode_join": _with(FIRST_CAMPAIGN)
     + """SELECT l.userId, l."timestamp", l.landing_url, f.uuid
 FROM t_logs l LEFT JOIN first_campaign f ON lower(l.landing_url) = f.url""",

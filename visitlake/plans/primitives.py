@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from visitlake.functions import local_time, seconds_text
-from visitlake.operators import campaign_url_map, latest_per_key, log_paths_by_campaign, sessionize
+from visitlake.operators import campaign_url_map, latest_per_key, named_by_campaign, sessionize
 from visitlake.operators.dims import join_dimension
-from visitlake.operators.pages import paged_sorted_list, prefix_bucket
-from visitlake.operators.paths import filter_time_conditions
+from visitlake.operators.pages import DEFAULT_PAGE_SIZE
+from visitlake.operators.paths import PATH_KEYS, filter_time_conditions
+from visitlake.operators.ranks import sorted_list_with_repeats
 from visitlake.plans.registry import CONDITIONS, ZONE, _t, q_flatten_sessions, q_orders_per_user
 from visitlake.sources import preview
 from visitlake.streaming import stream_visitors_by_source_date
 
 
+REPEATS_PAGE = 100  # of agg_collect_repeats_paged
+
+
 def p_filter_not_null_user(spark, sf_dir):
     return _t(spark, sf_dir).logs.where(F.col("userId").isNotNull()).select("userId", "timestamp", "source_id")
 
@@ -37,10 +41,14 @@ def p_agg_count_distinct(spark, sf_dir):
 
 def p_agg_collect_sorted(spark, sf_dir):
     pairs = _t(spark, sf_dir).logs.select("source_id", "landing_url").distinct()
-    return paged_sorted_list(
-        pairs, ["source_id"], F.col("landing_url"), prefix_bucket("landing_url"), "urls",
-        total_name="url_count", fine_bucket=F.col("landing_url"),
-    )
+    out = sorted_list_with_repeats(pairs, ["source_id"], F.col("landing_url"), "urls", DEFAULT_PAGE_SIZE, "url_count")
+    return out.select("source_id", "page", "urls", "url_count")
+
+
+def p_agg_collect_repeats_paged(spark, sf_dir):
+    """Every visited URL of a source, repeats kept, in pages of ``REPEATS_PAGE``: most groups have many pages."""
+    logs = _t(spark, sf_dir).logs
+    return sorted_list_with_repeats(logs, ["source_id", "referrer"], F.col("landing_url"), "urls", REPEATS_PAGE, "url_count", "distinct_urls")
 
 
 def p_window_lag_gap(spark, sf_dir):
@@ -70,11 +78,10 @@ def p_date_format_second(spark, sf_dir):
 
 def p_struct_last_element(spark, sf_dir):
     t = _t(spark, sf_dir)
-    paths = log_paths_by_campaign(t.logs, t.campaigns)
-    return paths.select(
-        "userId", "source_id", "referrer", "landing_url", "campaign_name", "page",
-        F.element_at("full_session", -1).getField("timestamp").alias("last_entry_ts"),
-    )
+    named = named_by_campaign(t.logs, t.campaigns)
+    entry = F.struct("timestamp", *[F.col(c).alias(f"{c}_") for c in PATH_KEYS])
+    # the last element of a group's sorted list is its greatest one: a partial aggregate, whatever the list's size
+    return named.groupBy(*PATH_KEYS).agg(F.max(entry).getField("timestamp").alias("last_entry_ts"))
 
 
 def p_url_list_explode_join(spark, sf_dir):
@@ -111,6 +118,7 @@ PRIMITIVES = {
     "join_left_dim_unmatched": p_join_left_dim_unmatched,
     "agg_count_distinct": p_agg_count_distinct,
     "agg_collect_sorted": p_agg_collect_sorted,
+    "agg_collect_repeats_paged": p_agg_collect_repeats_paged,
     "window_lag_gap": p_window_lag_gap,
     "window_running_session": p_window_running_session,
     "top1_per_user": p_top1_per_user,

@@ -22,6 +22,7 @@ from visitlake.operators import (
     conversions_by_date,
     conversions_by_datetime,
     filter_outer_timestamp,
+    filter_time_condition_table,
     filter_time_conditions,
     last_touch_attribution,
     last_touch_conversions,
@@ -46,8 +47,8 @@ from visitlake.operators import (
     visits_by_user_source_date,
 )
 from visitlake.session import ensure_checkpoint_dir
-from visitlake.sources import json_records, load_tables, testdata
-from visitlake.sources.tables import SCHEMAS
+from visitlake.sources import document_columns, documents, json_records, load_sampled, load_tables, testdata
+from visitlake.sources.tables import SCHEMAS, normalise
 
 # Fixed parameters of the registered queries (the oracle SQL uses the same).
 AS_OF = "2024-02-01"
@@ -57,6 +58,7 @@ RANGE_END = "2024-01-20 00:00:00"
 DATE_START = "2024-01-05"
 DATE_END = "2024-01-20"
 CONDITIONS = [{"dateFrom": "2024-01-05", "dateTo": "2024-01-08"}, {"dateFrom": "2024-01-07", "dateTo": "2024-01-10"}]
+AFTER_SECONDS = 20  # of the conditions after purchases
 OUTER_START = "2024-01-05"
 OUTER_END = "2024-01-08"
 
@@ -205,6 +207,48 @@ def q_load_tables(spark, sf_dir):
     )
 
 
+def q_filter_time_condition_table(spark, sf_dir):
+    """O16 with a condition for every purchase: the entries from a purchase on until ``AFTER_SECONDS`` later."""
+    bought = _t(spark, sf_dir, purchases=True).orders.select(F.col("timestamp").alias("dateFrom"))
+    until = F.col("dateFrom") + F.make_dt_interval(secs=F.lit(AFTER_SECONDS))
+    return filter_time_condition_table(q_flatten_sessions(spark, sf_dir), bought.withColumn("dateTo", until))
+
+
+def q_filter_time_condition_table_and(spark, sf_dir):
+    """O16, AND: the entries between the newest first purchase and the oldest last purchase of any user."""
+    orders = _t(spark, sf_dir, purchases=True).orders.where(F.col("userId").isNotNull())
+    spans = orders.groupBy("userId").agg(F.min("timestamp").alias("dateFrom"), F.max("timestamp").alias("dateTo")).where("dateFrom < timestamp_ntz '2024-01-10' and dateTo > timestamp_ntz '2024-01-20'")
+    return filter_time_condition_table(q_flatten_sessions(spark, sf_dir), spans, "AND")
+
+
+def _log_documents(spark, sf_dir) -> str:
+    """The logs as a document store would hold them: JSON lines in which null fields are absent, every fifth source is text, and
+    some lines are cut off."""
+    logs = _t(spark, sf_dir).logs
+    fields = [F.col(f.name).cast("string").alias(f.name) if f.name == "timestamp" else F.col(f.name) for f in logs.schema.fields]
+    plain = F.to_json(F.struct(*fields))
+    text = F.to_json(F.struct(*[F.col("source_id").cast("string").alias("source_id") if f.name == "source_id" else x for f, x in zip(logs.schema.fields, fields, strict=True)]))
+    lines = logs.select(F.when(F.second("timestamp") % 5 == 0, text).otherwise(plain).alias("value"), F.second("timestamp").alias("s"))
+    broken = lines.where("s = 7").select(F.substring("value", 1, 30).alias("value"))
+    path = f"{ensure_checkpoint_dir(spark)}/documents-{uuid4().hex}"
+    lines.select("value").unionByName(broken).write.text(path)
+    return path
+
+
+def q_load_sampled_schema(spark, sf_dir):
+    """The log documents with a schema sampled from them; sources of mixed types are text, broken lines are left out."""
+    got = load_sampled(spark, _log_documents(spark, sf_dir), corrupt="drop")
+    return normalise(got, SCHEMAS["logs"])
+
+
+def q_variant_log_paths_by_utm(spark, sf_dir):
+    """O9 over documents kept as one VARIANT column in (shredded) Parquet; rows without ``utm_source`` have no such field."""
+    path = f"{ensure_checkpoint_dir(spark)}/variants-{uuid4().hex}"
+    documents(spark, _log_documents(spark, sf_dir), "drop").select("doc").write.parquet(path)
+    types = {f.name: "string" if f.name == "timestamp" else f.dataType.simpleString() for f in SCHEMAS["logs"].fields}
+    return log_paths_by_utm(normalise(document_columns(spark.read.parquet(path), types), SCHEMAS["logs"]))
+
+
 def q_order_counts_per_user(spark, sf_dir):
     t = _t(spark, sf_dir)
     return order_counts_per_user(t.users, t.orders)
@@ -296,6 +340,10 @@ QUERIES: dict[str, Query] = {
     "last_touch_conversions": q_last_touch_conversions,        # I2 (report)
     "session_summary": q_session_summary,                      # I3
     "session_paths": q_session_paths,                          # I3 (paths)
+    "filter_time_condition_table": q_filter_time_condition_table,  # O16 (any number of conditions, OR)
+    "filter_time_condition_table_and": q_filter_time_condition_table_and,  # O16 (any number of conditions, AND)
+    "load_sampled_schema": q_load_sampled_schema,              # O21 (sampled schema)
+    "variant_log_paths_by_utm": q_variant_log_paths_by_utm,    # O9, O19 (fields that vary by document)
     "order_counts_per_user": q_order_counts_per_user,          # O1 (summary)
     "page_counts_per_user": q_page_counts_per_user,            # O2 (summary)
     "path_summary_by_campaign": q_path_summary_by_campaign,    # O8 (summary)

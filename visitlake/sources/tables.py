@@ -10,6 +10,8 @@ bigint, or text with ``key_type="string"``.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import and_
 from typing import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,6 +56,9 @@ SCHEMAS: Mapping[str, T.StructType] = {
 OPTIONAL_COLUMNS = ("utm_source",)
 KEY_COLUMNS = ("userId", "orderId", "source_id", "uuid")
 
+# What becomes of malformed JSON records.
+JSON_MODES = {"fail": "FAILFAST", "drop": "DROPMALFORMED"}
+
 # Text times with a zone offset, and epoch seconds written as text.
 _OFFSET = r"\d\d:\d\d.*(Z|[+-]\d\d:?\d\d)$"
 _EPOCH = r"^-?\d{5,}(\.\d+)?$"
@@ -129,6 +134,16 @@ def normalise(df: DataFrame, schema: T.StructType, key_type: str = "bigint") ->
     return df.select(*cols)
 
 
+def _require_fields(name: str, raw: DataFrame, required: list[str]) -> None:
+    """Raise ``ValueError`` if the records of ``raw``, if any, all lack one of the required fields."""
+    there = [F.col(f"`{c}`").isNotNull() for c in required]
+    if raw.where(reduce(and_, there)).take(1):
+        return
+    lacking = [c for c, present in zip(required, there, strict=True) if not raw.where(present).take(1)]
+    if lacking and raw.select(*[F.col(f"`{c}`") for c in raw.columns]).take(1):
+        raise ValueError(f"{name}: no record has the required fields {lacking}")
+
+
 def load_tables(
     spark: SparkSession,
     fmt: str,
@@ -137,6 +152,7 @@ def load_tables(
     common_options: Mapping[str, str] | None = None,
     formats: Mapping[str, str] | None = None,
     key_type: str = "bigint",
+    corrupt: str = "fail",
 ) -> Tables:
     """Load the five collections from any Spark source.
 
@@ -145,17 +161,25 @@ def load_tables(
     reader; ``formats[name]`` overrides ``fmt`` for one table. Reads are lazy;
     only the columns an operator uses are scanned. ``key_type="string"`` keeps
     the join keys as text (uuids, document ids). JSON is read with a schema of text columns, so it is
-    not read to infer one; an absent JSON column is null. Other sources state their columns.
+    not read to infer one. A malformed JSON record fails the read (``corrupt="fail"``) or is left out
+    (``corrupt="drop"``); a required field that no record has raises ``ValueError``, found by a probe that stops at
+    the first complete record. Other sources state their columns.
     """
+    if corrupt not in JSON_MODES:
+        raise ValueError(f"corrupt must be one of {sorted(JSON_MODES)}, not {corrupt!r}")
     paths = paths or {}
     options = options or {}
     frames = {}
     for name, schema in SCHEMAS.items():
         source = (formats or {}).get(name, fmt)
-        reader = spark.read.format(source).options(**(common_options or {})).options(**options.get(name, {}))
+        reader = spark.read.format(source)
         if source == "json":
-            reader = reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields]))
+            text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+            reader = reader.schema(text).option("mode", JSON_MODES[corrupt])
+        reader = reader.options(**(common_options or {})).options(**options.get(name, {}))
         path = paths.get(name)
         raw = reader.load(path) if path is not None else reader.load()
+        if source == "json":
+            _require_fields(name, raw, [f.name for f in schema.fields if not f.nullable])
         frames[name] = normalise(raw, schema, key_type)
     return Tables(**frames)
