@@ -248,6 +248,9 @@ WHERE EXISTS (SELECT 1 FROM t_purchases p WHERE f."timestamp" >= p."timestamp" A
     )
     + """SELECT DISTINCT * FROM flat
 WHERE "timestamp" >= (SELECT max(lo) FROM spans) AND "timestamp" <= (SELECT min(hi) FROM spans)""",
+    "load_document_dump": _with()
+    + f"""SELECT date_trunc('millisecond', "timestamp") AS "timestamp", source_id, userId, referrer, landing_url, utm_source FROM t_logs
+WHERE date_trunc('millisecond', "timestamp") {LOCAL_RANGE}""",
     "load_sampled_schema": _with() + """SELECT "timestamp", source_id, userId, referrer, landing_url, utm_source FROM t_logs""",
     "variant_log_paths_by_utm": _paths(NAMED_UTM),
     "filter_outer_timestamp": _with(NAMED_CAMPAIGN, FLAT, OUTER) + "SELECT * FROM outer_rows",

@@ -48,6 +48,7 @@ from visitlake.operators import (
 )
 from visitlake.session import ensure_checkpoint_dir
 from visitlake.sources import document_columns, documents, json_records, load_sampled, load_tables, testdata
+from visitlake.sources.dumps import read_dump, write_dump, write_dump_index
 from visitlake.sources.tables import SCHEMAS, normalise
 
 # Fixed parameters of the registered queries (the oracle SQL uses the same).
@@ -249,6 +250,15 @@ def q_variant_log_paths_by_utm(spark, sf_dir):
     return log_paths_by_utm(normalise(document_columns(spark.read.parquet(path), types), SCHEMAS["logs"]))
 
 
+def q_load_document_dump(spark, sf_dir):
+    """The logs of a time range, from a collection dump that is indexed by time: files are split, blocks outside the range are not read."""
+    path = f"{ensure_checkpoint_dir(spark)}/dump-{uuid4().hex}"
+    write_dump(_t(spark, sf_dir).logs, path)
+    write_dump_index(spark, path, on=["timestamp"], every=1 << 16)
+    logs = read_dump(spark, path, SCHEMAS["logs"], split_bytes=1 << 18)
+    return logs.where(F.col("timestamp").between(F.lit(RANGE_START).cast("timestamp_ntz"), F.lit(RANGE_END).cast("timestamp_ntz")))
+
+
 def q_order_counts_per_user(spark, sf_dir):
     t = _t(spark, sf_dir)
     return order_counts_per_user(t.users, t.orders)
@@ -342,6 +352,7 @@ QUERIES: dict[str, Query] = {
     "session_paths": q_session_paths,                          # I3 (paths)
     "filter_time_condition_table": q_filter_time_condition_table,  # O16 (any number of conditions, OR)
     "filter_time_condition_table_and": q_filter_time_condition_table_and,  # O16 (any number of conditions, AND)
+    "load_document_dump": q_load_document_dump,                # O21 (collection dump)
     "load_sampled_schema": q_load_sampled_schema,              # O21 (sampled schema)
     "variant_log_paths_by_utm": q_variant_log_paths_by_utm,    # O9, O19 (fields that vary by document)
     "order_counts_per_user": q_order_counts_per_user,          # O1 (summary)
