@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from visitlake.llm.common import split_join, stored, text_of
 
-#: A line on so many distinct sites is boilerplate.
-MIN_SITES = 10
+#: A line on half of all distinct sites is boilerplate, but not below the first and always from the second number on.
+FEW_SITES, MIN_SITES = 3, 10
 #: log2 of the sketch's registers: a standard error of 1.04 / sqrt(2^12), 1.6 percent.
 LG_K = 12
 #: Estimates within this share of the threshold (12 standard errors) are counted exactly.
@@ -31,6 +31,12 @@ def line_of(line: Column) -> Column:
     return F.trim(line)
 
 
+def sites_needed(docs: DataFrame, site: str = "source") -> int:
+    """Distinct sites from which a line of ``docs`` is boilerplate: half of them, at least ``FEW_SITES`` and at most ``MIN_SITES``."""
+    n = docs.select(F.coalesce(F.col(site).cast("string"), F.lit("")).alias("s")).distinct().limit(2 * MIN_SITES).count()
+    return min(MIN_SITES, max(FEW_SITES, -(-n // 2)))
+
+
 def boilerplate_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """Hashes of the lines on at least ``min_sites`` sites, with their number of occurrences and the first one.
 
@@ -55,14 +61,16 @@ def boilerplate_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame
     return far.unionByName(close)
 
 
-def drop_boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source") -> DataFrame:
+def drop_boilerplate_lines(docs: DataFrame, min_sites: int | None = None, site: str = "source") -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``; all rows and columns stay.
 
     Adds the struct ``line_dedup`` (n_lines, n_removed). Lines are cut at newlines and
     compared without surrounding spaces; lines that are empty then never go. A null text
     or site is read as empty. Documents may end up empty. Rows with the same doc_id and text
     are treated alike: both keep the first occurrence if one does. An empty table gives no rows.
+    ``min_sites``: distinct sites of a boilerplate line, by ``sites_needed`` if None.
     """
+    min_sites = sites_needed(docs, site) if min_sites is None else min_sites
     text = text_of()
     row_key = F.md5(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
                                 F.coalesce(F.col(site).cast("string"), F.lit("")), text))

@@ -1,7 +1,7 @@
 """DuckDB SQL for the registered queries that SQL can express."""
 
 from visitlake.llm.capture_fim import MIDDLE, PLAIN, PREFIX, SEED, SPM, SUFFIX
-from visitlake.llm.line_dedup import MIN_SITES
+from visitlake.llm.line_dedup import FEW_SITES, MIN_SITES
 from visitlake.llm.table_kmeans import CENTROIDS, DIMENSIONS, ROUNDS
 from visitlake.llm.table_kmeans import SEED as KMEANS_SEED
 
@@ -41,7 +41,7 @@ SQL = {
         WITH c AS (SELECT doc_id, coalesce(source, '') AS site, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
         l AS (SELECT doc_id, site, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM c),
         k AS (SELECT *, trim(line, ' ') AS key FROM l),
-        s AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT site) >= {MIN_SITES}),
+        s AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT site) >= (SELECT least({MIN_SITES}, greatest({FEW_SITES}, ceil(count(DISTINCT site) / 2))) FROM c)),
         m AS (SELECT k.*, s.key IS NOT NULL AS spread, row_number() OVER (PARTITION BY k.key ORDER BY doc_id, pos) AS nth
               FROM k LEFT JOIN s ON k.key = s.key)
         SELECT doc_id, CAST(count(*) AS INT) AS n_lines, CAST(count(*) FILTER (WHERE spread AND nth > 1) AS INT) AS n_removed,

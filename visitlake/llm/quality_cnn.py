@@ -5,8 +5,8 @@ bytes. Their greatest responses within a chunk of two cells (chunks overlap by o
 cell and cover the whole document) feed a hidden layer, whose units are max-pooled over all
 chunks and combined into one probability.
 
-The network is fitted on the driver on a bounded sample of labelled rows (``SAMPLE_ROWS`` of
-at most ``SAMPLE_BYTES``, chosen by hash) and scores every whole text within the
+The network is fitted on the driver on a bounded sample of labelled rows (``SAMPLE_ROWS`` whole texts, in the order of a
+hash, until they have ``SAMPLE_BYTES`` together) and scores every whole text within the
 scan's tasks: no shuffle, memory bounded by the longest text.
 """
 
@@ -26,8 +26,8 @@ from visitlake.llm.wordhash import blocks
 EMBED, WIDTH, STRIDE, FILTERS, HIDDEN = 8, 12, 4, 32, 16
 #: Bytes of a cell; a chunk is two neighbouring cells.
 CELL = 128
-#: Bounds of the fitting sample: rows, and bytes of a row's text.
-SAMPLE_ROWS, SAMPLE_BYTES = 4000, 16_384
+#: Bounds of the fitting sample: rows, and bytes of all their texts (the last text may go beyond).
+SAMPLE_ROWS, SAMPLE_BYTES = 4000, 1 << 26
 EPOCHS, BATCH, RATE, SEED = 10, 32, 0.01, 7
 #: Score from which a document counts as good.
 GOOD = 0.3
@@ -141,18 +141,29 @@ def fold(doc_id: Column, folds: int = 5) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> ByteCnn:
-    """Fit on labelled documents outside fold 0; rows with a null doc_id or quality are left out."""
+def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> ByteCnn:
+    """Fit on labelled documents outside fold 0, on whole texts of any length; rows with a null doc_id or quality are left out.
+
+    The sample: the first ``rows`` labelled documents in the order of a hash, as long as those before have less than ``most_bytes``.
+    """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
     # at most 2 * rows labels: small enough to broadcast whatever the table holds
     chosen = known.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id", "_y").limit(2 * rows)
-    text = text_of()
-    sample = (
-        docs.select("doc_id", text.alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
-        .join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-        .orderBy(F.xxhash64("_id"), "_id", F.xxhash64("text"), "_y").limit(rows).select("text", "_y").collect()
-    )
-    return ByteCnn().fit([r["text"].encode("utf-8") for r in sample], np.array([r["_y"] for r in sample], np.float32))
+    texts = docs.select("doc_id", text_of().alias("text"))
+    sized = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(
+        "_id", "_y", F.xxhash64("text").alias("_h"), F.octet_length("text").cast("long").alias("_n"))
+    kept, used = [], 0
+    for r in sized.orderBy(F.xxhash64("_id"), "_id", "_h", "_y").limit(rows).collect():
+        if used < most_bytes:
+            kept.append((r["_id"], r["_h"], r["_y"]))
+            used += r["_n"]
+    if not kept:
+        return ByteCnn().fit([], np.zeros(0, np.float32))
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    named = F.broadcast(docs.sparkSession.createDataFrame(sorted({k[:2] for k in kept}), f"_id {kind}, _h long"))
+    found = texts.join(named, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_h"))).select("_id", "_h", "text").distinct().collect()
+    whole = {(r["_id"], r["_h"]): r["text"].encode("utf-8") for r in found}
+    return ByteCnn().fit([whole[k[:2]] for k in kept], np.array([k[2] for k in kept], np.float32))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None) -> DataFrame:
