@@ -64,6 +64,26 @@ def test_fill_in_middle_odd_tables(spark):
         capture_fim.fill_in_middle(documents(spark, [(1, "a1")]), unit="[a-z]").collect()
 
 
+@pytest.mark.parametrize("unit", [capture_fim.UNIT, r"\X", r"\S+\s*|\s+"])
+def test_windows_give_the_ends_of_one_match(unit):
+    import regex
+
+    units = regex.compile(f"({unit})*")
+    for text in [*texts(60, 5), "e\u0301" * 100, "a" * 500 + " b", " " * 300]:
+        for window in (1, 2, 7, 64):
+            assert list(capture_fim.unit_ends(units, text, window)) == units.fullmatch(text).ends(1)
+    with pytest.raises(ValueError, match="tile"):
+        capture_fim.unit_ends(regex.compile("([a-z])*"), "abc1def", 3)
+
+
+def test_very_long_text():
+    import regex
+
+    text = "ab c" * 3_000_000
+    ends = capture_fim.unit_ends(regex.compile(f"({capture_fim.UNIT})*"), text)
+    assert len(ends) == len(text) and ends[0] == 1 and ends[-1] == len(text)
+
+
 # centroid clustering
 
 def brute_clusters(rows, k, rounds, dimensions):

@@ -4,13 +4,15 @@ One fullmatch of ``(unit)*`` by the regex library keeps every repetition of the
 the number of units and the offset behind each, so both cuts are looked up in it and nothing steps through the text.
 A unit is one code point by default; another pattern (a grapheme, a word with its blanks) cuts at that unit's ends.
 
-Memory in a task is that of the match of one text: a start, an end and a Python integer per unit, measured at about
-56 bytes a code point for the longest text. Rows are independent: no shuffle, and a lost task is simply run again.
+The library keeps every capture in memory and gives up on some millions, so a text of over ``WINDOW`` code points is matched window
+by window: all but the last unit of a window count, and the next window begins where that last one does. A task holds one
+window's match and 8 bytes a unit of its longest text. Rows are independent: no shuffle, and a lost task is simply run again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import regex
@@ -24,6 +26,30 @@ PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Of 100: documents left plain, and of the others those with the suffix first.
 PLAIN, SPM = 10, 20
 SEED = 1
+#: Code points that one match covers.
+WINDOW = 1 << 18
+
+
+def unit_ends(units: regex.Pattern, text: str, window: int = WINDOW) -> Sequence[int]:
+    """Offsets behind each unit of ``text``; ``units`` is ``(unit)*``. ``ValueError`` if the units do not tile the text."""
+    if len(text) <= window:
+        match = units.fullmatch(text)
+        if match is None:
+            raise ValueError("the unit's pattern does not tile a text")
+        return match.ends(1)
+    ends, at, size = array("q"), 0, window
+    while at < len(text):
+        last = at + size >= len(text)
+        match = units.fullmatch(text, at) if last else units.match(text, at, at + size)
+        found = match.ends(1) if match else []
+        if not last:
+            del found[-1:]  # what follows it may belong to it
+        if not found and last:
+            raise ValueError("the unit's pattern does not tile a text")
+        ends.extend(found)
+        # a unit as long as the window: look further
+        at, size = (ends[-1], window) if found else (at, 2 * size)
+    return ends
 
 
 def numbers(doc_id: Column, seed: int = SEED) -> list[Column]:
@@ -50,10 +76,7 @@ def fill_in_middle(docs: DataFrame, seed: int = SEED, unit: str = UNIT) -> DataF
             columns = [batch.column(c) for c in ("text", "h1", "h2", "h3", "h4")]
             for cell in zip(*columns, strict=True):
                 text, h1, h2, h3, h4 = (x.as_py() for x in cell)
-                match = units.fullmatch(text)
-                if match is None:
-                    raise ValueError("the unit's pattern does not tile a text")
-                ends = match.ends(1)
+                ends = unit_ends(units, text)
                 n = len(ends)
                 if not text or PREFIX in text or SUFFIX in text or MIDDLE in text or h3 % 100 >= 100 - PLAIN:
                     row = (n, "plain", None, None, text)
