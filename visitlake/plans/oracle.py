@@ -337,7 +337,21 @@ FROM sess GROUP BY userId, session_id""",
        list_sort(list(struct_pack("timestamp" := "timestamp", landing_url := landing_url))) AS path,
        CAST(max(total) FILTER (rn <= {PAGE}) AS BIGINT) AS entries
 FROM ranked GROUP BY userId, session_id, {_page()}""",
+    # fewer users than a sketch's entries: the estimates are exact
+    "returning_visitors": _with()
+    + f"""SELECT source_name, CAST(count(*) FILTER (after) AS BIGINT) AS visitors,
+       CAST(count(*) FILTER (after AND before) AS BIGINT) AS returning, CAST(count(*) FILTER (after AND NOT before) AS BIGINT) AS first_time
+FROM (
+  SELECT s.source_name, l.userId,
+         bool_or(CAST(l."timestamp" AS DATE) BETWEEN DATE '{R.DATE_START}' AND DATE '{R.DATE_END}') AS after,
+         bool_or(CAST(l."timestamp" AS DATE) BETWEEN DATE '{R.BEFORE[0]}' AND DATE '{R.BEFORE[1]}') AS before
+  FROM t_logs l JOIN t_sources s ON l.source_id = s.source_id
+  WHERE l.userId IS NOT NULL
+  GROUP BY 1, 2)
+GROUP BY 1
+HAVING count(*) FILTER (after) > 0""",
 }
+SQL["daily_visitors_incremental"] = SQL["visitors_in_range"]
 
 FIRST_CAMPAIGN = """items AS (
   SELECT trim(p) AS url, uuid

@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visitlake.fixed import REPORT_ZONE, UNKNOWN_CAMPAIGN
+from visitlake.operators.daily import append_logs, daily_results, read_daily, refresh_daily, returning_visitors, stored_visitors_in_range
 from visitlake.operators.paths import flatten_entries
+from visitlake.operators.ranks import stored
 from visitlake.functions import local_time_range, optional_column, trailing_year
 from visitlake.operators import (
     campaign_by_url_params,
@@ -259,6 +261,30 @@ def q_load_document_dump(spark, sf_dir):
     return logs.where(F.col("timestamp").between(F.lit(RANGE_START).cast("timestamp_ntz"), F.lit(RANGE_END).cast("timestamp_ntz")))
 
 
+LATE = "second(timestamp) = 7 and timestamp < timestamp_ntz '2024-01-12'"
+BEFORE = ("2024-01-01", "2024-01-04")
+
+
+def q_daily_visitors_incremental(spark, sf_dir):
+    """O5 from a store of daily results: all logs but the late ones, a refresh, the late ones, and a refresh of their dates."""
+    t = _t(spark, sf_dir)
+    path = f"{ensure_checkpoint_dir(spark)}/daily-{uuid4().hex}"
+    late = F.coalesce(F.expr(LATE), F.lit(False))
+    append_logs(t.logs.where(~late), path, "first")
+    refresh_daily(spark, path, t.sources)
+    append_logs(t.logs.where(late), path, "late")
+    refresh_daily(spark, path, t.sources)
+    return stored_visitors_in_range(read_daily(spark, path), AS_OF, DATE_START, DATE_END)
+
+
+def q_returning_visitors(spark, sf_dir):
+    """Per source the visitors of the report's range, and how many of them came in the days before, from stored daily sketches."""
+    t = _t(spark, sf_dir)
+    visits = t.logs.select(F.to_date("timestamp").alias("date"), "source_id", "userId").where(F.col("date").isNotNull())
+    daily = stored(daily_results(visits, t.sources), "sketches")
+    return returning_visitors(daily, BEFORE, (DATE_START, DATE_END))
+
+
 def q_order_counts_per_user(spark, sf_dir):
     t = _t(spark, sf_dir)
     return order_counts_per_user(t.users, t.orders)
@@ -352,6 +378,8 @@ QUERIES: dict[str, Query] = {
     "session_paths": q_session_paths,                          # I3 (paths)
     "filter_time_condition_table": q_filter_time_condition_table,  # O16 (any number of conditions, OR)
     "filter_time_condition_table_and": q_filter_time_condition_table_and,  # O16 (any number of conditions, AND)
+    "daily_visitors_incremental": q_daily_visitors_incremental,  # O4, O5 (daily results that follow late logs)
+    "returning_visitors": q_returning_visitors,                # O4 over ranges (sketches)
     "load_document_dump": q_load_document_dump,                # O21 (collection dump)
     "load_sampled_schema": q_load_sampled_schema,              # O21 (sampled schema)
     "variant_log_paths_by_utm": q_variant_log_paths_by_utm,    # O9, O19 (fields that vary by document)
