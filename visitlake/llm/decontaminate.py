@@ -37,7 +37,7 @@ HASHES = 64
 DIRECT = 8
 #: Items searched in one pass over the documents.
 BLOCK = 20_000
-FOUND = "doc_id long, item_id long, containment double, item_shingles int, hits int"
+FOUND = "item_id long, containment double, item_shingles int, hits int"
 
 #: One odd multiplier for each hash function: a bijection of the (already mixed) shingle hashes.
 _FACTORS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -139,9 +139,12 @@ def contained_items(
     Null and empty texts, and texts without words, hold nothing and are never found. Repeated rows
     give repeated results. Without documents or items the result is empty.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    return _contained(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), items, containment, words, block)
+
+
+def _contained(rows: DataFrame, items: DataFrame, containment: float = CONTAINMENT, words: int = WORDS, block: int = BLOCK) -> DataFrame:
+    """``contained_items`` of rows (doc_id of any type, text)."""
+    ship(rows.sparkSession)
     ranked = items.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text"))
     total, found = ranked.count(), []
     ends = [None]
@@ -170,19 +173,20 @@ def _search(rows: DataFrame, items: list[tuple[int, str]], containment: float, w
                     if hits >= containment * items.sizes[j] - 1e-9:
                         out.append((doc_id, items.ids[j], hits / int(items.sizes[j]), int(items.sizes[j]), hits))
             columns = list(zip(*out, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
+            kinds = (batch.schema.field("doc_id").type, pa.int64(), pa.float64(), pa.int32(), pa.int32())
             names = ("doc_id", "item_id", "containment", "item_shingles", "hits")
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return rows.mapInArrow(run, FOUND)
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {FOUND}")
 
 
 def without_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` (all columns) without the documents that hold an item; rows with a null doc_id are judged by their text."""
-    key = F.md5(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text_of()))
-    keyed = docs.select(F.struct("*").alias("_row"), F.xxhash64(key).alias("_key"))
-    plain = keyed.select(F.col("_key").alias("doc_id"), F.col("_row")["text"].alias("text"))
+    # all 128 bits, so that no clean document goes with another's hash; a null doc_id is not an empty one
+    key = F.md5(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text_of()))
+    keyed = docs.select(F.struct("*").alias("_row"), key.alias("_key"))
+    plain = keyed.select(F.col("_key").alias("doc_id"), F.coalesce(F.col("_row")["text"].cast("string"), F.lit("")).alias("text"))
     # at most one row for each item and document, far fewer than documents
-    bad = contained_items(plain, items).select(F.col("doc_id").alias("_bad")).distinct()
+    bad = _contained(plain, items).select(F.col("doc_id").alias("_bad")).distinct()
     clean = keyed.join(bad, F.col("_key") == F.col("_bad"), "left_anti")
     return clean.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
