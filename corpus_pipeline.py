@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visitlake.llm import dart_minhash, decontaminate, line_dedup, prefix_bpe, quality_cnn
-from visitlake.llm.common import stored, table
+from visitlake.llm.common import shared_folder, stored, table
 from visitlake.llm.queries import PIECE_MODEL, tokenizer_path
 
 
@@ -44,8 +44,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document, and what they decode to, as digests."""
-    return prefix_bpe.piece_ids(docs, tokenizer_path(PIECE_MODEL))
+    """Digests of every document's ids and of what they decode to; the ids lie in the Parquet table ``tokens_path`` (doc_id, n_tokens, ids)."""
+    path = shared_folder(spark, "pipeline-tokens")
+    prefix_bpe.piece_ids(docs, tokenizer_path(PIECE_MODEL), keep_ids=True).drop("decoded").write.parquet(path)
+    return spark.read.parquet(path).drop("ids").withColumn("tokens_path", F.lit(path))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
