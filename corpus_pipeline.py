@@ -46,7 +46,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of what they decode to; the ids lie in the Parquet table ``tokens_path`` (doc_id, n_tokens, ids)."""
     path = shared_folder(spark, "pipeline-tokens")
-    prefix_bpe.piece_ids(docs, tokenizer_path(PIECE_MODEL), keep_ids=True).drop("decoded").write.parquet(path)
+    prefix_bpe.piece_ids(docs, tokenizer_path(PIECE_MODEL), keep_ids=True, keep_decoded=False).write.parquet(path)
     return spark.read.parquet(path).drop("ids").withColumn("tokens_path", F.lit(path))
 
 

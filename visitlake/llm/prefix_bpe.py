@@ -33,6 +33,8 @@ from visitlake.llm.common import ship, text_of
 BLANK = "▁"
 #: Cuts whose ids a worker keeps, pairs whose compatibility it keeps, longest cut that is kept.
 CACHE, PAIRS, KEPT_CHARS = 1_000_000, 1_000_000, 64
+#: Rows whose results a task holds at once.
+SLICE = 64
 
 _UNKNOWN = 1 << 20  # characters outside the vocabulary stand as _UNKNOWN + their code point
 
@@ -221,21 +223,23 @@ def _table(model: bytes) -> PrefixTable:
     return _LOADED[key]
 
 
-def piece_ids(docs: DataFrame, model_path: str, keep_ids: bool = False) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_tokens, ids_sha256, decoded_sha256; with ``keep_ids`` also ids and decoded.
+def piece_ids(docs: DataFrame, model_path: str, keep_ids: bool = False, keep_decoded: bool | None = None) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_tokens, ids_sha256, decoded_sha256; with ``keep_ids`` also ids, and
+    decoded unless ``keep_decoded`` is False. A task holds the results of ``SLICE`` rows at once.
 
     The whole text is encoded with begin and end ids; null counts as empty, an empty text
     has just these two. Repeated rows give repeated results, other columns are ignored,
     an empty table gives no rows. The model file is read on the driver and sent once
     (its size is bounded by the vocabulary).
     """
+    keep_decoded = keep_ids if keep_decoded is None else keep_decoded
     ship(docs.sparkSession)
     with open(model_path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(model.value)
-        for batch in batches:
+        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
             kept: dict[str, list] = {"ids": [], "decoded": []}
             for text in batch.column("text"):
@@ -246,15 +250,19 @@ def piece_ids(docs: DataFrame, model_path: str, keep_ids: bool = False) -> DataF
                 out["decoded_sha256"].append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
                 if keep_ids:
                     kept["ids"].append(ids)
+                if keep_decoded:
                     kept["decoded"].append(decoded)
             columns = [batch.column("doc_id"), pa.array(out["n_tokens"], pa.int64()), pa.array(out["ids_sha256"], pa.string()), pa.array(out["decoded_sha256"], pa.string())]
             names = ["doc_id", *out]
             if keep_ids:
-                columns += [pa.array(kept["ids"], pa.list_(pa.int32())), pa.array(kept["decoded"], pa.string())]
-                names += list(kept)
+                columns.append(pa.array(kept["ids"], pa.list_(pa.int32())))
+                names.append("ids")
+            if keep_decoded:
+                columns.append(pa.array(kept["decoded"], pa.string()))
+                names.append("decoded")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select("doc_id", text_of().alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return rows.mapInArrow(run, schema + (", ids array<int>, decoded string" if keep_ids else ""))
+    return rows.mapInArrow(run, schema + (", ids array<int>" if keep_ids else "") + (", decoded string" if keep_decoded else ""))
