@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visitlake.llm.common import ship, split_join, stored, text_of
+from visitlake.llm.common import TEXTS, lean, ship, slices, split_join, stored, text_of
 from visitlake.llm.wordhash import mix, shingles, words_by_text
 
 WORDS = 5
@@ -115,7 +115,7 @@ def _features(rows: DataFrame, words: int, counted: bool) -> DataFrame:
     """doc_id, text_key, node (the word sequence), band keys and a short signature (a byte a coordinate) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, TEXTS):
             texts = batch.column("text").to_pylist()
             nodes, bands, short = [], [], []
             for text, w in zip(texts, words_by_text(texts), strict=True):
@@ -133,7 +133,7 @@ def _features(rows: DataFrame, words: int, counted: bool) -> DataFrame:
                 names=["doc_id", "text_key", "node", "keys", "short"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, text_key binary, node binary, keys binary, short binary")
+    return rows.mapInArrow(lean(run), "doc_id long, text_key binary, node binary, keys binary, short binary")
 
 
 def _least(threshold: float, coordinates: int) -> float:
@@ -154,7 +154,7 @@ def _alike(pairs: DataFrame, threshold: float) -> DataFrame:
             out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(agreement)], names=["a", "b", "agreement"])
             yield out.filter(pa.array(agreement >= least))
 
-    return pairs.mapInArrow(run, "a binary, b binary, agreement double")
+    return pairs.mapInArrow(lean(run), "a binary, b binary, agreement double")
 
 
 def _across(crowd: DataFrame, labels: DataFrame, signs: DataFrame, threshold: float, first: int | None) -> DataFrame:
@@ -201,7 +201,7 @@ def _across(crowd: DataFrame, labels: DataFrame, signs: DataFrame, threshold: fl
                         out["agreement"].append(float(agreement[i]))
             yield pa.RecordBatch.from_arrays([pa.array(out["a"], pa.binary()), pa.array(out["b"], pa.binary()), pa.array(out["agreement"], pa.float64())], names=list(out))
 
-    pairs = met.select("band", "main", "ys", "xs").mapInArrow(run, "a binary, b binary, agreement double")
+    pairs = met.select("band", "main", "ys", "xs").mapInArrow(lean(run), "a binary, b binary, agreement double")
     if first:
         ranked = F.slice(F.sort_array(F.collect_list(F.struct("agreement", "b")), False), 1, first)
         pairs = pairs.groupBy("a").agg(ranked.alias("p")).select("a", F.explode("p.b").alias("b"))
@@ -212,7 +212,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: fl
     """The pairs (a, b) of nodes whose texts reach the threshold exactly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, TEXTS):
             left, right = (
                 [weighted_shingles(w, words, counted) for w in words_by_text(batch.column(c).to_pylist())] for c in ("a_text", "b_text")
             )
@@ -222,7 +222,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: fl
     texts = stored(_texts(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), nodes, docs), "near-texts")
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a binary, b binary")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(lean(run), "a binary, b binary")
 
 
 def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -236,14 +236,14 @@ def _long_signatures(texts: DataFrame, words: int, counted: bool) -> DataFrame:
     """(node, sign) of the texts (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, TEXTS):
             found = [
                 dart_signature(*weighted_shingles(w, words, counted), LONG).astype("u1").tobytes()
                 for w in words_by_text(batch.column("text").to_pylist())
             ]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], names=["node", "sign"])
 
-    return texts.mapInArrow(run, "node binary, sign binary")
+    return texts.mapInArrow(lean(run), "node binary, sign binary")
 
 
 def components(links: DataFrame) -> DataFrame:

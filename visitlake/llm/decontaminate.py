@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitlake.llm.common import ship, text_of
+from visitlake.llm.common import TEXTS, lean, ship, slices, text_of
 from visitlake.llm.wordhash import mix, shingles, words_by_text
 
 WORDS = 5
@@ -165,7 +165,7 @@ def _search(rows: DataFrame, items: list[tuple[int, str]], containment: float, w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = index.value
-        for batch in batches:
+        for batch in slices(batches, TEXTS):
             out: list[tuple] = []
             ids = batch.column("doc_id").to_pylist()
             for doc_id, w in zip(ids, words_by_text(batch.column("text").to_pylist()), strict=True):
@@ -177,7 +177,7 @@ def _search(rows: DataFrame, items: list[tuple[int, str]], containment: float, w
             names = ("doc_id", "item_id", "containment", "item_shingles", "hits")
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {FOUND}")
+    return rows.mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {FOUND}")
 
 
 def without_items(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitlake.llm.common import ship, text_of
+from visitlake.llm.common import lean, ship, text_of
 
 BLANK = "▁"
 #: Cuts whose ids a worker keeps, pairs whose compatibility it keeps, longest cut that is kept.
@@ -265,4 +265,4 @@ def piece_ids(docs: DataFrame, model_path: str, keep_ids: bool = False, keep_dec
     rows = docs.select("doc_id", text_of().alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return rows.mapInArrow(run, schema + (", ids array<int>" if keep_ids else "") + (", decoded string" if keep_decoded else ""))
+    return rows.mapInArrow(lean(run), schema + (", ids array<int>" if keep_ids else "") + (", decoded string" if keep_decoded else ""))
