@@ -397,8 +397,14 @@ WHERE rn = 1""",
     + f"""SELECT userId, "timestamp", CAST({_local('"timestamp"')} AS DATE) AS local_date FROM t_logs""",
     "date_format_second": _with()
     + f"""SELECT userId, "timestamp", strftime({_local('"timestamp"')}, '%Y-%m-%d %H:%M:%S') AS date_time FROM t_logs""",
-    "struct_last_element": _with(NAMED_CAMPAIGN)
-    + f"""SELECT {PATH_KEYS}, list_sort(list("timestamp"))[-1] AS last_entry_ts FROM named GROUP BY {PATH_KEYS}""",
+    "struct_last_element": _with(
+        NAMED_CAMPAIGN,
+        f"""ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY {PATH_KEYS} ORDER BY "timestamp") AS rn FROM named)""",
+    )
+    + f"""SELECT {PATH_KEYS}, {_page()} AS page, max("timestamp") AS last_entry_ts,
+       max(max("timestamp")) OVER (PARTITION BY {PATH_KEYS}) AS path_last_ts
+FROM ranked GROUP BY {PATH_KEYS}, {_page()}""",
     "agg_collect_repeats_paged": _with()
     + f"""SELECT source_id, referrer, CAST((rn - 1) // {REPEATS_PAGE} AS INTEGER) AS page, list(landing_url ORDER BY landing_url) AS urls,
        CAST(max(total) FILTER (rn <= {REPEATS_PAGE}) AS BIGINT) AS url_count, CAST(max(d) FILTER (rn <= {REPEATS_PAGE}) AS BIGINT) AS distinct_urls

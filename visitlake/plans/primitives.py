@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from visitlake.functions import local_time, seconds_text
-from visitlake.operators import campaign_url_map, latest_per_key, named_by_campaign, sessionize
+from visitlake.operators import campaign_url_map, latest_per_key, log_paths_by_campaign, sessionize
 from visitlake.operators.dims import join_dimension
 from visitlake.operators.pages import DEFAULT_PAGE_SIZE
 from visitlake.operators.paths import PATH_KEYS, filter_time_conditions
@@ -77,11 +77,11 @@ def p_date_format_second(spark, sf_dir):
 
 
 def p_struct_last_element(spark, sf_dir):
+    """The last element of every page's sorted list, and that of the path's whole list on each of its pages."""
     t = _t(spark, sf_dir)
-    named = named_by_campaign(t.logs, t.campaigns)
-    entry = F.struct("timestamp", *[F.col(c).alias(f"{c}_") for c in PATH_KEYS])
-    # the last element of a group's sorted list is its greatest one: a partial aggregate, whatever the list's size
-    return named.groupBy(*PATH_KEYS).agg(F.max(entry).getField("timestamp").alias("last_entry_ts"))
+    paths = log_paths_by_campaign(t.logs, t.campaigns)
+    last = F.element_at("full_session", -1).getField("timestamp")
+    return paths.select(*PATH_KEYS, "page", last.alias("last_entry_ts"), F.col("timestamp").alias("path_last_ts"))
 
 
 def p_url_list_explode_join(spark, sf_dir):
