@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visitlake.llm.common import _filesystem, ship, shared_folder, spark_partitions, stored, text_of
+from visitlake.llm.common import TEXTS, _filesystem, lean, ship, shared_folder, slices, spark_partitions, stored, text_of
 from visitlake.llm.wordhash import blank_class, blocks, mix, word_hashes
 
 CLASSES, ENDINGS, ROUNDS = 32, 64, 6
@@ -52,8 +52,6 @@ STEP, ENTRIES = 1 << 13, 1 << 20
 COMMON = 1 << 6
 #: Tokens whose words, and whose pairs, are counted at once.
 COUNTED, PAIRED = 1 << 20, 1 << 19
-#: Texts that are cut into tokens at once.
-TEXTS = 512
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -104,16 +102,10 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), text_of().alias("text"), held_out(F.col("doc_id")).alias("held_out"))
 
 
-def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a in range(0, batch.num_rows, TEXTS):
-            yield batch.slice(a, TEXTS)
-
-
 def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Hashes and ending classes of about ``most`` tokens of whole texts at once."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
-    for batch in _some(batches):
+    for batch in slices(batches, TEXTS):
         for value, group, _, _, _ in tokens(batch.column("text").to_pylist()):
             held.append((value, group))
             if sum(len(v) for v, _ in held) >= most:
@@ -131,7 +123,7 @@ def word_counts(train: DataFrame) -> DataFrame:
             words, first, n = np.unique(value, return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(group[first].astype(np.int32)), pa.array(n)], names=["word", "group", "n"])
 
-    found = train.select("text").mapInArrow(run, "word long, group int, n long")
+    found = train.select("text").mapInArrow(lean(run), "word long, group int, n long")
     return stored(found.groupBy("word").agg(F.first("group").alias("group"), F.sum("n").alias("n")), "brown-words")
 
 
@@ -147,7 +139,9 @@ def ranked_words(counts: DataFrame) -> DataFrame:
     for r in sorted(sizes):
         starts.append((r["part"], before))
         before += r["n"]
-    start = F.broadcast(counts.sparkSession.createDataFrame(starts, "_part long, _start long"))
+    columns = [pa.array(x, pa.int64()) for x in (list(zip(*starts, strict=True)) or [(), ()])]
+    # from an Arrow table: a list would pass through Python workers of its own, which stay
+    start = F.broadcast(counts.sparkSession.createDataFrame(pa.Table.from_arrays(columns, names=["_part", "_start"])))
     at = F.col("_number").bitwiseAND((1 << 33) - 1)
     return placed.join(start, part == F.col("_part")).select((F.col("_start") + at).alias("id"), "word", "group", "n")
 
@@ -247,7 +241,7 @@ def neighbour_lists(train: DataFrame, words: np.ndarray, clustered: int, beyond:
         for batch in batches:
             yield _listed(*(batch.column(x).to_numpy() for x in ("a", "b", "n")), buckets)
 
-    packed = train.select("text").mapInArrow(count, LISTS + (", a long, b long, ga long, gb long" if outside else ""))
+    packed = train.select("text").mapInArrow(lean(count), LISTS + (", a long, b long, ga long, gb long" if outside else ""))
     if outside:
         # none of these words is frequent; those below LEAST are in no list and have their ending's code
         named = beyond.select(_open_code(F.col("word")).alias("_w"), F.col("id").alias("_id"))
@@ -257,7 +251,7 @@ def neighbour_lists(train: DataFrame, words: np.ndarray, clustered: int, beyond:
             met = late.where(F.col(side) <= OPEN).join(named, F.col(side) == F.col("_w"), "left")
             met = met.withColumn(side, F.coalesce(F.col("_id"), -1 - F.col(f"g{side}"))).drop("_w", "_id")
             late = late.where(F.col(side) > OPEN).unionByName(met)
-        late = late.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).mapInArrow(pack, LISTS)
+        late = late.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).mapInArrow(lean(pack), LISTS)
         packed = packed.where("a is null").drop(*waiting).unionByName(late)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +279,7 @@ def neighbour_lists(train: DataFrame, words: np.ndarray, clustered: int, beyond:
             yield closed()
 
     by_bucket = packed.repartition("part", "bucket").sortWithinPartitions("part", "bucket")
-    return stored(by_bucket.mapInArrow(merge, LISTS), "brown-lists")
+    return stored(by_bucket.mapInArrow(lean(merge), LISTS), "brown-lists")
 
 
 class _Classes:
@@ -380,7 +374,7 @@ def neighbours(lists: DataFrame, folder: str, buckets: int, k: int | None) -> Da
             yield closed(now, summed(held) if total is None else total + summed(held))
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, None, matrix.reshape(-1).tolist()), kinds, strict=True)], names=names)
 
-    return lists.where("data is not null").select("part", "bucket", "data").mapInArrow(run, "bucket long, data binary, cells array<long>")
+    return lists.where("data is not null").select("part", "bucket", "data").mapInArrow(lean(run), "bucket long, data binary, cells array<long>")
 
 
 def _matrix(found: DataFrame, fixed: np.ndarray) -> np.ndarray:
@@ -462,7 +456,7 @@ def exchange(lists: DataFrame, clustered: int, rounds: int = ROUNDS) -> tuple[Da
             classes = [((np.arange(BUCKET) * buckets + x) % CLASSES).astype(np.uint8).tobytes() for x in bucket]
             yield pa.RecordBatch.from_arrays([pa.array(bucket // SPAN), batch.column("id"), pa.array(classes, pa.binary())], names=["part", "bucket", "classes"])
 
-    folder = _class_file(spark.range(buckets).mapInArrow(start, schema))
+    folder = _class_file(spark.range(buckets).mapInArrow(lean(start), schema))
     fixed = np.zeros((GROUPS, GROUPS))
     for r in lists.where("data is null").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():  # at most ENDINGS^2 rows
         fixed[r["i"], r["j"]] = r["n"]
@@ -494,7 +488,7 @@ def exchange(lists: DataFrame, clustered: int, rounds: int = ROUNDS) -> tuple[Da
                 yield chosen(now, total)
 
         by_bucket = found.where("data is not null").select("bucket", "data").repartition("bucket").sortWithinPartitions("bucket")
-        folder = _class_file(by_bucket.mapInArrow(choose, schema))
+        folder = _class_file(by_bucket.mapInArrow(lean(choose), schema))
     matrix = _matrix(stored(neighbours(lists, folder, buckets, None), "brown-neighbours"), fixed)
     return spark.read.schema(schema).parquet(folder), matrix
 
@@ -511,7 +505,7 @@ def class_rows(classes: DataFrame, clustered: int, first: int = 0) -> DataFrame:
                 c = np.frombuffer(row, np.uint8)[here].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(rank[here]), pa.array(c)], names=["id", "c"])
 
-    return classes.select("bucket", "classes").mapInArrow(run, "id long, c int")
+    return classes.select("bucket", "classes").mapInArrow(lean(run), "id long, c int")
 
 
 def brown_scores(docs: DataFrame, share: int = SHARE) -> DataFrame:
@@ -557,7 +551,7 @@ def brown_scores(docs: DataFrame, share: int = SHARE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, seen, class_of, move, inside = model.value
-        for batch in _some(batches):
+        for batch in slices(batches, TEXTS):
             out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base_score", "score", "words", "ends", "times", "steps")}
             for value, group, which, a, b in tokens(batch.column("text").to_pylist()):
                 at = places.of(value)
@@ -596,7 +590,7 @@ def brown_scores(docs: DataFrame, share: int = SHARE) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
     lists = ", ".join(f"{k} array<long>" for k in ("words", "ends", "times", "steps"))
     sums = "n_tokens long, n_known long, base_score double, score double"
-    part = rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, {sums}, {lists}")
+    part = rows.mapInArrow(lean(run), f"doc_id {kind}, held_out boolean, {sums}, {lists}")
     part = stored(part.withColumn("row", F.monotonically_increasing_id()), "brown-parts")
     if beyond is not None:
         # words outside the head, once a document: no training word is frequent here
@@ -630,7 +624,7 @@ def brown_scores(docs: DataFrame, share: int = SHARE) -> DataFrame:
             columns = [pa.array(sums[k]) if k in sums else batch.column(k) for k in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    scored = part.select("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "ends", "times", "steps", "told").mapInArrow(finish, f"doc_id {kind}, held_out boolean, {sums}")
+    scored = part.select("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "ends", "times", "steps", "told").mapInArrow(lean(finish), f"doc_id {kind}, held_out boolean, {sums}")
     return scored.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score",
         F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
